@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parlance.llm import dedup
+from parlance.llm import chat, decontaminate, dedup, mixing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,83 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.85)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("doc.text", F.lit(""))
+    return sharding.write_shards(_table(spark, sf_dir, "documents"), shards=8).select(
+        F.col("doc.doc_id").alias("doc_id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_plan(_table(spark, sf_dir, "documents"))
+
+
+_MIXING_SQL = r"""
+with base as (
+  select doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         md5('11:' || coalesce(cast(doc_id as varchar), '')) as key from documents),
+sizes as (select source, sum(size)::bigint as source_size from base group by source),
+ranked as (
+  select *, (source_size * 2)::double as most,
+         case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight,
+         row_number() over (order by source nulls last) as rank from sizes),
+leveled as (
+  select *, (sum(source_size) over ()::double * 1.5::double - coalesce(sum(most) over b, 0::double))
+            / (sum(weight) over () - coalesce(sum(weight) over b, 0::double)) as level
+  from ranked window b as (order by most / weight, rank rows between unbounded preceding and 1 preceding)),
+final as (select arg_min(level, (most / weight, rank)) filter (where most >= level * weight) as final from leveled),
+targets as (
+  select source, source_size, case when most < final then most when final is null then most else final end as target
+  from (select source, source_size, most, final * weight as final from leveled, final)),
+placed as (
+  select b.*, t.source_size, t.target, sum(b.size) over (partition by b.source order by b.key, b.size rows unbounded preceding) - b.size as before,
+         case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end as epochs
+  from base b join targets t on b.source is not distinct from t.source)
+select doc_id, size::bigint as size, source_size, target, (size * copies)::bigint as taken, copies::int as copies from (
+  select *, epochs + case when target - epochs * source_size > 0 and (target - epochs * source_size - before) * 2 >= size then 1 else 0 end as copies
+  from placed)
+"""
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.chat_digests(chat.format_chat(rows.union(own)))
+
+
+_CHAT_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e as (select *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') as body from t)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length(role) + length(body) + 24)::bigint as formatted_chars
+from e group by conv_id
+"""
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_sharding": op2_sharding,
+    "op4_source_mixing": op4_source_mixing,
+    "op6_decontamination": op6_decontamination,
+    "op9_chat_format": op9_chat_format,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_source_mixing": _MIXING_SQL,
+    "op9_chat_format": _CHAT_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
