@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, decontaminate, dedup, mixing, sharding
+from parlance.llm import chat, decontaminate, dedup, mixing, sharding, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +61,19 @@ select doc_id, size::bigint as size, source_size, target, (size * copies)::bigin
 """
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_token_digests(spark, path)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -89,7 +99,9 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_sharding": op2_sharding,
     "op4_source_mixing": op4_source_mixing,
+    "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
+    "op8_token_counts": op8_token_counts,
     "op9_chat_format": op9_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {
