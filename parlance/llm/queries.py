@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, decontaminate, dedup, mixing, sharding, token_counts, token_files
+from parlance.llm import chat, decontaminate, dedup, mixing, rules, sharding, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -101,6 +105,7 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op9_chat_format": op9_chat_format,
 }
