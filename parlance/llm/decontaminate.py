@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Positions that count, of runs of 9 words.
 MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 3, 6, 7, 8))
-#: So many seeds of the benchmark are broadcast, with their items' words; more are joined by a shuffle.
-BROADCAST_SEEDS, BROADCAST_WORDS = 1_000_000, 1_000_000
+#: So many seeds of the benchmark are broadcast, each with 35 words (some 0.5 kB) at most; more are joined by a shuffle.
+BROADCAST_SEEDS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -22,14 +22,28 @@ def words_of(text: Column) -> Column:
 
 
 def _seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...], keep: list[str]) -> DataFrame:
-    """A row for each run and mask of ``rows.words``: (``keep``..., words, pos, seed)."""
+    """A row for each run and mask of ``rows.words``: (``keep``..., words, pos, seed).
+
+    The outer explode keeps Spark from asking for the array's size below, which would make the words twice. All from
+    the first explode to the join is one generated loop, so ``words`` is passed on without a copy.
+    """
     span = max(map(max, masks)) + 1
-    hashed = rows.filter(F.size("words") >= span).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    placed = hashed.select(*keep, "words", "h", F.explode(F.sequence(F.lit(0), F.size("h") - span)).alias("pos"))
+    hashed = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    places = F.when(F.size("h") >= span, F.sequence(F.lit(0), F.size("h") - span))
+    placed = hashed.select(*keep, "words", "h", F.explode_outer(places).alias("pos")).filter("pos is not null")
     seeds = [F.xxhash64(F.lit(m), *[F.get("h", F.col("pos") + i) for i in mask]) for m, mask in enumerate(masks)]
     return placed.select(*keep, "words", "pos", F.explode(F.array(*seeds)).alias("seed"))
 
 
+def _most_equal(near: Column, item: Column, window: int) -> Column:
+    """The greatest number of equal words, place by place, in ``window`` consecutive places of ``item``."""
+    wide = F.least(F.size(item), F.lit(window))
+    equal = F.zip_with(near, item, lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
+    starts = F.sequence(F.lit(0), F.size(item) - wide)
+    sums = lambda e: F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(e, s + 1, wide), F.lit(0), lambda x, y: x + y)))
+    return F.get(F.transform(F.array(equal), sums), F.lit(0))  # equal is made once
+
+
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, masks: tuple[tuple[int, ...], ...] = MASKS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched) of each document and item that overlap.
 
@@ -43,24 +57,22 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     span = max(map(max, masks)) + 1
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("words"))
     seeds = _seeds(items, masks, ["item_id"]).select("seed", "item_id", F.col("pos").alias("at"), F.col("words").alias("item"))
-    n_seeds, n_words = seeds.agg(F.count("*"), F.coalesce(F.sum(F.size("item")), F.lit(0))).first()
+    n_seeds = seeds.count()
     # only the words that a check around the hit can reach
     low = F.greatest(F.lit(0), F.col("at") - window + 1)
-    seeds = seeds.select("seed", "item_id", F.col("at") - low, F.slice("item", low + 1, F.lit(2 * window + span)).alias("item")).toDF("seed", "item_id", "at", "item").distinct()
-    if n_seeds <= BROADCAST_SEEDS and n_seeds * (2 * window + span) <= 64 * BROADCAST_WORDS:
+    seeds = seeds.select("seed", "item_id", F.col("at") - low, F.slice("item", low + 1, F.lit(2 * window + span))).toDF("seed", "item_id", "at", "item").distinct()
+    if n_seeds <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     hits = _seeds(texts, masks, ["doc_id"]).join(seeds, "seed")
-    first = F.col("pos") - F.col("at")
-    near = hits.select(
-        "doc_id", "item_id", "item",
-        F.transform("item", lambda w, k: F.coalesce((F.get("words", first + k) == w).cast("int"), F.lit(0))).alias("equal"),
-    )
-    wide = F.least(F.size("item"), F.lit(window))
-    starts = F.sequence(F.lit(0), F.size("item") - wide)
-    best = F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice("equal", s + 1, wide), F.lit(0), lambda x, y: x + y)))
-    found = near.select("doc_id", "item_id", best.alias("matched"), wide.alias("wide")).filter(F.col("matched") >= F.col("wide") * share)
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"))
+    first = F.col("pos") - F.col("at")  # where the item's slice begins in the document
+    over = F.greatest(F.lit(0), -first)
+    near = F.concat(F.array_repeat(F.lit(None).cast("string"), over), F.slice("words", first + over + 1, F.size("item")))
+    matched = _most_equal(F.slice(near, F.lit(1), F.size("item")), F.col("item"), window)
+    enough = F.least(F.size("item"), F.lit(window)) * F.lit(share)
+    # the filter comes after a maximum, else it would be the join's condition and end the generated loop
+    found = hits.select("doc_id", "item_id", F.get(F.transform(F.array(matched), lambda m: F.when(m >= enough, m)), F.lit(0)).alias("matched"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched")).filter("matched is not null")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
