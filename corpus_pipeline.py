@@ -1,8 +1,57 @@
-"""A corpus pipeline of five stages over ``documents``, each written as Parquet and read again."""
+"""A training-data pipeline over ``documents``: filter, deduplicate, decontaminate, mix, shard.
 
-STAGES = []
+Each stage takes what its predecessor kept, all of it, and all but the last return the columns of ``documents``.
+Rows, nulls and repeated ids are treated as the operators' docstrings say.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from parlance.llm import decontaminate, dedup, mixing, sharding, weak_labels
+from parlance.llm.storage import written
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; labelled rows set its cut."""
+    return weak_labels.drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similarity 0.8 or more stays."""
+    return dedup.drop_near_duplicates(docs, threshold=0.8)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their weights, rows repeated where a source is taken more than once."""
+    return mixing.mix_sources(docs)
+
+
+def shuffled_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Columns of the rows with ``shard`` and ``slot``, as written to the shards."""
+    return sharding.write_shards(docs, shards=8).select("doc.*", "shard", "slot")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", source_mixing),
+    ("sharding", shuffled_shards),
+]
+
+#: The weak-label model, the banded search and the shuffle are not SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each one's rows written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{i}")
+    return docs
