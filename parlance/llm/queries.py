@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, decontaminate, dedup, mixing, rules, sharding, token_counts, token_files, weak_labels
+from parlance.llm import chat, decontaminate, dedup, mixing, ngram_model, rules, sharding, token_counts, token_files, weak_labels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.held_out_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(_table(spark, sf_dir, "documents"))
 
@@ -107,6 +111,7 @@ from e group by conv_id
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_sharding": op2_sharding,
+    "op3_ngram_scores": op3_ngram_scores,
     "op4_source_mixing": op4_source_mixing,
     "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
