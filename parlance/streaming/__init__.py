@@ -1,0 +1 @@
+"""Empty on purpose: every input of these analytics is a finished file, and no operator is a streaming one."""
