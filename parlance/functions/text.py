@@ -78,10 +78,13 @@ def trim_to_rate(tokens: Column, seconds: Column, most: float = 3.5, target: flo
 
 def chunks(tokens: Column, seconds: Column, size: int = 40) -> Column:
     """array<struct<chunk, words, start_sec, end_sec>>: runs of ``size`` words with their share of the time, less 1 ms at the end."""
-    n = F.size(tokens)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    end = lambda i: F.least(i + size, n) / n * seconds
-    return F.transform(starts, lambda i: F.struct((i / size).cast("int").alias("chunk"), F.slice(tokens, i + 1, F.lit(size)).alias("words"), (i / n * seconds).alias("start_sec"), F.greatest(i / n * seconds, end(i) - 0.001).alias("end_sec")))
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+        end = lambda i: F.least(i + size, n) / n * seconds
+        return F.transform(starts, lambda i: F.struct((i / size).cast("int").alias("chunk"), F.slice(w, i + 1, F.lit(size)).alias("words"), (i / n * seconds).alias("start_sec"), F.greatest(i / n * seconds, end(i) - 0.001).alias("end_sec")))
+
+    return F.get(F.transform(F.array(tokens), cut), F.lit(0))  # the words are made once, not for each chunk
 
 
 def sub_dataset(key: Column) -> Column:

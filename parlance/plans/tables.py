@@ -75,3 +75,12 @@ tk as (select doc_id, word from (select doc_id, unnest(regexp_extract_all(lower(
 tg as (select t.doc_id, t.word, coalesce(l.tag, case when regexp_full_match(t.word, '[0-9]+') then 'NUM' when t.word like '%ly' then 'ADV' when t.word like '%ing' or t.word like '%ed' then 'VERB' else 'X' end) as tag,
               coalesce(l.lemma, t.word) as lemma, l.n_phones from tk t left join lx l on t.word = l.word)
 """
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Skewness and kurtosis columns at 6 places, so that 0 is 0 in either engine's order of summing."""
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in df.columns if c.endswith(("_skew", "_kurt"))})
+
+
+def settled_sql(query: str, names: list[str]) -> str:
+    return f"select * replace ({', '.join(f'round({n}, 6) + 0.0::double as {n}' for n in names)}) from ({query})"
