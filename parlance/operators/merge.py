@@ -97,11 +97,11 @@ def first_per_stem(files: DataFrame, stem: str, path: str) -> DataFrame:
 def prefix_matches(a: DataFrame, b: DataFrame, a_col: str, b_col: str, block: int = 3) -> DataFrame:
     """Pairs of distinct names of which one begins the other.
 
-    An equality join on the first ``block`` characters, with the exact test after it; names shorter than that join on
-    all their characters with the leading ones of the others.
+    An equality join on the leading characters, as many as the shorter of both has, ``block`` at most; the exact test
+    comes after it.
     """
     x, y = a.select(F.col(a_col).alias("a")).distinct().filter("a <> ''"), b.select(F.col(b_col).alias("b")).distinct().filter("b <> ''")
-    keys = lambda c: F.when(F.length(c) < block, F.array(F.col(c))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(block)), lambda i: F.substr(F.col(c), F.lit(1), i))))
+    keys = lambda c: F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(block))), lambda i: F.substr(F.col(c), F.lit(1), i))
     shorter = F.least(F.length("a"), F.length("b"), F.lit(block))
     pairs = x.select("a", F.explode(keys("a")).alias("k")).join(y.select("b", F.explode(keys("b")).alias("k")), "k")
     return pairs.filter((F.length("k") == shorter) & (F.col("a").startswith(F.col("b")) | F.col("b").startswith(F.col("a")))).select("a", "b")

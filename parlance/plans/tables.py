@@ -78,9 +78,9 @@ tg as (select t.doc_id, t.word, coalesce(l.tag, case when regexp_full_match(t.wo
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Skewness and kurtosis columns at 6 places, so that 0 is 0 in either engine's order of summing."""
-    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in df.columns if c.endswith(("_skew", "_kurt"))})
+    """Moments within 1e-9 of 0 as 0, which they are in either engine but for its order of summing."""
+    return df.withColumns({c: F.when(F.abs(c) < 1e-9, 0.0).otherwise(F.col(c)) for c in df.columns if c.endswith(("_skew", "_kurt"))})
 
 
 def settled_sql(query: str, names: list[str]) -> str:
-    return f"select * replace ({', '.join(f'round({n}, 6) + 0.0::double as {n}' for n in names)}) from ({query})"
+    return f"select * replace ({', '.join(f'case when abs({n}) < 1e-9 then 0.0::double else {n} end as {n}' for n in names)}) from ({query})"
