@@ -61,10 +61,12 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     # only the words that a check around the hit can reach
     low = F.greatest(F.lit(0), F.col("at") - window + 1)
     seeds = seeds.select("seed", "item_id", F.col("at") - low, F.slice("item", low + 1, F.lit(2 * window + span))).toDF("seed", "item_id", "at", "item").distinct()
-    if n_seeds <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    hits = _seeds(texts, masks, ["doc_id"]).join(seeds, "seed")
+    if n_seeds <= BROADCAST_SEEDS:
+        hits = _seeds(texts, masks, ["doc_id"]).join(F.broadcast(seeds), "seed")
+    else:  # words would be copied for each run that is sent, so they are joined to the hits
+        found = _seeds(texts, masks, ["doc_id"]).select("doc_id", "pos", "seed").join(seeds, "seed").distinct()
+        hits = texts.withColumnRenamed("doc_id", "_doc").join(found, F.col("_doc").eqNullSafe(F.col("doc_id")))
     first = F.col("pos") - F.col("at")  # where the item's slice begins in the document
     over = F.greatest(F.lit(0), -first)
     near = F.concat(F.array_repeat(F.lit(None).cast("string"), over), F.slice("words", first + over + 1, F.size("item")))
