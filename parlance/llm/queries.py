@@ -90,8 +90,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return weak_labels.classify(docs, weak_labels.fit(docs, _table(spark, sf_dir, "labels")))
+    return weak_labels.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 _CHAT_SQL = r"""

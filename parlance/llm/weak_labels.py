@@ -113,8 +113,15 @@ _TRIGRAMS = CLASSES**3
 _WIDTH = _TRIGRAMS + (1 << WORD_BITS) + 16 * _STEPS
 
 
-def _parts(raw: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Three groups of hashed features of a slice: (feature of each occurrence, bounds by text)."""
+_COUNTED = ", ".join(f"{x} long" for x in COUNTS)
+
+
+def _count_arrays(counts: dict[str, np.ndarray]) -> list[pa.Array]:
+    return [pa.array(counts[x], pa.int64()) for x in COUNTS]
+
+
+def _parts(raw: np.ndarray, off: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], dict[str, np.ndarray]]:
+    """Three groups of hashed features of a slice, (feature of each occurrence, bounds by text), and its counts."""
     c = np.minimum(_CLASS[raw], CLASSES - 1)
     tri = np.zeros(len(c), np.int64)
     tri[:-2] = c[:-2] * CLASSES * CLASSES + c[1:-1] * CLASSES + c[2:] if len(c) > 2 else 0
@@ -124,25 +131,26 @@ def _parts(raw: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarra
     rates = [("n_symbols", "word_chars"), ("n_upper", "n_letters"), ("n_marks", "word_chars"), ("n_other", "word_chars"), ("n_repeat_words", "n_words"), ("n_dup_lines", "n_lines"), ("n_distinct_words", "n_words"), ("n_digits", "word_chars")]
     steps = np.stack([np.minimum(_STEPS - 1, np.sqrt(np.minimum(1, k[a] / np.maximum(k[b], 1))) * _STEPS).astype(np.int64) + i * _STEPS for i, (a, b) in enumerate(rates)], axis=1)
     steps += _TRIGRAMS + (1 << WORD_BITS)
-    return [(tri, off), (word, words.bounds), (steps.ravel(), np.arange(len(off)) * len(rates))]
+    return [(tri, off), (word, words.bounds), (steps.ravel(), np.arange(len(off)) * len(rates))], k
 
 
-def _sum_scores(weights: np.ndarray, bias: float, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+def _sum_scores(weights: np.ndarray, bias: float, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     total = np.full(len(off) - 1, bias)
-    for (index, bounds), scale in zip(_parts(raw, off), _SCALES, strict=True):
+    parts, counts = _parts(raw, off)
+    for (index, bounds), scale in zip(parts, _SCALES, strict=True):
         sums = np.concatenate([[0.0], np.cumsum(weights[index])])
         total += scale * (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
-    return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
+    return 1 / (1 + np.exp(-np.clip(total, -50, 50))), counts
 
 
 _SCALES = (20.0, 5.0, 8.0)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, target) -> (target, features, values)."""
+    """(id, text) -> (features, values, COUNTS)."""
     for batch in batches:
-        for at, raw, off in buffers(batch.column(1)):
-            parts = _parts(raw, off)
+        for _, raw, off in buffers(batch.column(1)):
+            parts, counts = _parts(raw, off)
             index, value = [], []
             for i in range(len(off) - 1):
                 found = []
@@ -151,7 +159,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found.append((x, scale * n / max(n.sum(), 1)))
                 index.append(np.concatenate([x for x, _ in found]).astype(np.int32))
                 value.append(np.concatenate([x for _, x in found]).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(2).slice(at, len(index)), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["target", "index", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), *_count_arrays(counts)], names=["index", "value", *COUNTS])
 
 
 def train_linear(target: np.ndarray, index: list[np.ndarray], value: list[np.ndarray], rounds: int = 120, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -179,8 +187,8 @@ class QualityModel:
     def __init__(self, theta: np.ndarray, share: float, weights: np.ndarray, bias: float, cut: float = 0.5):
         self.theta, self.share, self.weights, self.bias, self.cut = theta, share, weights.astype(np.float32), bias, cut
 
-    def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Probability of bad."""
+    def scores(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """(probability of bad, counts) of the texts of a slice."""
         return _sum_scores(self.weights, self.bias, raw, off)
 
 
@@ -189,74 +197,72 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _scored(texts: DataFrame, model: QualityModel) -> DataFrame:
+    """(doc_id, score, COUNTS)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, raw, off in buffers(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(off) - 1), pa.array(model.scores(raw, off))], names=["doc_id", "score"])
+                scores, counts = model.scores(raw, off)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(scores)), pa.array(scores), *_count_arrays(counts)], names=["doc_id", "score", *COUNTS])
 
-    return texts.mapInArrow(run, "doc_id long, score double")
+    return texts.mapInArrow(run, f"doc_id long, score double, {_COUNTED}")
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | None:
-    """The model of ``docs``.
+def fit(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[QualityModel, DataFrame] | None:
+    """(the model of ``docs``, scores of all of them); see quality_scores.
 
     The labellers' model is of all documents; the scorer of a bounded sample with its posteriors; the cut of all
-    labelled rows, 0.5 without labels. Empty table: no model.
+    labelled rows, 0.5 without labels. Texts are never shuffled. Empty table: nothing.
     """
     votes = labellers()
-    stats = written(document_statistics(docs, id_col, text_col), "statistics")
+    texts = _texts(docs, id_col, text_col)
+    stats = document_statistics(docs, id_col, text_col)
     found = stats.select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).count().toArrow()  # 3 ** 10 rows at most
     if not len(found):
         return None
     patterns = np.stack([np.asarray(found[k]) for k in votes], axis=1)
     theta, share = fit_labellers(patterns, np.asarray(found["count"], dtype=float), np.array([GOOD if k in GOOD_ONLY else BAD for k in votes]))
-    weak = stats.select("doc_id", posterior(theta, share).alias("weak_good"))
-    texts = _texts(docs, id_col, text_col)
-    short = texts.filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)
-    drawn = short.orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id").limit(SAMPLE_ROWS)
-    drawn = drawn.join(weak.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "text", (1 - F.col("weak_good")).alias("target"))
-    rows = drawn.mapInArrow(_hashed, "target double, index array<int>, value array<float>").toArrow()
-    index = [np.asarray(x.values) for x in rows["index"]]
-    value = [np.asarray(x.values) for x in rows["value"]]
-    weights, bias = train_linear(np.asarray(rows["target"]), index, value) if len(rows) else (np.zeros(_WIDTH), 0.0)
+    h = F.xxhash64("doc_id", F.lit(10))
+    last = texts.select(h.alias("h")).orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]  # hashes first, so that no task sends texts that are not drawn
+    drawn = texts.filter((h <= F.lit(last)) & (F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)).limit(SAMPLE_ROWS)
+    rows = drawn.mapInArrow(_hashed, f"index array<int>, value array<float>, {_COUNTED}").select("index", "value", (1 - posterior(theta, share)).alias("target")).toArrow()
+    weights, bias = np.zeros(_WIDTH), 0.0
+    if len(rows):
+        weights, bias = train_linear(np.asarray(rows["target"]), [np.asarray(x.values) for x in rows["index"]], [np.asarray(x.values) for x in rows["value"]])
     model = QualityModel(theta, share, weights, bias)
+    scored = written(_scored(texts, model), "scored")
     if labels is not None:
-        named = labels.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-        model.cut = calibrated_cut(_scored(texts.join(named, "doc_id", "left_semi"), model), labels, keep, 0.5, id_col, label_col)
-    return model
+        model.cut = calibrated_cut(scored.select("doc_id", "score"), labels, keep, 0.5, id_col, label_col)
+    return model, scored
 
 
-def classify(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, weak_good, score, kept) of each row of ``docs``.
 
     ``weak_good``: the weak-label model's probability of good; ``score``: the scorer's of bad; ``kept``: a score up
-    to the model's cut. Null or empty text: scored by what it lacks. Each row counts, whatever its id. No model
-    (fitted on no rows): everything is kept.
+    to the cut. Null or empty text: scored by what it lacks. Each row counts, whatever its id. Other columns are
+    ignored. Empty table: no rows.
     """
-    if model is None:
+    found = fit(docs, labels, keep, id_col, text_col, label_col)
+    if found is None:
         return _texts(docs, id_col, text_col).select("doc_id", F.lit(0.5).alias("weak_good"), F.lit(0.5).alias("score"), F.lit(True).alias("kept"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, raw, off in buffers(batch.column(1)):
-                counts = counts_of(raw, off)
-                cols = [batch.column(0).slice(at, len(off) - 1), pa.array(model.scores(raw, off)), *(pa.array(counts[x], pa.int64()) for x in COUNTS)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", *COUNTS])
-
-    scored = _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, " + ", ".join(f"{x} long" for x in COUNTS))
+    model, scored = found
     return scored.select("doc_id", posterior(model.theta, model.share).alias("weak_good"), "score", (F.col("score") <= model.cut).alias("kept"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """``docs`` without the rows that the model fitted on them rejects; all columns stay, and nothing is shuffled."""
-    model = fit(docs, labels, keep, id_col, text_col, label_col)
-    if model is None:
+    """``docs`` without the rows that the model fitted on them rejects; all columns stay.
+
+    Rows are scored once more where they are, so nothing is shuffled.
+    """
+    found = fit(docs, labels, keep, id_col, text_col, label_col)
+    if found is None:
         return docs
-    place = docs.columns.index(text_col)
+    model, place = found[0], docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.scores(raw, off) for _, raw, off in buffers(batch.column(place))]
+            scores = [model.scores(raw, off)[0] for _, raw, off in buffers(batch.column(place))]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) <= model.cut))
 
