@@ -75,7 +75,7 @@ def count_huge(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OV
 
 def _count(path: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, pieces = held(("counts", path), lambda: (t := load(path), Pieces(t, len)))
+        tokenizer, pieces = held(("counts", path), lambda: (t := load(path), Pieces(t, len, sum)))
         for batch in batches:
             for at, raw, off in buffers(batch.column(1)):
                 data = raw.tobytes()

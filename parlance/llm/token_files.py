@@ -9,8 +9,11 @@ leaves no half file.
 from __future__ import annotations
 
 import hashlib
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +24,11 @@ from pyspark.sql import functions as F
 
 from parlance.llm.storage import new_path
 from parlance.llm.text import buffers
-from parlance.llm.tokenizing import Pieces, held, load, spaced
+from parlance.llm.tokenizing import Pieces, held, load, single_gaps, spaced
 
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 20_000
 #: The dictionary is trained on so many documents at most, of so many bytes each at most.
-SAMPLE_DOCS, SAMPLE_TEXT_BYTES = 512, 64 << 10
+SAMPLE_DOCS, SAMPLE_TEXT_BYTES = 512, 32 << 10
 DICT_BYTES = 64 << 10
 
 _BLOCKS = "part int, block int, ahead long, low long, high long, dict_hash string, width int, ids array<long>, counts array<long>, offsets array<long>, payload binary"
@@ -35,16 +38,16 @@ class Encoder:
     """Ids of texts as little-endian bytes, ``width`` each, with ``end_id`` appended."""
 
     def __init__(self, path: str, end_id: int):
+        assert sys.byteorder == "little"
         self.tokenizer = load(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
-        self.kind = np.dtype(f"<u{self.width}")
-        self.end = np.array([end_id], self.kind).tobytes()
-        pack = lambda ids: np.array(ids, self.kind).tobytes()
-        self.pack = pack
-        self.first, self.rest = Pieces(self.tokenizer, pack), Pieces(self.tokenizer, pack, " ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [spaced(x) for x in texts]
+        self.end = np.array([end_id], f"<u{self.width}").tobytes()
+        code = {2: "H", 4: "I"}[self.width]
+        self.pack = lambda ids: array(code, ids).tobytes()
+        self.first, self.rest = Pieces(self.tokenizer, self.pack, b"".join), Pieces(self.tokenizer, self.pack, b"".join, " ")
+
+    def encode(self, texts: list[str], sure: Iterable[bool] = repeat(False)) -> list[bytes]:
+        parts = [spaced(x, y) for x, y in zip(texts, sure)]  # noqa: B905
         cut = [x for x in parts if x is not None]
         self.first.learn({x[0] for x in cut})
         self.rest.learn(set().union(*cut) if cut else set())
@@ -54,14 +57,14 @@ class Encoder:
             if x is None:
                 out.append(self.pack(next(whole).ids) + self.end)
             else:
-                out.append(b"".join([self.first.known[x[0]], *self.rest.of(x[1:]), self.end]))
+                out.append(self.first.known[x[0]] + b"".join(self.rest.of(x[1:])) + self.end)
         return out
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str], list[bool]]]:
     for at, raw, off in buffers(batch.column(column)):
         data = raw.tobytes()
-        yield at, [data[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)]
+        yield at, [data[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)], single_gaps(raw, off).tolist()
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -92,9 +95,9 @@ def _encode(path: str, end_id: int, dictionary: bytes, level: int):
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for at, texts in _texts(batch, 1):
+            for at, texts, sure in _texts(batch, 1):
                 names = batch.column(0).slice(at, len(texts)).to_pylist()
-                for name, data in zip(names, encoder.encode(texts), strict=True):
+                for name, data in zip(names, encoder.encode(texts, sure), strict=True):
                     frames.append(packer.compress(data))
                     ids.append(name)
                     counts.append(len(data) // encoder.width)
@@ -119,8 +122,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    small = texts.filter(F.length("text") <= SAMPLE_TEXT_BYTES).select("text", F.xxhash64("id", "text").alias("h"))
-    sample = [bytes(x.text).decode("utf-8", "replace") for x in small.orderBy("h").limit(SAMPLE_DOCS).select("text").collect()]
+    h = F.xxhash64("id")
+    last = texts.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # hashes first, so that no task sends texts that are not drawn
+    small = texts.filter((h <= F.lit(last)) & (F.length("text") <= SAMPLE_TEXT_BYTES)).limit(SAMPLE_DOCS)
+    sample = sorted(bytes(x.text).decode("utf-8", "replace") for x in small.select("text").collect())
     dictionary = train_dictionary(Encoder(tokenizer_path, end_id).encode(sample)) if sample else b""
     mark = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(mark, bytearray(dictionary))], "dict_hash string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")

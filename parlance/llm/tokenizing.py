@@ -9,9 +9,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from operator import attrgetter
 
-#: Pieces that a Python worker keeps (some 200 MB); then its memory starts afresh.
-KEPT = 1_000_000
+import numpy as np
+
+from parlance.llm.text import SPACE
+
+#: Pieces, and cores of pieces, that a Python worker keeps (some 200 MB); then that memory starts afresh.
+KEPT, KEPT_CORES = 500_000, 700_000
 _GAPS = re.compile(r"\s\s|[\x1c-\x1f]")
 
 
@@ -34,34 +39,85 @@ def held(key: tuple, make: Callable):
     return _held[key]
 
 
+_IDS = attrgetter("ids")
+_LINES = re.compile(r"\n|[^\n]+")
+_MARKED = re.compile(r"(.*[^\W_])([!-/:-@\[-^`{-~]+)$", re.S)
+
+
+def cores(piece: str) -> list[str]:
+    """What both tokenizers split a piece into at least: single line ends, and ASCII marks that follow its last letter or digit.
+
+    A piece that may hold a special token stays whole.
+    """
+    if "<|" in piece or "|>" in piece:
+        return [piece]
+    out = []
+    for part in _LINES.findall(piece) if "\n" in piece else (piece,):
+        found = _MARKED.match(part)
+        out += found.groups() if found else (part,)
+    return out
+
+
 class Pieces:
-    """``of(parts)``: what ``make`` gives for the encoding of each piece, in order. ``lead`` goes before a piece."""
+    """``of(parts)``: what ``make`` gives for the ids of each piece, in order; ``join`` puts that of its cores together.
+
+    ``lead`` goes before a piece. Pieces are looked up; a new one is made of cores, and only new cores are encoded.
+    """
 
-    def __init__(self, tokenizer, make: Callable, lead: str = ""):
-        self.tokenizer, self.make, self.lead = tokenizer, make, lead
+    def __init__(self, tokenizer, make: Callable, join: Callable, lead: str = ""):
+        self.tokenizer, self.make, self.join, self.lead = tokenizer, make, join, lead
         self.known: dict = {}
+        self.cores: dict = {}
 
     def learn(self, parts: set[str]) -> None:
         """Call once for a batch of texts, with all their pieces."""
         if len(self.known) > KEPT:
             self.known.clear()
-        new = list(parts.difference(self.known))
+        if len(self.cores) > KEPT_CORES:
+            self.cores.clear()
+        lead, get, known = self.lead, self.cores.__getitem__, self.known
+        unknown = parts.difference(known)
+        plain = [x for x in unknown if x.isalnum()]  # a core by itself
+        split = [(x, cores(x) or [""]) for x in unknown.difference(plain)]
+        wanted = {lead + x for x in plain}
+        wanted.update(lead + found[0] for _, found in split)
+        wanted.update(x for _, found in split for x in found[1:])
+        new = list(wanted.difference(self.cores))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            encoded = self.tokenizer.encode_batch([self.lead + x for x in part], add_special_tokens=False)
-            self.known.update(zip(part, (self.make(x.ids) for x in encoded), strict=True))
+            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.cores.update(zip(part, map(self.make, map(_IDS, encoded)), strict=True))
+        known.update((x, get(lead + x)) for x in plain)
+        known.update((x, self.join([get(lead + found[0]), *map(get, found[1:])])) for x, found in split)
 
     def of(self, parts: list[str]):
         return map(self.known.__getitem__, parts)
 
 
-def spaced(text: str) -> list[str] | None:
+_ODD = np.zeros(256, bool)
+#: Bytes that are or may begin white space other than SPACE's.
+_ODD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def single_gaps(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether a text of a slice surely has no white space next to white space."""
+    space = SPACE[raw]
+    meets = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(space[1:] & space[:-1], out=meets[1:-1]) if len(raw) > 1 else None
+    meets[-1] = meets[-2] if len(raw) else 0
+    odd = np.concatenate([[0], np.cumsum(_ODD[raw])])
+    last = np.maximum(off[1:] - 1, off[:-1])
+    return (meets[last] == meets[off[:-1]]) & (odd[off[1:]] == odd[off[:-1]])
+
+
+def spaced(text: str, sure: bool = False) -> list[str] | None:
     """Pieces of a text for the byte-level pattern, each but the first without the space that leads it.
 
     A space between two other characters always begins a piece there. None where white space meets white space, or a
-    control character might count as such: there a run of spaces is split by what follows it.
+    control character might count as such: there a run of spaces is split by what follows it. ``sure``: single_gaps
+    has found that there is none.
     """
-    return None if _GAPS.search(text) else text.split(" ")
+    return None if not sure and _GAPS.search(text) else text.split(" ")
 
 
 def worded(text: str) -> list[str]:

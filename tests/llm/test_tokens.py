@@ -72,3 +72,17 @@ def test_counts(spark, sf):
     for r in rows:
         if r["doc_id"] is not None:
             assert r["n_tokens"] == len(tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids)
+
+
+def test_single_gaps_are_sure():
+    """Where no gap can meet another by the bytes, none does by the characters; and offsets of neighbours do not mix."""
+    import pyarrow as pa
+
+    from parlance.llm.text import buffers
+    from parlance.llm.tokenizing import single_gaps, spaced
+
+    texts = [*ODD, "plain text here", " lead", "trail ", "two\nlines", "é à", ""]
+    ((_, raw, off),) = buffers(pa.array([t.encode() for t in texts]))
+    sure = single_gaps(raw, off).tolist()
+    assert all(spaced(t) is not None for t, s in zip(texts, sure, strict=True) if s)
+    assert sure[-6:] == [True] * 6 and not sure[texts.index("a  b")]
