@@ -7,31 +7,48 @@ hit the words of both are compared position by position.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Positions that count, of runs of 9 words.
-MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 3, 6, 7, 8))
+#: Positions that count, of runs of 9 words. In 9 to 13 words of which four fifths stay, one of them fits somewhere.
+MASKS = ((0, 2, 4, 7, 8), (0, 1, 4, 5, 6), (2, 3, 5, 7, 8), (1, 2, 3, 6, 8))
 #: So many seeds of the benchmark are broadcast, each with 35 words (some 0.5 kB) at most; more are joined by a shuffle.
 BROADCAST_SEEDS = 200_000
 
 
+#: Thai, Lao, Burmese, Khmer, kana and Han, which are written without spaces.
+_UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+
+
 def words_of(text: Column) -> Column:
-    """Runs of letters and digits, in lower case; empty for null."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    """Runs of letters and digits, in lower case; empty for null. A letter of a script without spaces is a word."""
+    low, gap = F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"
+    by_letter = F.split(low, rf"{gap}|(?<={_UNSPACED})|(?={_UNSPACED})")
+    return F.array_remove(F.when(text.rlike(_UNSPACED), by_letter).otherwise(F.split(low, gap)), "")
+
 
+def _substituted(words: int, share: float) -> int:
+    """How many of ``words`` may differ."""
+    return words - ceil(words * share)
 
-def _seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...], keep: list[str]) -> DataFrame:
-    """A row for each run and mask of ``rows.words``: (``keep``..., words, pos, seed).
+
+def _seeds(rows: DataFrame, masks: list[tuple[int, tuple[int, ...]]], keep: list[str], span: int, over: int = 0) -> DataFrame:
+    """A row for each run of ``span`` words and numbered mask of ``rows.words``: (``keep``..., words, pos, seed).
+
+    Runs begin up to ``over`` words before the first and end as many after the last; a hash lacks the words that are not
+    there, and so do those of masks that are longer than the run where it ends.
 
     The outer explode keeps Spark from asking for the array's size below, which would make the words twice. All from
     the first explode to the join is one generated loop, so ``words`` is passed on without a copy.
     """
-    span = max(map(max, masks)) + 1
     hashed = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    places = F.when(F.size("h") >= span, F.sequence(F.lit(0), F.size("h") - span))
+    last = F.size("h") - span + over
+    places = F.when((F.size("h") > 0) & (last >= -over), F.sequence(F.lit(-over), last))
     placed = hashed.select(*keep, "words", "h", F.explode_outer(places).alias("pos")).filter("pos is not null")
-    seeds = [F.xxhash64(F.lit(m), *[F.get("h", F.col("pos") + i) for i in mask]) for m, mask in enumerate(masks)]
+    seeds = [F.xxhash64(F.lit(m), *[F.get("h", F.col("pos") + i) for i in mask]) for m, mask in masks]
     return placed.select(*keep, "words", "pos", F.explode(F.array(*seeds)).alias("seed"))
 
 
@@ -44,28 +61,41 @@ def _most_equal(near: Column, item: Column, window: int) -> Column:
     return F.get(F.transform(F.array(equal), sums), F.lit(0))  # equal is made once
 
 
-def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, masks: tuple[tuple[int, ...], ...] = MASKS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, masks: tuple[tuple[int, ...], ...] = MASKS, short_items: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched) of each document and item that overlap.
 
     They overlap if, at a common seed, ``window`` consecutive words of the item (all of a shorter one) that hold a part
     of the seed's run stand in the document with at least ``share`` of them equal, place by place. ``matched`` is the
     greatest number of equal words in such a window.
 
-    Items and documents of fewer words than a mask spans (9) overlap with nothing; so do null and empty texts. Items
-    of null id count. Repeated rows and ids: one row for a pair of ids. Other columns are ignored. Empty tables: no rows.
+    With the masks as given, every window of 9 to 13 words of which four fifths are equal has a common seed, also at the
+    edges of a document; other windows and shares need masks of their own. With ``short_items``, items of fewer words
+    than a mask spans (9) are found too, by all choices of words that may be equal; without, they overlap with nothing.
+    Null and empty texts overlap with nothing. Items of null id count. Repeated rows and ids: one row for a pair of ids. Other columns are ignored. Empty tables: no rows.
     """
     span = max(map(max, masks)) + 1
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("words"))
-    seeds = _seeds(items, masks, ["item_id"]).select("seed", "item_id", F.col("pos").alias("at"), F.col("words").alias("item"))
+    by_span = {span: list(enumerate(masks))}
+    seeds = _seeds(items, by_span[span], ["item_id"], span)
+    if short_items:  # at most one round for each number of words under the span
+        wide = F.least(F.size("words"), F.lit(window))
+        number = len(masks)
+        for n in sorted(r[0] for r in items.filter((wide > 0) & (wide < span)).select(wide).distinct().collect()):
+            by_span[n] = list(enumerate(combinations(range(n), n - _substituted(n, share)), number))
+            number += len(by_span[n])
+            seeds = seeds.union(_seeds(items.filter(wide == n), by_span[n], ["item_id"], n))
+    seeds = seeds.select("seed", "item_id", F.col("pos").alias("at"), F.col("words").alias("item"))
+    all_masks, least = [m for found in by_span.values() for m in found], min(by_span)
+    over = max(_substituted(n, share) for n in range(1, window + 1))
     n_seeds = seeds.count()
     # only the words that a check around the hit can reach
     low = F.greatest(F.lit(0), F.col("at") - window + 1)
     seeds = seeds.select("seed", "item_id", F.col("at") - low, F.slice("item", low + 1, F.lit(2 * window + span))).toDF("seed", "item_id", "at", "item").distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     if n_seeds <= BROADCAST_SEEDS:
-        hits = _seeds(texts, masks, ["doc_id"]).join(F.broadcast(seeds), "seed")
+        hits = _seeds(texts, all_masks, ["doc_id"], least, over).join(F.broadcast(seeds), "seed")
     else:  # words would be copied for each run that is sent, so they are joined to the hits
-        found = _seeds(texts, masks, ["doc_id"]).select("doc_id", "pos", "seed").join(seeds, "seed").distinct()
+        found = _seeds(texts, all_masks, ["doc_id"], least, over).select("doc_id", "pos", "seed").join(seeds, "seed").distinct()
         hits = texts.withColumnRenamed("doc_id", "_doc").join(found, F.col("_doc").eqNullSafe(F.col("doc_id")))
     first = F.col("pos") - F.col("at")  # where the item's slice begins in the document
     over = F.greatest(F.lit(0), -first)

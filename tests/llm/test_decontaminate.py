@@ -1,8 +1,10 @@
+import itertools
 import random
 import re
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from parlance.llm import decontaminate as dc
 from parlance.llm.queries import op6_decontamination
 from tests.llm import brute
@@ -75,3 +77,52 @@ def test_awkward(spark):
     assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {5, 6, 7, 8, 9, 10, 11, 12, 13, 14}
     assert dc.contamination(df.limit(0), bench).count() == 0
     assert not any(r["contaminated"] for r in dc.contamination(df, bench.limit(0)).collect())
+
+
+def every_window(docs, items, window=13, share=0.8):
+    """All pairs by every window at every place, without seeds."""
+    out = {}
+    for doc, d in docs:
+        for item, w in items:
+            wide = min(len(w), window)
+            for first in range(-len(w), len(d) + 1) if w else ():
+                equal = [0 <= first + k < len(d) and d[first + k] == x for k, x in enumerate(w)]
+                best = max(sum(equal[s : s + wide]) for s in range(len(w) - wide + 1))
+                if best >= wide * share:
+                    out[doc, item] = max(out.get((doc, item), 0), best)
+    return out
+
+
+def test_every_allowed_substitution_is_found(spark, monkeypatch):
+    items, docs = [], []
+    for n in range(1, 16):
+        item = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, item))
+        for k in range(4):
+            for lost in itertools.combinations(range(n), k):
+                edited = ["other" if i in lost else x for i, x in enumerate(item)]
+                docs += [(len(docs), edited), (len(docs) + 1, ["before", *edited, "after"])]
+        docs += [(len(docs) + i, item[a : n - b]) for i, (a, b) in enumerate(itertools.product(range(3), range(3)))]
+    want = every_window(docs, items)
+    assert len(want) > 800 and {i for _, i in want} == set(range(1, 16))
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for seeds in (dc.BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(dc, "BROADCAST_SEEDS", seeds)
+        assert {(r["doc_id"], r["item_id"]): r["matched"] for r in dc.benchmark_overlaps(df, bench, short_items=True).collect()} == want
+
+
+def test_scripts_without_spaces(spark):
+    item = "北京是中华人民共和国的首都也是全国政治中心"
+    docs = [(1, f"我们知道{item}没有问题"), (2, f"我们知道{item[:5]}某{item[6:]}没有"), (3, "这是完全不同的一段文字没有任何关系的内容"), (4, "ภาษาไทยเป็นภาษาที่สวยงามมากจริงๆ")]
+    bench = spark.createDataFrame([(1, item), (2, "เป็นภาษาที่สวยงาม")], "item_id long, text string")
+    found = dc.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, short_items=True).collect()
+    assert {r["doc_id"]: r["items"] for r in found} == {1: [1], 2: [1], 3: [], 4: [2]}
+
+
+def test_query_finds_short_items(spark, tmp_path):
+    spark.createDataFrame([(1, "who wrote the iliad"), (2, "an unrelated line of text")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "Who wrote the Iliad?")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["doc_id"]: r["items"] for r in op6_decontamination(spark, str(tmp_path)).collect()} == {1: [7], 2: []}
+    left = corpus_pipeline.decontamination(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert [r["doc_id"] for r in left.collect()] == [2]
