@@ -137,6 +137,18 @@ case when contains(low, 'hola')::int + contains(low, 'porque')::int + contains(l
      when contains(low, 'com')::int + contains(low, 'què')::int + contains(low, 'això')::int + contains(low, 'molt')::int > 2 then 'ca' else 'en' end as guess from d"""
 
 
+def language_guess(spark, sf_dir):
+    """By as many characters as the operator reads; the cue stands near their end."""
+    cue = F.when(F.col("doc_id") % 3 == 0, F.lit(" hola porque entonces qué ")).otherwise(F.lit(""))
+    said = F.concat(F.substring("text", 1, 4900), cue, F.substring("text", 4901, 2147483647))
+    return t.read(spark, sf_dir, "documents").select("doc_id", headers.guess_language(said).alias("guess"))
+
+
+ORACLE_SQL["language_guess"] = """with d as (select doc_id, lower(substr(substr(text, 1, 4900) || case when doc_id % 3 = 0 then ' hola porque entonces qué ' else '' end || substr(text, 4901), 1, 5000)) as low from documents)
+select doc_id, case when contains(low, 'hola')::int + contains(low, 'porque')::int + contains(low, 'entonces')::int + contains(low, 'qué')::int > 2 then 'es'
+     when contains(low, 'com')::int + contains(low, 'què')::int + contains(low, 'això')::int + contains(low, 'molt')::int > 2 then 'ca' else 'en' end as guess from d"""
+
+
 def header_fields(spark, sf_dir):
     """Headers made of the customers' columns, read back."""
     c = t.read(spark, sf_dir, "customer")
@@ -171,4 +183,4 @@ def numbered_per_language(spark, sf_dir):
 
 ORACLE_SQL["numbered_per_language"] = "select doc_id, 'CV23_' || upper(lang) || '_' || lpad(n::varchar, 5, '0') as participant_id from (select doc_id, lang, row_number() over (partition by lang order by doc_id) as n from documents) where n <= 50"
 
-QUERIES |= {f.__name__: f for f in (clean_text, tokenize, lexical_tokens, utterance_blocks, transcript, filler_counts, text_lengths, wps_trim, word_chunks, subdataset, language_map, header_fields, page_stems, group_names, numbered_per_language)}
+QUERIES |= {f.__name__: f for f in (clean_text, tokenize, lexical_tokens, utterance_blocks, transcript, filler_counts, text_lengths, wps_trim, word_chunks, subdataset, language_map, language_guess, header_fields, page_stems, group_names, numbered_per_language)}
