@@ -92,10 +92,17 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
 
 def chat_digests(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Counts and digests of conversations as read back from ``formatted``."""
+    """Counts and digests of conversations as read back from ``formatted``; those of the loss by its spans.
+
+    If the spans did not hold the texts of ``loss_role``, the query would fail.
+    """
     said = F.array_join(F.transform("parsed", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    learnt = F.array_join(F.transform(F.filter("parsed", lambda x: x["role"] == loss_role), lambda x: x["text"]), "")
-    return formatted.select(
+    turns = F.transform(F.filter("parsed", lambda x: x["role"] == loss_role), lambda x: x["text"])
+    masked = F.transform("loss_spans", lambda x: unescape_text(F.substr("formatted", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))))
+    wrong = F.raise_error(F.lit("a loss span is not a turn to learn")).cast("array<string>")
+    checked = F.when(F.coalesce(masked == turns, F.lit(False)), masked).otherwise(wrong)
+    learnt = F.array_join("masked", "")
+    return formatted.withColumn("masked", checked).select(
         "conv_id",
         F.size("parsed").cast("long").alias("n_turns"),
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),

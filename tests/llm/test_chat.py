@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from parlance.llm import chat
 from parlance.llm.queries import ORACLE_SQL, op9_chat_format
 from tests import oracle
@@ -35,6 +37,18 @@ def test_round_trip_and_mask(spark):
     assert chat.chat_digests(chat.format_chat(df.limit(0))).count() == 0
 
 
+def test_digests_come_from_the_spans(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, "user", "hi <|"), (1, 1, "assistant", "a <|im_end|> b"), (1, 2, "assistant", "漢字")]
+    good = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert chat.chat_digests(good).first()["loss_chars"] == len("a <|im_end|> b漢字")
+    moved = F.transform("loss_spans", lambda x: F.struct((x["start"] + 1).alias("start"), x["end"].alias("end")))
+    for spans in (moved, F.slice("loss_spans", 1, 1)):
+        with pytest.raises(Exception, match="a loss span is not a turn to learn"):
+            chat.chat_digests(good.withColumn("loss_spans", spans)).collect()
+
+
 def test_parser_refuses_what_is_not_grammar(spark):
     from pyspark.sql import functions as F
 
