@@ -42,8 +42,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def buffers(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets from 0) for slices of about SLICE_BYTES; null is as empty. A longer text is a slice alone."""
+def buffers(texts: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets from 0) for slices of about ``slice_bytes``; null is as empty. A longer text is a slice alone."""
     texts = texts.cast(pa.large_binary())
     if texts.null_count:
         texts = texts.fill_null(b"")
@@ -55,7 +55,7 @@ def buffers(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(off, off[at] + slice_bytes, "right")) - 1)
         to = min(to, n)
         yield at, raw[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to

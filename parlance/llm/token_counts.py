@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.text import buffers
-from parlance.llm.tokenizing import Pieces, held, load, worded
+from parlance.llm.tokenizing import SLICE_BYTES, Pieces, held, load
 
 CHUNK_CHARS, OVERLAP_CHARS, AGREE = 32_768, 256, 3
 
@@ -73,17 +74,33 @@ def count_huge(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OV
     return total + len(left.made) - from_
 
 
+def _decoded(raw: np.ndarray, off: np.ndarray, i: int) -> str:
+    return raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")
+
+
+def _without(raw: np.ndarray, off: np.ndarray, gone: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The slice with texts ``gone`` emptied."""
+    if not gone:
+        return raw, off
+    sizes, stays = np.diff(off), np.ones(len(raw), bool)
+    for i in gone:
+        stays[off[i] : off[i + 1]], sizes[i] = False, 0
+    return raw[stays], np.concatenate([[0], np.cumsum(sizes)])
+
+
 def _count(path: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, pieces = held(("counts", path), lambda: (t := load(path), Pieces(t, len, sum)))
+        tokenizer, pieces = held(("counts", path), lambda: (t := load(path), Pieces(t, len)))
         for batch in batches:
-            for at, raw, off in buffers(batch.column(1)):
-                data = raw.tobytes()
-                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)]
-                parts = [None if len(x) > chunk + overlap else worded(x) for x in texts]
-                pieces.learn(set().union(*(x for x in parts if x is not None)))
-                counts = [count_huge(tokenizer, t, chunk, overlap) if x is None else sum(pieces.of(x)) for t, x in zip(texts, parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(off[1:] - off[:-1], pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            for at, raw, off in buffers(batch.column(1), SLICE_BYTES):
+                long = {i: _decoded(raw, off, i) for i in np.flatnonzero(np.diff(off) > chunk + overlap)}
+                huge = {i: x for i, x in long.items() if len(x) > chunk + overlap}
+                found, place, bounds = pieces.of_slice(*_without(raw, off, list(huge)))
+                sums = np.concatenate([[0], np.cumsum(np.array(found, np.int64)[place])])
+                counts = sums[bounds[1:]] - sums[bounds[:-1]]
+                for i, text in huge.items():
+                    counts[i] = count_huge(tokenizer, text, chunk, overlap)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)), pa.array(np.diff(off)), pa.array(counts)], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
 

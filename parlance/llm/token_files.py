@@ -12,8 +12,7 @@ import hashlib
 import sys
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.storage import new_path
 from parlance.llm.text import buffers
-from parlance.llm.tokenizing import Pieces, held, load, single_gaps, spaced
+from parlance.llm.tokenizing import SLICE_BYTES, Pieces, held, load
 
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 20_000
 #: The dictionary is trained on so many documents at most, of so many bytes each at most.
@@ -39,32 +38,27 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int):
         assert sys.byteorder == "little"
-        self.tokenizer = load(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
-        self.end = np.array([end_id], f"<u{self.width}").tobytes()
+        tokenizer = load(path)
+        self.width = 2 if tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
+        self.kind = f"<u{self.width}"
+        self.end = np.array([end_id], self.kind).tobytes()
         code = {2: "H", 4: "I"}[self.width]
-        self.pack = lambda ids: array(code, ids).tobytes()
-        self.first, self.rest = Pieces(self.tokenizer, self.pack, b"".join), Pieces(self.tokenizer, self.pack, b"".join, " ")
-
-    def encode(self, texts: list[str], sure: Iterable[bool] = repeat(False)) -> list[bytes]:
-        parts = [spaced(x, y) for x, y in zip(texts, sure)]  # noqa: B905
-        cut = [x for x in parts if x is not None]
-        self.first.learn({x[0] for x in cut})
-        self.rest.learn(set().union(*cut) if cut else set())
-        whole = iter(self.tokenizer.encode_batch([t for t, x in zip(texts, parts, strict=True) if x is None], add_special_tokens=False))
-        out = []
-        for x in parts:
-            if x is None:
-                out.append(self.pack(next(whole).ids) + self.end)
-            else:
-                out.append(self.first.known[x[0]] + b"".join(self.rest.of(x[1:])) + self.end)
-        return out
-
-
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str], list[bool]]]:
-    for at, raw, off in buffers(batch.column(column)):
-        data = raw.tobytes()
-        yield at, [data[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)], single_gaps(raw, off).tolist()
+        self.pieces = Pieces(tokenizer, lambda ids: array(code, ids).tobytes())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [x for _, raw, off in buffers(pa.array([t.encode() for t in texts], pa.binary())) for x in self.encode_slice(raw, off)]
+
+    def encode_slice(self, raw: np.ndarray, off: np.ndarray) -> Iterator[bytes]:
+        """Of each text of a slice: the ids of all its pieces, taken from those of the slice's different pieces at once."""
+        found, place, bounds = self.pieces.of_slice(raw, off)
+        pool = np.frombuffer(b"".join(found), self.kind)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        begins = np.cumsum(lengths) - lengths
+        each = lengths[place]
+        through = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.arange(through[-1]) + np.repeat(begins[place] - through[:-1], each)].tobytes()
+        ends = (through[bounds] * self.width).tolist()
+        return (ids[a:b] + self.end for a, b in zip(ends[:-1], ends[1:], strict=True))
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -95,9 +89,9 @@ def _encode(path: str, end_id: int, dictionary: bytes, level: int):
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for at, texts, sure in _texts(batch, 1):
-                names = batch.column(0).slice(at, len(texts)).to_pylist()
-                for name, data in zip(names, encoder.encode(texts, sure), strict=True):
+            for at, raw, off in buffers(batch.column(1), SLICE_BYTES):
+                names = batch.column(0).slice(at, len(off) - 1).to_pylist()
+                for name, data in zip(names, encoder.encode_slice(raw, off), strict=True):
                     frames.append(packer.compress(data))
                     ids.append(name)
                     counts.append(len(data) // encoder.width)
@@ -129,7 +123,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     dictionary = train_dictionary(Encoder(tokenizer_path, end_id).encode(sample)) if sample else b""
     mark = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(mark, bytearray(dictionary))], "dict_hash string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    ordered = texts.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    order = [F.col("id"), F.xxhash64("text")]  # both, as one id, or null, may be of very many rows
+    ordered = texts.repartitionByRange(*order).sortWithinPartitions(*order)
     blocks = ordered.mapInArrow(_encode(tokenizer_path, end_id, dictionary, level), _BLOCKS)
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     return path

@@ -1,23 +1,24 @@
 """Encoding many texts by a public tokenizer file, piece by piece with a bounded memory of pieces.
 
-Both tokenizers split a text before they merge, and never merge across a split. A cut that is always a split leaves
-the ids as they are, so a piece met before need not be encoded again.
+The tokenizers split a text by a pattern before they merge, and never merge across a split. A cut that is always a
+split leaves the ids as they are, so a piece met before need not be encoded again. Cuts are found on the bytes of
+many texts at once, equal pieces of a slice are one by Arrow's dictionary encoding, and only a slice's different
+pieces are looked up one by one.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from collections.abc import Callable
-from operator import attrgetter
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 
-from parlance.llm.text import SPACE
-
-#: Pieces, and cores of pieces, that a Python worker keeps (some 200 MB); then that memory starts afresh.
-KEPT, KEPT_CORES = 500_000, 700_000
-_GAPS = re.compile(r"\s\s|[\x1c-\x1f]")
+#: Pieces that a Python worker keeps (some 200 MB), in two generations: what the last half did not meet is forgotten.
+KEPT = 800_000
+#: Texts are cut in slices of about so many bytes: the more, the fewer different pieces for each word.
+SLICE_BYTES = 4 << 20
 
 
 def load(path: str):
@@ -39,87 +40,105 @@ def held(key: tuple, make: Callable):
     return _held[key]
 
 
-_IDS = attrgetter("ids")
-_LINES = re.compile(r"\n|[^\n]+")
-_MARKED = re.compile(r"(.*[^\W_])([!-/:-@\[-^`{-~]+)$", re.S)
-
+def _flags(chars: Iterable[int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
 
-def cores(piece: str) -> list[str]:
-    """What both tokenizers split a piece into at least: single line ends, and ASCII marks that follow its last letter or digit.
 
-    A piece that may hold a special token stays whole.
+_SPACE = _flags(b" \t\n\r")
+#: White space, and control characters that some libraries count as such.
+_GAP = _SPACE | _flags([0x0B, 0x0C, *range(0x1C, 0x20)])
+_LEAD = _flags([0xC2, 0xE1, 0xE2, 0xE3])
+#: The other characters of the Unicode property White_Space.
+_WIDE = np.array([int.from_bytes(chr(c).encode()) for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)], np.int64)
+_MARK = _flags(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+_ALNUM = _flags(c for c in range(0x7F) if chr(c).isalnum())
+
+
+def _gaps(raw: np.ndarray) -> np.ndarray:
+    """Bytes that are white space, or may be."""
+    gap = _GAP[raw]
+    lead = np.flatnonzero(_LEAD[raw])
+    wide = raw.astype(np.int64) if len(lead) else raw
+    two = lead[lead + 1 < len(raw)]
+    two = two[(wide[two] == 0xC2) & ((wide[two + 1] == 0x85) | (wide[two + 1] == 0xA0))]
+    three = lead[lead + 2 < len(raw)]
+    three = three[np.isin(wide[three] << 16 | wide[three + 1] << 8 | wide[three + 2], _WIDE)]
+    for i, at in ((0, two), (1, two), (0, three), (1, three), (2, three)):
+        gap[at + i] = True
+    return gap
+
+
+def cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sorted starts of the pieces of a slice's texts (offsets ``off``); an empty text has none.
+
+    A piece begins with each text; where white space follows another character; after a line end between two others;
+    and at an ASCII mark after a letter or digit of Latin-1, but for texts that may hold an added token, ``<|...|>``.
+    At each such place both patterns split, whatever follows; neither looks back, or more than one character ahead.
     """
-    if "<|" in piece or "|>" in piece:
-        return [piece]
-    out = []
-    for part in _LINES.findall(piece) if "\n" in piece else (piece,):
-        found = _MARKED.match(part)
-        out += found.groups() if found else (part,)
-    return out
+    n = len(raw)
+    at = np.zeros(n + 1, bool)
+    if n:
+        gap, nl = _gaps(raw), np.flatnonzero(raw == 10)
+        wordy = _ALNUM[raw]
+        latin = np.flatnonzero(raw[:-1] == 0xC3) + 1  # U+00C0 to U+00FF, all letters but two
+        wordy[latin[(raw[latin] != 0x97) & (raw[latin] != 0xB7)]] = True
+        at[1:n] = _MARK[raw[1:]] & wordy[:-1]
+        pipe = np.flatnonzero(raw == ord("|"))
+        near = pipe[((pipe > 0) & (raw[np.maximum(pipe - 1, 0)] == ord("<"))) | ((pipe + 1 < n) & (raw[np.minimum(pipe + 1, n - 1)] == ord(">")))]
+        for i in np.unique(np.searchsorted(off, near, "right") - 1):
+            at[off[i] : off[i + 1]] = False
+        at[1:n] |= _SPACE[raw[1:]] & ~gap[:-1]
+        lone = nl[(nl > 0) & (nl + 1 < n)]
+        at[lone[~gap[lone - 1] & ~gap[lone + 1]] + 1] = True
+    at[off[:-1]] = True
+    at[n] = False
+    return np.flatnonzero(at)
+
+
+def can_cut(tokenizer) -> bool:
+    """Whether ``cuts`` fits: the byte-level pattern, or one that takes letters, digits and marks apart, and no other added tokens."""
+    about = json.loads(tokenizer.to_str())
+    kinds = json.dumps(about["pre_tokenizer"])
+    known = '"use_regex": true' in kinds and '"add_prefix_space": true' not in kinds or r"[^\\s\\p{L}\\p{N}]+" in kinds
+    plain = all(x["content"].startswith("<|") and x["content"].endswith("|>") and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in about["added_tokens"])
+    return known and plain
 
 
 class Pieces:
-    """``of(parts)``: what ``make`` gives for the ids of each piece, in order; ``join`` puts that of its cores together.
+    """What ``make`` gives for the ids of each piece; a piece is encoded only if it was not met lately."""
 
-    ``lead`` goes before a piece. Pieces are looked up; a new one is made of cores, and only new cores are encoded.
-    """
-
-    def __init__(self, tokenizer, make: Callable, join: Callable, lead: str = ""):
-        self.tokenizer, self.make, self.join, self.lead = tokenizer, make, join, lead
+    def __init__(self, tokenizer, make: Callable):
+        self.tokenizer, self.make, self.cut = tokenizer, make, can_cut(tokenizer)
         self.known: dict = {}
-        self.cores: dict = {}
+        self.before: dict = {}
 
     def learn(self, parts: set[str]) -> None:
         """Call once for a batch of texts, with all their pieces."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        if len(self.cores) > KEPT_CORES:
-            self.cores.clear()
-        lead, get, known = self.lead, self.cores.__getitem__, self.known
-        unknown = parts.difference(known)
-        plain = [x for x in unknown if x.isalnum()]  # a core by itself
-        split = [(x, cores(x) or [""]) for x in unknown.difference(plain)]
-        wanted = {lead + x for x in plain}
-        wanted.update(lead + found[0] for _, found in split)
-        wanted.update(x for _, found in split for x in found[1:])
-        new = list(wanted.difference(self.cores))
+        if len(self.known) > KEPT // 2:
+            self.before, self.known = self.known, {}
+        new = parts.difference(self.known)
+        again = [x for x in new if x in self.before]
+        self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        new = list(new.difference(again))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.cores.update(zip(part, map(self.make, map(_IDS, encoded)), strict=True))
-        known.update((x, get(lead + x)) for x in plain)
-        known.update((x, self.join([get(lead + found[0]), *map(get, found[1:])])) for x, found in split)
+            self.known.update(zip(part, [self.make(x.ids) for x in encoded], strict=True))
 
-    def of(self, parts: list[str]):
+    def of(self, parts: Iterable[str]):
+        """In order, for pieces of the last ``learn``."""
         return map(self.known.__getitem__, parts)
 
-
-_ODD = np.zeros(256, bool)
-#: Bytes that are or may begin white space other than SPACE's.
-_ODD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
-
-
-def single_gaps(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Whether a text of a slice surely has no white space next to white space."""
-    space = SPACE[raw]
-    meets = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(space[1:] & space[:-1], out=meets[1:-1]) if len(raw) > 1 else None
-    meets[-1] = meets[-2] if len(raw) else 0
-    odd = np.concatenate([[0], np.cumsum(_ODD[raw])])
-    last = np.maximum(off[1:] - 1, off[:-1])
-    return (meets[last] == meets[off[:-1]]) & (odd[off[1:]] == odd[off[:-1]])
-
-
-def spaced(text: str, sure: bool = False) -> list[str] | None:
-    """Pieces of a text for the byte-level pattern, each but the first without the space that leads it.
-
-    A space between two other characters always begins a piece there. None where white space meets white space, or a
-    control character might count as such: there a run of spaces is split by what follows it. ``sure``: single_gaps
-    has found that there is none.
-    """
-    return None if not sure and _GAPS.search(text) else text.split(" ")
-
-
-def worded(text: str) -> list[str]:
-    """Pieces of a text for a pattern that drops white space: a space or line end is always between pieces."""
-    return text.replace("\n", " ").split(" ")
+    def of_slice(self, raw: np.ndarray, off: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+        """(what ``make`` gave for the slice's different pieces, the place there of each piece, each text's bounds among these)."""
+        starts = cuts(raw, off) if self.cut else np.unique(off[:-1][np.diff(off) > 0])
+        ends = pa.py_buffer(np.append(starts, len(raw)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(raw)]).dictionary_encode()
+        try:
+            parts = coded.dictionary.cast(pa.string()).to_pylist()
+        except pa.ArrowInvalid:
+            parts = [x.decode("utf-8", "replace") for x in coded.dictionary.to_pylist()]
+        self.learn(set(parts))
+        return list(self.of(parts)), np.asarray(coded.indices), np.searchsorted(starts, off)

@@ -1,14 +1,18 @@
 import os
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from parlance.llm import token_counts as tc
+from parlance.llm import tokenizing as tk
 from parlance.llm.queries import op5_token_files, op8_token_counts
+from parlance.llm.text import buffers
 from parlance.llm.token_files import Encoder, read_documents, read_token_digests, write_token_files
-from parlance.llm.tokenizing import Pieces, load, worded
+from parlance.llm.tokenizing import Pieces, cuts, load
 from tests.llm import brute
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -22,11 +26,37 @@ def test_pieces_are_exact():
     for text, got in zip(ODD, Encoder(BYTES, 0).encode(ODD), strict=True):
         assert np.frombuffer(got, "<u2").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0], repr(text)
     tok = load(WORDS)
-    pieces = Pieces(tok, len, sum)
+    pieces = Pieces(tok, len)
     for text in ODD:
-        parts = worded(text)
-        pieces.learn(set(parts))
-        assert sum(pieces.of(parts)) == len(tok.encode(text, add_special_tokens=False).ids), repr(text)
+        assert counted(pieces, [text]) == [len(tok.encode(text, add_special_tokens=False).ids)], repr(text)
+
+
+def sliced(texts):
+    ((_, raw, off),) = buffers(pa.array([t.encode() for t in texts], pa.binary()), 1 << 30)
+    return raw, off
+
+
+def counted(pieces, texts):
+    found, place, bounds = pieces.of_slice(*sliced(texts))
+    return [sum(found[i] for i in place[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def test_cuts_are_splits_whatever_stands_beside(monkeypatch):
+    """Random texts of characters that meet in odd ways: the pieces' ids together are those of the whole text, also where pieces are forgotten."""
+    rng = random.Random(3)
+    some = ["a", "Z", "é", "×", "ß", "7", "½", "漢", "かな", "Σ", "\u0301", "\u0338", "'", "'s", "'LL", ",", ".", "_", "—", "<", "|", ">", "<|", "|>", "<|endoftext|>", "<|STARTOFTEXT|>", " ", " ", " ", "\n", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\u180e", "\x00", "Â", "😀"]
+    texts = ["".join(rng.choices(some, k=rng.randrange(14))) for _ in range(6000)]
+    ends = np.unique(np.concatenate([cuts(*sliced(texts))]))
+    assert len(ends) > len(texts)
+    for kept in (tk.KEPT, 40):
+        monkeypatch.setattr(tk, "KEPT", kept)
+        encoder, counts = Encoder(BYTES, 0), Pieces(load(WORDS), len)
+        assert encoder.pieces.cut and counts.cut
+        for i in range(0, len(texts), 500):
+            part = texts[i : i + 500]
+            want = [[*e.ids, 0] for e in load(BYTES).encode_batch(part, add_special_tokens=False)]
+            assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(part)] == want
+            assert counted(counts, part) == [len(e.ids) for e in load(WORDS).encode_batch(part, add_special_tokens=False)]
 
 
 def test_round_trip(spark, sf):
@@ -72,17 +102,3 @@ def test_counts(spark, sf):
     for r in rows:
         if r["doc_id"] is not None:
             assert r["n_tokens"] == len(tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids)
-
-
-def test_single_gaps_are_sure():
-    """Where no gap can meet another by the bytes, none does by the characters; and offsets of neighbours do not mix."""
-    import pyarrow as pa
-
-    from parlance.llm.text import buffers
-    from parlance.llm.tokenizing import single_gaps, spaced
-
-    texts = [*ODD, "plain text here", " lead", "trail ", "two\nlines", "é à", ""]
-    ((_, raw, off),) = buffers(pa.array([t.encode() for t in texts]))
-    sure = single_gaps(raw, off).tolist()
-    assert all(spaced(t) is not None for t, s in zip(texts, sure, strict=True) if s)
-    assert sure[-6:] == [True] * 6 and not sure[texts.index("a  b")]
