@@ -19,7 +19,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("doc.text", F.lit(""))
-    return sharding.write_shards(_table(spark, sf_dir, "documents"), shards=8).select(
+    return sharding.write_shards(_table(spark, sf_dir, "documents"), shards=8, row_key=sharding.file_position()).select(
         F.col("doc.doc_id").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),

@@ -1,7 +1,8 @@
 """Shuffled shards by a two-pass external shuffle.
 
 Pass 1 scatters rows by a seeded hash into buckets that fit a task's memory; pass 2 gives each bucket a seeded
-Fisher-Yates shuffle and writes it. Buckets in order are one random order of all rows, cut into equal shards.
+Fisher-Yates shuffle and writes it. Buckets in order are one random order of all rows, cut into equal shards. The
+hash takes in where a row is stored, so that equal rows part like any others.
 """
 
 from __future__ import annotations
@@ -11,14 +12,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.storage import new_path
+from parlance.llm.storage import new_path, written
 
 #: So many offsets are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_BUCKETS = 100_000
+#: Tasks of the second pass, at most; of more buckets a task has several, one after the other in its memory.
+MAX_TASKS = 100_000
+
+
+def file_position() -> Column:
+    """Where a row is stored, for a DataFrame that reads files: no two rows have the same. Task and run marks of part files are left out."""
+    name = F.regexp_replace("_metadata.file_name", r"^(part-\d+)-[0-9a-f]{8}-[0-9a-f-]{27}", "$1")
+    return F.xxhash64(name, "_metadata.row_index")
 
 
 def _shuffled(seed: int, total: int, shards: int):
@@ -51,30 +60,38 @@ def _shuffled(seed: int, total: int, shards: int):
     return run
 
 
-def write_shards(docs: DataFrame, shards: int = 8, seed: int = 5, bucket_bytes: int = 16 << 20, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, shards: int = 8, seed: int = 5, bucket_bytes: int = 16 << 20, path: str | None = None, row_key: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes ``docs`` shuffled into ``shards`` Parquet folders under ``path``; returns what was written, read again.
 
     Columns: ``doc``, a struct of all columns of the row; ``shard`` from 0; ``slot``, the place in the shard, gapless
     from 0. Counts of shards differ by one at most. ``path`` is by default new, in the shared folder.
 
-    Rows are sorted by id and text hash before a bucket's shuffle, so reruns agree; rows alike in both are
-    interchangeable. Null id or text: rows like others. Repeated rows: each has a slot. Fewer rows than shards: some
-    shards have none. Empty table: no rows.
+    ``row_key`` is of ``docs`` and tells equal rows apart, the same whenever it is computed; with file_position() the
+    rows are read where they are. Without, ``docs`` is written first and the places there are the keys.
+
+    Rows are sorted by id and hash before a bucket's shuffle, so reruns over the same files agree. Null id
+    or text: rows like others. Repeated rows: each has a slot, and they part as any two rows do. Fewer rows than
+    shards: some shards have none. Columns of any name stay, within ``doc``. Empty table: no rows.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "shards")
+    if row_key is None:
+        docs, row_key = written(docs, "rows"), file_position()
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 64
     rows, total_bytes = docs.select(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     buckets = max(1, math.ceil(total_bytes / bucket_bytes))
-    where = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(buckets)).cast("int")
+    h = F.xxhash64(F.col(id_col), F.col(text_col), row_key, F.lit(seed))
+    where = F.pmod(h, F.lit(buckets)).cast("int")
     counts = docs.select(where.alias("bucket")).groupBy("bucket").count()
     ahead = F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("bucket", F.coalesce(ahead, F.lit(0)).alias("ahead"))
     if buckets <= BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
-    dealt = docs.select(where.alias("bucket"), F.struct(*docs.columns).alias("doc")).join(offsets, "bucket")
-    dealt = dealt.select("bucket", "ahead", "doc").repartition(buckets, "bucket")
-    dealt = dealt.sortWithinPartitions("bucket", f"doc.{id_col}", F.xxhash64(f"doc.{text_col}"))
+    dealt = docs.select(where.alias("bucket"), h.alias("h"), F.struct(*docs.columns).alias("doc")).join(offsets, "bucket")
+    tasks = min(buckets, MAX_TASKS)
+    task = F.floor(F.col("bucket") * F.lit(tasks).cast("long") / buckets).cast("int")
+    dealt = dealt.select("bucket", "ahead", "doc", "h").repartitionById(tasks, task)
+    dealt = dealt.sortWithinPartitions("bucket", f"doc.{id_col}", "h").select("bucket", "ahead", "doc")
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), dealt.schema["doc"]])
     out = dealt.mapInArrow(_shuffled(seed, max(rows, 1), shards), schema).sortWithinPartitions("shard", "slot")
     out.write.option("compression", "zstd").partitionBy("shard").parquet(path)

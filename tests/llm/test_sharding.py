@@ -1,7 +1,13 @@
+import zlib
 from collections import defaultdict
+from pathlib import Path
 
+import pyarrow.parquet as pq
+import pytest
+
+from parlance.llm import sharding
 from parlance.llm.queries import op2_sharding
-from parlance.llm.sharding import write_shards
+from parlance.llm.sharding import file_position, write_shards
 from tests.llm import brute
 
 
@@ -16,6 +22,52 @@ def test_law_and_slots(spark, sf):
     assert {r["law"] for r in rows} == {"rows"}
 
 
+def test_columns_equal_a_plain_reading_of_the_files(spark, sf, tmp_path):
+    """Sizes and checksums from the texts themselves; shard and slot from the written files, read one by one."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op2_sharding(spark, sf).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["grown_shard"]) == (len(data) + 1, zlib.crc32(data), None)
+    path = str(tmp_path / "shards")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    told = {(r["shard"], r["slot"]): r["doc"]["doc_id"] for r in write_shards(docs, 5, path=path).collect()}
+    found = {}
+    for shard in range(5):
+        for file in sorted(Path(path, f"shard={shard}").glob("*.parquet")):
+            for row in pq.ParquetFile(file).read().to_pylist():
+                found[shard, row["slot"]] = row["doc"]["doc_id"]
+    assert found == told and len(found) == len(texts)
+    n = len(texts)
+    assert [sum(k[0] == s for k in found) for s in range(5)] == [(s + 1) * n // 5 - s * n // 5 for s in range(5)]
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_equal_rows_part(spark, tmp_path, keyed):
+    """Of pairs of equal rows about one in ``shards`` has both in one shard, and they are not neighbours."""
+    docs = spark.range(2000).selectExpr("id as doc_id", "repeat(cast(id as string), 40) as text")
+    docs = docs.union(docs)
+    if keyed:
+        docs.coalesce(3).write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+    out = write_shards(docs, 8, bucket_bytes=8_000, row_key=file_position() if keyed else None)
+    at = defaultdict(list)
+    for r in out.select("doc.doc_id", "shard", "slot").collect():
+        at[r[0]].append((r[1], r[2]))
+    pairs = list(at.values())
+    assert len(pairs) == 2000 and all(len(x) == 2 for x in pairs)
+    same = [abs(a[1] - b[1]) for a, b in pairs if a[0] == b[0]]
+    assert 0.09 < len(same) / 2000 < 0.165
+    assert sorted(same)[len(same) // 2] > 50
+
+
+def test_several_buckets_a_task(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    order = lambda: [tuple(r) for r in write_shards(docs, 3, bucket_bytes=20_000, row_key=file_position()).selectExpr("shard", "slot", "doc.doc_id").orderBy("shard", "slot").collect()]
+    once = order()
+    monkeypatch.setattr(sharding, "MAX_TASKS", 3)
+    assert order() == once
+
+
 def test_shuffles_and_repeats(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     one, two, other = (write_shards(docs, 3, seed=s, bucket_bytes=40_000) for s in (1, 1, 2))
