@@ -34,7 +34,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def shuffled_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Columns of the rows with ``shard`` and ``slot``, as written to the shards."""
-    return sharding.write_shards(docs, shards=8).select("doc.*", "shard", "slot")
+    return sharding.write_shards(docs, shards=8, row_key=sharding.file_position()).select("doc.*", "shard", "slot")
 
 
 STAGES = [
