@@ -10,7 +10,10 @@ BINS = 1000
 
 
 def calibrated_cut(scored: DataFrame, labels: DataFrame, keep: float, default: float, id_col: str = "doc_id", label_col: str = "quality") -> float:
-    """The cut above which a row is bad: of all that keep at least ``keep`` of the good rows, that of the best balanced accuracy.
+    """The cut above which a row is bad: of all that lose no more good rows than ``keep`` lets expect, that of the best balanced accuracy.
+
+    Of n good rows (1 - keep) * n may be lost, and twice the root of that number as well, rounded up: the upper end of
+    what chance makes of it. So one odd or mislabelled good row does not decide, and with many labels ``keep`` holds.
 
     ``scored``: (doc_id, score), higher is worse; ``labels``: ``label_col`` 1 is good, 0 is bad, null is ignored.
     Without rows of both kinds: ``default``. Between the last bad bin's edge and the first good one's, the middle.
@@ -26,6 +29,7 @@ def calibrated_cut(scored: DataFrame, labels: DataFrame, keep: float, default: f
         return default
     kept = np.cumsum(good) / good.sum()  # by a cut at the upper edge of each bin
     caught = 1 - np.cumsum(bad) / bad.sum()
-    merit = np.where(kept >= keep, kept + caught, -1)
+    lost = (1 - keep) * good.sum()
+    merit = np.where(good.sum() - np.cumsum(good) <= np.ceil(lost + 2 * np.sqrt(lost)), kept + caught, -1)
     best = np.flatnonzero(merit >= merit.max() - 1e-12)
     return float((best[0] + best[-1] + 2) / 2 / BINS)

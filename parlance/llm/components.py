@@ -24,7 +24,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id that an edge (a, b) names; ``component`` is the smallest id reachable.
 
     Each round is two group minima and two joins over the edges, which stay no more than at first; rounds grow
@@ -35,12 +35,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v")
     now = checkpointed(now.distinct())
     state = _state(now)
-    for _ in range(max_rounds):
+    last = None
+    while state != last:
         now = checkpointed(_small_star(_large_star(now)))
         last, state = state, _state(now)
-        if state == last:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())

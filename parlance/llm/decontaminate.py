@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Positions that count, of runs of 9 words. In 9 to 13 words of which four fifths stay, one of them fits somewhere.
 MASKS = ((0, 2, 4, 7, 8), (0, 1, 4, 5, 6), (2, 3, 5, 7, 8), (1, 2, 3, 6, 8))
-#: So many seeds of the benchmark are broadcast, each with 35 words (some 0.5 kB) at most; more are joined by a shuffle.
-BROADCAST_SEEDS = 200_000
+#: The benchmark's seeds, each with the words around it, are broadcast up to so many rows and bytes; more are joined by a shuffle.
+BROADCAST_SEEDS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 #: Thai, Lao, Burmese, Khmer, kana and Han, which are written without spaces.
@@ -61,8 +61,12 @@ def _most_equal(near: Column, item: Column, window: int) -> Column:
     return F.get(F.transform(F.array(equal), sums), F.lit(0))  # equal is made once
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col))
+
+
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, masks: tuple[tuple[int, ...], ...] = MASKS, short_items: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, matched) of each document and item that overlap.
+    """(doc_id, text_hash, item_id, matched) of each document and item that overlap.
 
     They overlap if, at a common seed, ``window`` consecutive words of the item (all of a shorter one) that hold a part
     of the seed's run stand in the document with at least ``share`` of them equal, place by place. ``matched`` is the
@@ -71,7 +75,8 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     With the masks as given, every window of 9 to 13 words of which four fifths are equal has a common seed, also at the
     edges of a document; other windows and shares need masks of their own. With ``short_items``, items of fewer words
     than a mask spans (9) are found too, by all choices of words that may be equal; without, they overlap with nothing.
-    Null and empty texts overlap with nothing. Items of null id count. Repeated rows and ids: one row for a pair of ids. Other columns are ignored. Empty tables: no rows.
+    A document is an id (null too) with the xxhash64 of its text, so rows that repeat an id are told apart by their texts.
+    Null and empty texts overlap with nothing. Items of null id count. Repeated rows: one row for a pair. Other columns are ignored. Empty tables: no rows.
     """
     span = max(map(max, masks)) + 1
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("words"))
@@ -87,32 +92,38 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     seeds = seeds.select("seed", "item_id", F.col("pos").alias("at"), F.col("words").alias("item"))
     all_masks, least = [m for found in by_span.values() for m in found], min(by_span)
     over = max(_substituted(n, share) for n in range(1, window + 1))
-    n_seeds = seeds.count()
     # only the words that a check around the hit can reach
     low = F.greatest(F.lit(0), F.col("at") - window + 1)
     seeds = seeds.select("seed", "item_id", F.col("at") - low, F.slice("item", low + 1, F.lit(2 * window + span))).toDF("seed", "item_id", "at", "item").distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    if n_seeds <= BROADCAST_SEEDS:
-        hits = _seeds(texts, all_masks, ["doc_id"], least, over).join(F.broadcast(seeds), "seed")
+    size = F.aggregate("item", F.lit(64).cast("long"), lambda n, w: n + F.octet_length(w) + 16)
+    n_seeds, n_bytes = seeds.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    keep = ["doc_id", "text_hash"]
+    texts = docs.select(F.col(id_col).alias("doc_id"), _text_hash(text_col).alias("text_hash"), words_of(F.col(text_col)).alias("words"))
+    if n_seeds <= BROADCAST_SEEDS and n_bytes <= BROADCAST_BYTES:
+        hits = _seeds(texts, all_masks, keep, least, over).join(F.broadcast(seeds), "seed")
     else:  # words would be copied for each run that is sent, so they are joined to the hits
-        found = _seeds(texts, all_masks, ["doc_id"], least, over).select("doc_id", "pos", "seed").join(seeds, "seed").distinct()
-        hits = texts.withColumnRenamed("doc_id", "_doc").join(found, F.col("_doc").eqNullSafe(F.col("doc_id")))
+        found = _seeds(texts, all_masks, keep, least, over).select(*keep, "pos", "seed").join(seeds, "seed").distinct()
+        named = texts.toDF("_doc", "_hash", "words").dropDuplicates(["_doc", "_hash"])
+        hits = named.join(found, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
     first = F.col("pos") - F.col("at")  # where the item's slice begins in the document
     over = F.greatest(F.lit(0), -first)
     near = F.concat(F.array_repeat(F.lit(None).cast("string"), over), F.slice("words", first + over + 1, F.size("item")))
     matched = _most_equal(F.slice(near, F.lit(1), F.size("item")), F.col("item"), window)
     enough = F.least(F.size("item"), F.lit(window)) * F.lit(share)
     # the filter comes after a maximum, else it would be the join's condition and end the generated loop
-    found = hits.select("doc_id", "item_id", F.get(F.transform(F.array(matched), lambda m: F.when(m >= enough, m)), F.lit(0)).alias("matched"))
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched")).filter("matched is not null")
+    found = hits.select(*keep, "item_id", F.get(F.transform(F.array(matched), lambda m: F.when(m >= enough, m)), F.lit(0)).alias("matched"))
+    return found.groupBy(*keep, "item_id").agg(F.max("matched").cast("long").alias("matched")).filter("matched is not null")
+
 
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, contaminated, n_items, items, matched) of each row of ``docs``: the items its text overlaps, in order.
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """(doc_id, contaminated, n_items, items, matched) of each row of ``docs``: the items it overlaps, in order."""
-    pairs = benchmark_overlaps(docs, benchmark, id_col=id_col, **options)
-    by_doc = pairs.groupBy(F.col("doc_id").alias("found")).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.count("*").alias("n"), F.max("matched").alias("matched"))
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    return ids.join(by_doc, F.col("doc_id").eqNullSafe(F.col("found")), "left").select(
+    Null id: a row like others. Rows that repeat an id: each by its own text. See benchmark_overlaps.
+    """
+    pairs = benchmark_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    by_doc = pairs.groupBy(F.col("doc_id").alias("found"), "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.count("*").alias("n"), F.max("matched").alias("matched"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text_hash(text_col).alias("own_hash"))
+    return rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("found")) & (F.col("own_hash") == F.col("text_hash")), "left").select(
         "doc_id",
         (F.coalesce("n", F.lit(0)) > 0).alias("contaminated"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_items"),
@@ -121,7 +132,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows whose id overlaps an item; all columns stay."""
-    leaks = benchmark_overlaps(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leak"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose own text overlaps an item; all columns stay, whatever their names.
+
+    Null id and rows that repeat an id: each row goes or stays by its text. See benchmark_overlaps.
+    """
+    pairs = benchmark_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    leaks = pairs.select(F.col("doc_id").alias("_leak"), F.col("text_hash").alias("_leak_hash")).distinct()
+    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leak"]) & (F.xxhash64(docs[text_col]) == leaks["_leak_hash"]), "left_anti")

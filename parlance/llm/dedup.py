@@ -2,11 +2,13 @@
 
 1. One pass over the texts gives each document its number of distinct word shingles, a 128-bit fingerprint of
    the set, and one key for each band of minima.
-2. Documents of one set fold to the smallest id, by a combined aggregate, so exact copies cost nothing further.
-3. Band buckets with the same members fold to one. What is left is dealt into blocks of bounded weight; each pair
-   of blocks is one group, in which links are verified on the full sets and only a spanning forest is given out.
-   No bucket is cut: a large one merely has more blocks.
+2. Documents of one set fold to one, by a combined aggregate, so exact copies cost nothing further. A set goes by
+   the number of its first row, not by an id, so rows that repeat an id are no trouble.
+3. Band buckets with the same members fold to one. What is left is dealt into blocks of bounded weight, each with the
+   bucket's first set; in a block links are verified on the full sets and a spanning forest is given out.
 4. Alternating large-star and small-star joins the links.
+5. In buckets of several blocks, only sets that are not yet joined to the bucket's largest component are compared
+   with those of other blocks. A bucket of near copies costs as many sets as it has; none is cut.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,12 +73,13 @@ def _profile(k: int, bands: int, rows: int, seed: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, n),
+                        batch.column(2).slice(at, n),
                         pa.array(size, pa.int64()),
                         pa.array(np.array(one, np.uint64).view(np.int64)),
                         pa.array(np.array(two, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
                     ],
-                    names=["id", "n_shingles", "fp1", "fp2", "bands"],
+                    names=["id", "h", "n_shingles", "fp1", "fp2", "bands"],
                 )
 
     return run
@@ -87,7 +90,7 @@ def _sets(k: int):
         for batch in batches:
             for at, raw, off in buffers(batch.column(1)):
                 sets = [x.tobytes() for x in text_sets(Words(raw, off), k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(sets, pa.binary())], names=["sid", "shingles"])
 
     return run
 
@@ -162,6 +165,41 @@ def _links(hundredths: int):
     return run
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
+    """Links (a, b) within groups of (band, lo, hi, side, sid)."""
+    grouped = pairs.join(sets, "sid").select("band", "lo", "hi", "side", "sid", "shingles")
+    grouped = grouped.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "side", "sid")
+    return grouped.mapInArrow(_links(hundredths), "a long, b long")
+
+
+def _blocks(n: Column, weight: Column) -> Column:
+    return F.greatest(F.ceil(weight / BLOCK_SHINGLES), F.ceil(n / BLOCK_DOCS)).cast("int")
+
+
+def _dealt(blocks: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64("sid", F.lit(seed)), blocks).cast("int")
+
+
+def _within_blocks(members: DataFrame, seed: int) -> DataFrame:
+    """Groups of one block each; the bucket's first set is in all of its blocks, the others in one."""
+    own = F.when(F.col("sid") == F.col("low"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_dealt(F.col("blocks"), seed)))
+    return members.select("band", F.explode(own).alias("lo"), "sid").select("band", "lo", F.col("lo").alias("hi"), F.lit(0).alias("side"), "sid")
+
+
+def _across_blocks(large: DataFrame, seed: int) -> DataFrame:
+    """Groups of pairs of blocks of ``large`` (band, sid, n_shingles, component): sets out of the largest component of their bucket with one another, and with those in it."""
+    by = large.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    order = F.struct("n", F.negative("component"))
+    plan = by.groupBy("band").agg(F.max_by("component", order).alias("main"), F.max_by("n", order).alias("main_n"), F.max_by("weight", order).alias("main_weight"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    out, inside = _blocks(F.col("n") - F.col("main_n"), F.col("weight") - F.col("main_weight")), _blocks(F.col("main_n"), F.col("main_weight"))
+    plan = plan.filter("n > main_n").select("band", "main", out.alias("out"), inside.alias("inside"))
+    rows = large.join(plan, "band").withColumn("is_out", F.col("component") != F.col("main"))
+    own = F.when(F.col("is_out"), _dealt(F.col("out"), seed)).otherwise(F.col("out") + _dealt(F.col("inside"), seed))
+    last = F.when(F.col("is_out"), F.col("out") + F.col("inside")).otherwise(F.col("out")) - 1
+    rows = rows.select("band", "sid", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid")
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -176,51 +214,52 @@ def near_duplicates(
 
     Two documents link if their sets of distinct ``k``-word shingles (A-Z folded) have Jaccard similarity
     ``threshold`` or more, a multiple of 0.01; ``component_id`` is the smallest id reachable and ``kept`` says that it
-    is the document's own. Every link between different sets that shares a band is verified on the full sets;
-    ``bands`` is by default so large that a pair at the threshold is missed with probability 1e-8 at most, and closer
-    pairs far more rarely.
+    is the document's own. Every link between different sets that shares a band is verified on the full sets, or both
+    are joined by others that are; ``bands`` is by default so large that a pair at the threshold is missed with
+    probability 1e-8 at most, and closer pairs far more rarely.
 
     Fewer than ``k`` words: one shingle of them all. Null, empty or blank text: no shingles, linked with nothing.
-    Null id: never linked, component null, kept. Rows of the same id are one document to the links, each with its row.
-    Empty table: no rows. Other columns are ignored, whatever their names.
+    Null id: never linked, component null, kept. Rows of the same id are one document, whatever their texts: what links
+    with one links with all, and each has its row. Empty table: no rows. Other columns are ignored, whatever their names.
     """
     hundredths = round(threshold * 100)
     bands = bands or banding(threshold, rows)[0]
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    schema = "id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
-    profile = written(texts.mapInArrow(_profile(k, bands, rows, seed), schema), "profile")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("h"))
+    schema = "id long, h long, n_shingles long, fp1 long, fp2 long, bands array<long>"
+    profile = texts.mapInArrow(_profile(k, bands, rows, seed), schema)
+    profile = written(profile.withColumn("row", F.monotonically_increasing_id()), "profile")  # numbers are fixed once written
 
+    mark = ["n_shingles", "fp1", "fp2"]
     whole = profile.filter("n_shingles > 0 and id is not null")
-    copies = whole.groupBy("n_shingles", "fp1", "fp2").agg(F.min("id").alias("rep"))
-    ids = profile.select("id", "n_shingles", "fp1", "fp2")
-    reps = checkpointed(copies.select("rep", "n_shingles"))
+    copies = checkpointed(whole.groupBy(*mark).agg(F.min("id").alias("rep"), F.min("row").alias("sid")))
 
-    banded = (
-        whole.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-        .select("id", "n_shingles", F.explode("bands").alias("band"))
-    )
+    banded = whole.join(copies.select(F.col("sid").alias("row")), "row", "left_semi").select(F.col("row").alias("sid"), "n_shingles", F.explode("bands").alias("band"))
     stats = banded.groupBy("band").agg(
-        F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("who")
+        F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("sid").alias("low"), F.bit_xor(F.xxhash64("sid")).alias("who")
     ).filter("n > 1")
     chosen = stats.groupBy("n", "weight", "low", "who").agg(F.min("band").alias("band"))
-    chosen = chosen.select("band", F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_DOCS)).cast("int").alias("blocks"))
-    members = checkpointed(banded.select("band", "id").join(chosen, "band"))
-    block = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int")
-    pairs = (
-        members.withColumn("own", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
-    )
-    wanted = members.select("id").distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id"])
-    grouped = pairs.join(sets, "id").select("band", "lo", "hi", "side", "id", "shingles")
-    grouped = grouped.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "side", "id")
-    links = grouped.mapInArrow(_links(hundredths), "a long, b long")
-    joined = connected_components(links)
+    chosen = chosen.select("band", "low", _blocks(F.col("n"), F.col("weight")).alias("blocks"))
+    members = checkpointed(banded.join(chosen, "band"))
 
-    folded = copies.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "fp1", "fp2", F.coalesce("component", "rep").alias("component"))
-    component = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.col("component"))
-    return ids.join(folded, ["n_shingles", "fp1", "fp2"], "left").select(
+    def sets(of: DataFrame) -> DataFrame:
+        numbers = of.select(F.col("sid").alias("row")).distinct()
+        wanted = profile.join(numbers, "row", "left_semi").select("id", "h", F.col("row").alias("sid"))
+        return texts.join(wanted, ["id", "h"]).select("sid", "t").mapInArrow(_sets(k), "sid long, shingles binary").dropDuplicates(["sid"])
+
+    links = _verified(_within_blocks(members, seed), sets(members), hundredths).union(_of_one_id(whole, copies, mark))
+    joined = connected_components(links)
+    large = members.filter("blocks > 1").join(joined.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    large = checkpointed(large.select("band", "sid", "n_shingles", "component"))
+    if large.limit(1).count():
+        pairs = _across_blocks(large, seed)
+        more = _verified(pairs, sets(pairs), hundredths)
+        joined = connected_components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+
+    named = copies.join(joined.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    folded = named.join(least, "component").select(*mark, "least")
+    component = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.col("least"))
+    return profile.select("id", *mark).join(folded, mark, "left").select(
         F.col("id").alias("doc_id"),
         "n_shingles",
         component.alias("component_id"),
@@ -228,14 +267,27 @@ def near_duplicates(
     )
 
 
+def _of_one_id(whole: DataFrame, copies: DataFrame, mark: list[str]) -> DataFrame:
+    """Links between the different sets of an id."""
+    several = whole.groupBy("id").agg(F.min("fp1").alias("least"), F.max("fp1").alias("most")).filter("least <> most")
+    own = whole.join(several, "id", "left_semi").join(copies, mark).groupBy("id", "sid").agg(F.lit(0))
+    first = own.groupBy("id").agg(F.min("sid").alias("a"))
+    return own.join(first, "id").filter("a <> sid").select("a", F.col("sid").alias("b"))
+
+
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one of the smallest id; all columns stay.
 
-    Of rows that repeat an id one stays, of those with a null id all.
+    Of rows that repeat an id the one of the least text stays (null first), of those alike in it one that is the first
+    by a hash of the other columns that can be hashed. Rows of a null id all stay. Empty table: no rows.
     """
-    found = checkpointed(near_duplicates(docs, threshold, id_col=id_col, text_col=text_col, **options).filter("kept").select("doc_id"))
-    named = found.filter("doc_id is not null")
-    kept = docs.join(named.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
-    if named.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.union(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+    found = checkpointed(near_duplicates(docs, threshold, id_col=id_col, text_col=text_col, **options).filter("kept and doc_id is not null").groupBy("doc_id").count())
+    named = found.select(F.col("doc_id").alias(id_col), "count")
+    kept = docs.join(named.select(id_col), id_col, "left_semi")
+    repeated = named.filter("count > 1").select(id_col)
+    if repeated.limit(1).count():
+        plain = [F.col(f.name) for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
+        first = F.struct(F.col(text_col), F.xxhash64(*plain))
+        of_each = kept.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), first).alias("_row")).select("_row.*")
+        kept = kept.join(repeated, id_col, "left_anti").select(*docs.columns).union(of_each)
+    return kept.select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))

@@ -37,17 +37,23 @@ def features(counts: dict[str, np.ndarray]) -> np.ndarray:
     )
 
 
+def expected_path(n: int) -> float:
+    """Mean path length of an unsuccessful search in a binary tree over ``n`` rows: 2 H(n - 1) - 2 (n - 1) / n."""
+    return 2 * float((1 / np.arange(1, n)).sum()) - 2 * (n - 1) / n if n > 1 else 0.0
+
+
 def grow(sample: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 3) -> dict[str, np.ndarray]:
     """An isolation forest: arrays (tree, node) of the split feature (-1: leaf), its cut, and a leaf's path length.
 
-    A feature is drawn among those that vary in the node, a cut between the ends of its range widened by half, so
-    that values outside of what the sample holds part from it early.
+    A node draws one of all features, and a cut between the ends of the feature's range in the node, each moved out by
+    one standard deviation that the feature has in the whole sample: so values outside of what the sample holds part
+    from it early. A leaf's path length is its depth and the expected path of a search tree over its rows; a leaf
+    without rows, which only such values reach, counts as one level less.
     """
     rng = np.random.default_rng(seed)
     depth = int(np.ceil(np.log2(max(min(rows, len(sample)), 2))))
     nodes = 2 ** (depth + 1) - 1
     feature, cut, length = np.full((trees, nodes), -1, np.int32), np.zeros((trees, nodes)), np.zeros((trees, nodes))
-    harmonic = lambda n: 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649 if n > 2 else 0.5) - 2 * (n - 1) / n
     spread = np.maximum(sample.std(axis=0), 1e-3)
     for t in range(trees):
         stack = [(0, sample[rng.choice(len(sample), min(rows, len(sample)), replace=False)], 0)]
@@ -60,8 +66,8 @@ def grow(sample: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: in
                 left = x[:, f] < cut[t, node]
                 stack += [(2 * node + 1, x[left], at + 1), (2 * node + 2, x[~left], at + 1)]
             else:
-                length[t, node] = at + harmonic(len(x)) - (1 if len(x) == 0 else 0)
-    mean = harmonic(min(rows, len(sample))) or 1.0
+                length[t, node] = at + expected_path(len(x)) - (1 if len(x) == 0 else 0)
+    mean = expected_path(min(rows, len(sample))) or 1.0
     return {"feature": feature, "cut": cut, "length": length, "mean": np.array(mean), "depth": np.array(depth)}
 
 

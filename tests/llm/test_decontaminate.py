@@ -74,7 +74,8 @@ def test_awkward(spark):
     by = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
     assert by[1]["items"] == [1, 4] and by[2]["contaminated"] and not by[8]["contaminated"] and by[5]["items"] == []
     left = dc.drop_contaminated(df, bench)
-    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {5, 6, 7, 8, 9, 10, 11, 12, 13, 14}
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {None, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14}
+    assert [r["text"] for r in left.filter("doc_id is null").collect()] == [None]  # the other row of a null id has the item
     assert dc.contamination(df.limit(0), bench).count() == 0
     assert not any(r["contaminated"] for r in dc.contamination(df, bench.limit(0)).collect())
 
@@ -112,6 +113,23 @@ def test_every_allowed_substitution_is_found(spark, monkeypatch):
         assert {(r["doc_id"], r["item_id"]): r["matched"] for r in dc.benchmark_overlaps(df, bench, short_items=True).collect()} == want
 
 
+def test_rows_of_one_id_go_by_their_texts(spark):
+    rows = [(None, brute.BASE), (None, "a clean text of no interest"), (5, f"x {brute.BASE} y"), (5, "another clean one"), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_leak", F.lit(1)).withColumn("text_hash", F.lit(2))
+    bench = spark.createDataFrame([(1, brute.BASE)], "item_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in dc.drop_contaminated(df, bench).collect()} == {rows[1], rows[3], rows[4]}
+    assert sorted(map(str, ((r["doc_id"], r["contaminated"]) for r in dc.contamination(df, bench).collect()))) == sorted(map(str, [(None, True), (None, False), (5, True), (5, False), (6, False)]))
+
+
+def test_long_words_are_not_broadcast(spark, monkeypatch):
+    """The benchmark's bytes are bounded, not only its rows; the result is the same."""
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", 1)
+    bench = spark.createDataFrame([(1, brute.BASE), (2, "w" * 100_000 + " " + brute.BASE)], "item_id long, text string")
+    df = spark.createDataFrame([(1, brute.BASE), (2, "nothing here"), (2, brute.BASE)], "doc_id long, text string")
+    assert "ResolvedHint (strategy=broadcast)" not in dc.benchmark_overlaps(df, bench)._jdf.queryExecution().analyzed().toString()
+    assert sorted((r["doc_id"], r["n_items"]) for r in dc.contamination(df, bench).collect()) == [(1, 2), (2, 0), (2, 2)]
+
+
 def test_scripts_without_spaces(spark):
     item = "北京是中华人民共和国的首都也是全国政治中心"
     docs = [(1, f"我们知道{item}没有问题"), (2, f"我们知道{item[:5]}某{item[6:]}没有"), (3, "这是完全不同的一段文字没有任何关系的内容"), (4, "ภาษาไทยเป็นภาษาที่สวยงามมากจริงๆ")]

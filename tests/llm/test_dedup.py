@@ -35,6 +35,43 @@ def test_large_bucket_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute.components(docs, 80)
 
 
+@pytest.mark.parametrize("block", [3, 512])
+def test_random_sets_in_small_blocks(spark, monkeypatch, block):
+    """Chains of edits, so that a bucket's first set links with few of its members, and components meet across blocks only."""
+    from parlance.llm import dedup
+
+    monkeypatch.setattr(dedup, "BLOCK_DOCS", block)
+    rng, docs = random.Random(9), {}
+    for c in range(6):
+        w = rng.choices([f"v{i}" for i in range(400)], k=80)
+        for _ in range(30):
+            for _ in range(rng.choice((0, 1, 1, 2))):
+                w = list(w)
+                w[rng.randrange(len(w))] = rng.choice("abcdefgh") + str(c)
+            docs[len(docs) * 7 % 1009] = " ".join(w)
+    got = near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), 0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute.components(docs, 80)
+
+
+def test_repeated_ids_of_different_texts(spark):
+    """Each text of an id keeps its links, and what links with one text of an id links with all."""
+    rng, rows, edges = random.Random(5), [], []
+    text = lambda: rng.choices([f"u{i}" for i in range(900)], k=40)
+    for i in range(40):
+        one, two = text(), text()
+        near = lambda w: [*w[:20], "changed", *w[21:]]
+        rows += [(i, " ".join(one)), (i, " ".join(two)), (1000 + i, " ".join(near(one) + ["x"] * 8)), (500 + i, " ".join(near(two) + ["x"] * 8))]
+        edges += [{i, 500 + i, 1000 + i}]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df, 0.65).collect()
+    assert len(got) == len(rows)
+    assert all(r["component_id"] == min(next(e for e in edges if r["doc_id"] in e)) for r in got)
+    left = drop_near_duplicates(df, 0.65).collect()
+    least = {i: min(t for d, t in rows if d == i) for i in range(40)}
+    assert {r["doc_id"]: r["text"] for r in left} == least and len(left) == 40
+
+
 def test_awkward(spark):
     df = brute.awkward(spark)
     got = sorted(((r["doc_id"], r["component_id"], r["kept"], r["n_shingles"]) for r in near_duplicates(df, 0.8).collect()), key=str)
