@@ -7,12 +7,13 @@ most, however many documents there are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.llm.calibration import calibrated_cut
 from parlance.llm.statistics import COUNTS, counts_of, document_statistics
@@ -22,8 +23,6 @@ from parlance.llm.text import Words, buffers
 BAD, GOOD, NONE = 0, 1, 2
 #: Labellers that vote good or nothing; the others vote bad or nothing.
 GOOD_ONLY = ("plain", "varied")
-#: The scorer is trained on so many documents at most (those of the least hash), of so many bytes each at most.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 4_000, 256 << 10
 WORD_BITS, CLASSES = 18, 40
 _STEPS = 16
 
@@ -51,13 +50,14 @@ def labellers() -> dict[str, Column]:
     }
 
 
-def fit_labellers(patterns: np.ndarray, counts: np.ndarray, one_sided: np.ndarray, rounds: int = 200, weight: float = 0.05) -> tuple[np.ndarray, float]:
+def fit_labellers(patterns: np.ndarray, counts: np.ndarray, one_sided: np.ndarray, rounds: int = 200, prior_docs: float = 50.0) -> tuple[np.ndarray, float]:
     """(P(vote | class) as array (labeller, class, vote), share of good), by expectation-maximisation.
 
     ``patterns``: votes (pattern, labeller); ``counts``: documents with each; ``one_sided``: the vote that a labeller
     can cast, BAD or GOOD. Votes are independent given the class. How often a labeller speaks up in either class is
-    estimated from all documents and a prior of ``weight`` of them: one that knows bad text seldom speaks up in good
-    text, and one that knows good text more often there. The prior keeps the classes from changing places.
+    estimated from all documents and a prior that counts as ``prior_docs`` of each class, however many there are: one
+    that knows bad text seldom speaks up in good text, and one that knows good text more often there. The estimation
+    starts from it, which keeps the classes from changing places; with many documents nothing else of it is left.
     """
     n = counts.sum()
     prior = np.zeros((patterns.shape[1], 2, 3))
@@ -71,7 +71,7 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, one_sided: np.ndarra
         post = 1 / (1 + np.exp(-np.clip(_log_odds(theta, share, patterns), -50, 50)))
         new = np.empty_like(theta)
         for k, mass in ((GOOD, counts * post), (BAD, counts * (1 - post))):
-            new[:, k] = (np.einsum("p,pjv->jv", mass, votes) + weight * n * prior[:, k]) / (mass.sum() + weight * n)
+            new[:, k] = (np.einsum("p,pjv->jv", mass, votes) + prior_docs * prior[:, k]) / (mass.sum() + prior_docs)
         share = float(np.clip((counts * post).sum() / n, 0.01, 0.99))
         if np.abs(new - theta).max() < 1e-9:
             break
@@ -125,6 +125,9 @@ def _parts(raw: np.ndarray, off: np.ndarray) -> tuple[list[tuple[np.ndarray, np.
     c = np.minimum(_CLASS[raw], CLASSES - 1)
     tri = np.zeros(len(c), np.int64)
     tri[:-2] = c[:-2] * CLASSES * CLASSES + c[1:-1] * CLASSES + c[2:] if len(c) > 2 else 0
+    for back in (1, 2):  # these would reach into the next text
+        last = off[1:] - back
+        tri[last[last >= off[:-1]]] = 0
     words = Words(raw, off)
     word = (words.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64) + _TRIGRAMS
     k = counts_of(raw, off)
@@ -138,7 +141,7 @@ def _sum_scores(weights: np.ndarray, bias: float, raw: np.ndarray, off: np.ndarr
     total = np.full(len(off) - 1, bias)
     parts, counts = _parts(raw, off)
     for (index, bounds), scale in zip(parts, _SCALES, strict=True):
-        sums = np.concatenate([[0.0], np.cumsum(weights[index])])
+        sums = np.concatenate([[0.0], np.cumsum(weights[index], dtype=float)])
         total += scale * (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
     return 1 / (1 + np.exp(-np.clip(total, -50, 50))), counts
 
@@ -147,9 +150,9 @@ _SCALES = (20.0, 5.0, 8.0)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (features, values, COUNTS)."""
+    """(h, text) -> (h, features, values, COUNTS)."""
     for batch in batches:
-        for _, raw, off in buffers(batch.column(1)):
+        for at, raw, off in buffers(batch.column(1)):
             parts, counts = _parts(raw, off)
             index, value = [], []
             for i in range(len(off) - 1):
@@ -159,7 +162,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found.append((x, scale * n / max(n.sum(), 1)))
                 index.append(np.concatenate([x for x, _ in found]).astype(np.int32))
                 value.append(np.concatenate([x for _, x in found]).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), *_count_arrays(counts)], names=["index", "value", *COUNTS])
+            hashes = batch.column(0).slice(at, len(index))
+            yield pa.RecordBatch.from_arrays([hashes, pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), *_count_arrays(counts)], names=["h", "index", "value", *COUNTS])
 
 
 def train_linear(target: np.ndarray, index: list[np.ndarray], value: list[np.ndarray], rounds: int = 120, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -192,78 +196,77 @@ class QualityModel:
         return _sum_scores(self.weights, self.bias, raw, off)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-
-
-def _scored(texts: DataFrame, model: QualityModel) -> DataFrame:
-    """(doc_id, score, COUNTS)."""
+def _scored(rows: DataFrame, model: QualityModel, text: Callable[[pa.RecordBatch], pa.Array], schema: str | T.StructType) -> DataFrame:
+    """``rows`` with score and COUNTS of their texts; ``schema`` is of the result's first column, which stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, raw, off in buffers(batch.column(1)):
+            for at, raw, off in buffers(text(batch)):
                 scores, counts = model.scores(raw, off)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(scores)), pa.array(scores), *_count_arrays(counts)], names=["doc_id", "score", *COUNTS])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(scores)), pa.array(scores), *_count_arrays(counts)], names=[batch.schema.names[0], "score", *COUNTS])
 
-    return texts.mapInArrow(run, f"doc_id long, score double, {_COUNTED}")
+    return rows.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[QualityModel, DataFrame] | None:
-    """(the model of ``docs``, scores of all of them); see quality_scores.
+def fit(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, sample_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", whole: bool = False) -> tuple[QualityModel, DataFrame] | None:
+    """(the model of ``docs``, scores of all of them, written); see quality_scores.
 
-    The labellers' model is of all documents; the scorer of a bounded sample with its posteriors; the cut of all
-    labelled rows, 0.5 without labels. Texts are never shuffled. Empty table: nothing.
+    The labellers' model is of all documents. The scorer is trained on a sample with its posteriors: different
+    documents whose hash is under that bound which about ``sample_rows`` of all rows are under; of any length, by at
+    most some 300,000 features each. The cut is of all labelled rows, 0.5 without labels. The scores have the id, or
+    with ``whole`` a struct ``doc`` of all columns of the row. Texts are scored once and never shuffled. Empty table:
+    nothing.
     """
     votes = labellers()
-    texts = _texts(docs, id_col, text_col)
-    stats = document_statistics(docs, id_col, text_col)
-    found = stats.select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).count().toArrow()  # 3 ** 10 rows at most
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    found = document_statistics(docs, id_col, text_col).select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).count().toArrow()  # 3 ** 10 rows at most
     if not len(found):
         return None
-    patterns = np.stack([np.asarray(found[k]) for k in votes], axis=1)
-    theta, share = fit_labellers(patterns, np.asarray(found["count"], dtype=float), np.array([GOOD if k in GOOD_ONLY else BAD for k in votes]))
-    h = F.xxhash64("doc_id", F.lit(10))
-    last = texts.select(h.alias("h")).orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]  # hashes first, so that no task sends texts that are not drawn
-    drawn = texts.filter((h <= F.lit(last)) & (F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)).limit(SAMPLE_ROWS)
-    rows = drawn.mapInArrow(_hashed, f"index array<int>, value array<float>, {_COUNTED}").select("index", "value", (1 - posterior(theta, share)).alias("target")).toArrow()
+    patterns, times = np.stack([np.asarray(found[k]) for k in votes], axis=1), np.asarray(found["count"], dtype=float)
+    theta, share = fit_labellers(patterns, times, np.array([GOOD if k in GOOD_ONLY else BAD for k in votes]))
+    h = F.xxhash64("doc_id", "text", F.lit(10))
+    bound = -(2**63) + int(2**64 * min(1.0, sample_rows / times.sum()))
+    drawn = texts.select(h.alias("h"), "text").filter(F.col("h") < F.lit(min(bound, 2**63 - 1)))
+    drawn = drawn.mapInArrow(_hashed, f"h long, index array<int>, value array<float>, {_COUNTED}")
+    rows = drawn.select("h", "index", "value", (1 - posterior(theta, share)).alias("target")).dropDuplicates(["h"]).toArrow().sort_by("h")
     weights, bias = np.zeros(_WIDTH), 0.0
     if len(rows):
         weights, bias = train_linear(np.asarray(rows["target"]), [np.asarray(x.values) for x in rows["index"]], [np.asarray(x.values) for x in rows["value"]])
     model = QualityModel(theta, share, weights, bias)
-    scored = written(_scored(texts, model), "scored")
+    if whole:
+        place = docs.columns.index(text_col)
+        first = T.StructType([T.StructField("doc", docs.schema)])
+        schema = T.StructType([*first.fields, T.StructField("score", T.DoubleType()), *(T.StructField(x, T.LongType()) for x in COUNTS)])
+        scored = _scored(docs.select(F.struct(*docs.columns).alias("doc")), model, lambda batch: batch.column(0).field(place), schema)
+        scored = written(scored.select("doc", "score"), "scored")
+        named = scored.select(F.col(f"doc.{id_col}").alias("doc_id"), "score")
+    else:
+        scored = written(_scored(texts, model, lambda batch: batch.column(1), f"doc_id long, score double, {_COUNTED}"), "scored")
+        named = scored.select("doc_id", "score")
     if labels is not None:
-        model.cut = calibrated_cut(scored.select("doc_id", "score"), labels, keep, 0.5, id_col, label_col)
+        model.cut = calibrated_cut(named, labels, keep, 0.5, id_col, label_col)
     return model, scored
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, sample_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, weak_good, score, kept) of each row of ``docs``.
 
-    ``weak_good``: the weak-label model's probability of good; ``score``: the scorer's of bad; ``kept``: a score up
-    to the cut. Null or empty text: scored by what it lacks. Each row counts, whatever its id. Other columns are
-    ignored. Empty table: no rows.
+    ``weak_good``: the weak-label model's probability of good; ``score``: the scorer's of bad, which is trained on
+    about ``sample_rows`` documents (see fit); ``kept``: a score up to the cut, with ``keep`` of the labelled good rows
+    (see calibrated_cut). Null or empty text: scored by what it lacks. Null id: scored, never labelled. Each row
+    counts, whatever its id. Other columns are ignored. Empty table: no rows.
     """
-    found = fit(docs, labels, keep, id_col, text_col, label_col)
+    found = fit(docs, labels, keep, sample_rows, id_col, text_col, label_col)
     if found is None:
-        return _texts(docs, id_col, text_col).select("doc_id", F.lit(0.5).alias("weak_good"), F.lit(0.5).alias("score"), F.lit(True).alias("kept"))
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0.5).alias("weak_good"), F.lit(0.5).alias("score"), F.lit(True).alias("kept"))
     model, scored = found
     return scored.select("doc_id", posterior(model.theta, model.share).alias("weak_good"), "score", (F.col("score") <= model.cut).alias("kept"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """``docs`` without the rows that the model fitted on them rejects; all columns stay.
+def drop_low_quality(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, sample_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """``docs`` without the rows that the model fitted on them rejects; all columns stay, whatever their names.
 
-    Rows are scored once more where they are, so nothing is shuffled.
+    Rows are written once with their scores, and read again up to the cut. See quality_scores.
     """
-    found = fit(docs, labels, keep, id_col, text_col, label_col)
-    if found is None:
-        return docs
-    model, place = found[0], docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [model.scores(raw, off)[0] for _, raw, off in buffers(batch.column(place))]
-            if scores:
-                yield batch.filter(pa.array(np.concatenate(scores) <= model.cut))
-
-    return docs.mapInArrow(run, docs.schema)
+    found = fit(docs, labels, keep, sample_rows, id_col, text_col, label_col, whole=True)
+    return docs if found is None else found[1].filter(F.col("score") <= found[0].cut).select("doc.*")
