@@ -2,7 +2,8 @@
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. In a text the grammar has no ``<|``, and one backslash is taken
 out of each ``<\\...\\|``; escaping puts one in, so it can be undone in any text. Content is escaped only where the
-turn, rendered and parsed again, is not what it was; the whole conversation is parsed once more in the end.
+turn, rendered and parsed again, is not what it was. The whole conversation is parsed once more in the end; if it is
+not what it was, all of its turns are escaped, and it is parsed again.
 """
 
 from __future__ import annotations
@@ -59,11 +60,13 @@ def _round_trips(role: Column, text: Column, role_was: Column, text_was: Column)
 
 
 def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
-    """(conv_id, formatted, loss_spans, parsed): one row a conversation of ``turns``, which has a row for each turn.
+    """(conv_id, formatted, loss_spans, parsed, reads_back): one row a conversation of ``turns``, which has a row for each turn.
 
     ``loss_spans``: array<struct<start, end>> of code points, from 0, end excluded: the (escaped) texts of
-    ``loss_role``. ``parsed``: the turns read back from ``formatted``; if they differed from the source, the query
-    would fail. Escaping is by turn, and before turns are brought together.
+    ``loss_role``. ``parsed``: the turns read back from ``formatted``; ``reads_back`` says that they are those of the
+    source. Where that is false ``formatted`` must not be used; escaping is such that it never is, and one conversation
+    of its kind does not end the job. Escaping is by turn, and before turns are brought together. A conversation is one
+    row of the result, so its turns meet in one task.
 
     Null role or text: empty. Turns in the order of turn (null first), role, text; ties are kept. A null conversation
     id is a conversation. Other columns are ignored, whatever their names. Empty table: no rows.
@@ -84,17 +87,40 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     span = F.when(F.col("role") == loss_role, F.struct((end - F.length("out_text")).alias("start"), end.alias("end")))
     rows = rows.withColumn("through", through).select("conv_id", "pos", "rendered", span.alias("span"), F.struct("role", "text").alias("source"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "rendered", "span", "source"))).alias("t"))
-    whole = grouped.select("conv_id", "t", F.array_join("t.rendered", "").alias("formatted"))
+    whole = grouped.select("conv_id", "t", F.array_join("t.rendered", "").alias("formatted"), F.filter("t.span", lambda x: x.isNotNull()).alias("loss_spans"))
     whole = whole.withColumn("parsed", parse_turns(F.col("formatted")))
-    same = F.coalesce(F.col("parsed") == F.col("t.source"), F.lit(False))
-    checked = F.when(same, F.col("parsed")).otherwise(F.raise_error(F.lit("a conversation does not read back")).cast("array<struct<role:string,text:string>>"))
-    return whole.select("conv_id", "formatted", F.filter("t.span", lambda x: x.isNotNull()).alias("loss_spans"), checked.alias("parsed"))
+    whole = whole.withColumn("same", F.coalesce(F.col("parsed") == F.col("t.source"), F.lit(False)))
+    escaped, spans = _all_escaped(F.col("t.source"), loss_role)
+    whole = whole.select(
+        "conv_id", "t", "same",
+        F.when(F.col("same"), F.col("formatted")).otherwise(escaped).alias("formatted"),
+        F.when(F.col("same"), F.col("loss_spans")).otherwise(spans).alias("loss_spans"),
+        F.col("parsed").alias("first"),
+    ).withColumn("parsed", F.when(F.col("same"), F.col("first")).otherwise(parse_turns(F.col("formatted"))))
+    return whole.select("conv_id", "formatted", "loss_spans", "parsed", F.coalesce(F.col("parsed") == F.col("t.source"), F.lit(False)).alias("reads_back"))
+
+
+def _all_escaped(source: Column, loss_role: str) -> tuple[Column, Column]:
+    """(formatted, loss spans) of turns that are all escaped."""
+    turns = F.transform(source, lambda x: F.struct(x["role"].alias("role"), escape_text(x["text"]).alias("out"), render_turn(escape_role(x["role"]), escape_text(x["text"])).alias("rendered")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+
+    def after(state: Column, x: Column) -> Column:
+        at = state["at"] + F.length(x["rendered"])
+        end = at - len(END)
+        span = F.struct((end - F.length(x["out"])).alias("start"), end.alias("end"))
+        spans = F.when(x["role"] == loss_role, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        return F.struct(at.cast("long").alias("at"), spans.alias("spans"))
+
+    joined = F.array_join(F.transform(turns, lambda x: x["rendered"]), "")
+    return joined, F.aggregate(turns, start, after)["spans"]
 
 
 def chat_digests(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Counts and digests of conversations as read back from ``formatted``; those of the loss by its spans.
 
-    If the spans did not hold the texts of ``loss_role``, the query would fail.
+    If the spans did not hold the texts of ``loss_role``, the query would fail: the mask is wrong then, and so may be
+    that of others. A conversation that does not read back has no turns to count. Empty table: no rows.
     """
     said = F.array_join(F.transform("parsed", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     turns = F.transform(F.filter("parsed", lambda x: x["role"] == loss_role), lambda x: x["text"])

@@ -2,15 +2,22 @@
 
 The order within a source is that of a seeded hash of the id. Its leading hex digits deal a source into ranges of
 keys, so a running sum needs only its range's rows and the sum of the ranges before it, and no source is one task.
+Keys and sizes are written once, so texts are read and counted once.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.llm.storage import written
 from parlance.llm.text import n_words
 
+#: Rows of a range of keys, about.
+RANGE_ROWS = 5_000
+
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: int) -> DataFrame:
     """(src, source_size, target) of each source, from (src, source, source_size).
@@ -35,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return leveled.select("src", "source_size", target.alias("target"))
 
 
-def _planned(docs: DataFrame, row: list[Column], share: float, weights: tuple[float, ...], max_epochs: int, seed: int, digits: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
+def _planned(docs: DataFrame, row: list[Column], share: float, weights: tuple[float, ...], max_epochs: int, seed: int, digits: int | None, id_col: str, source_col: str, text_col: str) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     base = docs.select(
         *row,
@@ -45,7 +52,11 @@ def _planned(docs: DataFrame, row: list[Column], share: float, weights: tuple[fl
         n_words(F.col(text_col)).alias("size"),
         key.alias("key"),
         F.xxhash64(F.col(text_col)).alias("tie"),
-    ).withColumn("range", F.substring("key", 1, digits))
+    )
+    base = written(base, "sizes")
+    if digits is None:
+        digits = max(1, math.ceil(math.log(max(1, base.count() / RANGE_ROWS), 16)))
+    base = base.withColumn("range", F.substring("key", 1, digits))
     ranges = base.groupBy("src", "range").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
     targets = source_targets(ranges.groupBy("src").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size")), weights, share, max_epochs)
     ahead = F.sum("range_size").over(Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
@@ -59,7 +70,7 @@ def _planned(docs: DataFrame, row: list[Column], share: float, weights: tuple[fl
     return placed.withColumn("full", full).withColumn("copies", (F.col("full") + more.cast("int")).cast("int"))
 
 
-def mixing_plan(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 2, seed: int = 11, digits: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mixing_plan(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 2, seed: int = 11, digits: int | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of each row of ``docs``.
 
     ``size`` is the number of words, 0 for null; ``target`` as in source_targets; a source's documents in the order of
@@ -68,13 +79,17 @@ def mixing_plan(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...]
     times the size. Sums are exact, so reruns agree.
 
     Null source: a source of its own, last. Null id: ordered as an empty one. Rows that repeat an id: each a document.
-    A source without words: target 0. Empty table: no rows. ``digits`` hex digits of the hash make a source's ranges.
+    A source without words: target 0. Empty table: no rows. ``digits`` hex digits of the hash make a source's ranges; by
+    default as many as leave some RANGE_ROWS rows to a range.
     """
     planned = _planned(docs, [], share, weights, max_epochs, seed, digits, id_col, source_col, text_col)
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 2, seed: int = 11, digits: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix itself: rows of ``docs`` with all their columns, each as often as mixing_plan takes it."""
+def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 2, seed: int = 11, digits: int | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: rows of ``docs`` with all their columns, each as often as mixing_plan takes it.
+
+    Nulls, repeated ids, ties and empty tables as in mixing_plan; columns of any name stay as they are.
+    """
     planned = _planned(docs, [F.struct(*docs.columns).alias("row")], share, weights, max_epochs, seed, digits, id_col, source_col, text_col)
     return planned.select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies")))).select("row.*")

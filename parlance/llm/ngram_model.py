@@ -36,6 +36,8 @@ FILE_ENTRIES, SENT_ENTRIES = 4_000_000, 1_000_000
 START, UNKNOWN = np.uint64(2**32 - 1), np.uint64(2**32 - 2)
 #: Hash of the token that ends a text.
 END = mix(np.array([COEF[60]], np.uint64))[0]
+#: Files with a count above it have 64 bits for each count, the others 32.
+WIDE = 2**32 - 1
 _SLOTS = (("count", "<u8"), ("total", "<u8"), ("mass", "<f8"), ("lower", "<f8"))
 
 
@@ -248,10 +250,8 @@ def _save_bigrams(folder: str):
                     counts.append(_unpacked(c.as_buffer(), "<u4").astype(np.uint64))
             key, count = _merged(keys, counts)
             keys = counts = None
-            if count.max() >= 2**32:
-                raise OverflowError("a bigram's count has over 32 bits")
             _save(folder, f"bigrams-{file}", key)
-            _save(folder, f"times-{file}", count.astype("<u4"))
+            _save(folder, f"times-{file}", count.astype("<u8" if count.max() > WIDE else "<u4"))
             before = key >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
             sums = lambda x: np.add.reduceat(x.astype(np.int64), first)
@@ -297,7 +297,8 @@ def _save_words(folder: str, base: list[int], d: tuple, dc: tuple, types: int, l
 
 def _pair(folder: str, file: int) -> tuple[np.ndarray, np.ndarray] | None:
     try:
-        return _map(folder, f"bigrams-{file}", "<u8"), _map(folder, f"times-{file}", "<u4")
+        keys, counts = _map(folder, f"bigrams-{file}", "<u8"), _map(folder, f"times-{file}", "u1")
+        return keys, counts.view("<u8" if len(counts) == 8 * len(keys) else "<u4")
     except FileNotFoundError:  # no bigram fell there
         return None
 
@@ -373,7 +374,7 @@ def train(texts: DataFrame, path: str | None = None) -> dict:
         raise OverflowError("the vocabulary has more words than 32 bits number")
     bits = _bits(size)
     file = F.shiftrightunsigned("h", 64 - bits).cast("int")
-    dealt = words.select(file.alias("file"), "h", "c").repartition(2**bits, "file").sortWithinPartitions("file", "h")
+    dealt = words.select(file.alias("file"), "h", "c").repartitionById(2**bits, F.col("file")).sortWithinPartitions("file", "h")
     made = {r["file"]: r["n"] for r in dealt.mapInArrow(_save_vocabulary(folder), "file int, n long").collect()}
     sizes = [made.get(i, 0) for i in range(2**bits)]
     base = [0, *np.cumsum(sizes).tolist()]
@@ -385,7 +386,7 @@ def train(texts: DataFrame, path: str | None = None) -> dict:
     hot = Vocabulary(mapped, sizes).find(known) if len(known) else np.zeros(0, np.int64)
     hot = np.sort(np.append(hot.astype(np.uint64), START))
     blobs = data.mapInArrow(_count_bigrams(mapped, sizes, hot, pair_bits), "file int, keys binary, counts binary")
-    blobs = blobs.repartition(2**pair_bits, "file").sortWithinPartitions("file")
+    blobs = blobs.repartitionById(2**pair_bits, F.col("file")).sortWithinPartitions("file")
     schema = ", ".join(f"{x} long" for x in _STATS)
     part = written(blobs.mapInArrow(_save_bigrams(folder), schema), "sums")
     sums = written(part.groupBy("id").agg(*[F.sum(x).alias(x) for x in _STATS[1:]]), "stats")
@@ -398,10 +399,9 @@ def train(texts: DataFrame, path: str | None = None) -> dict:
     dc = discounts(*(cc.get(k, 0) for k in (1, 2, 3, 4)))
     types = max(1, whole["cont"])
     left = (dc[0] * cc.get(1, 0) + dc[1] * cc.get(2, 0) + dc[2] * sum(cc.get(k, 0) for k in (3, 4, 5))) / types if tokens else 1.0
-    where = F.lit(0)
-    for i in range(1, len(sizes)):
-        where = where + (F.col("id") >= base[i]).cast("int")
-    dense = own.select(where.alias("file"), *_STATS).repartition(2**bits, "file").sortWithinPartitions("file", "id")
+    # the first of the files' bounds that is above; one literal, however many files there are
+    file = F.array_position(F.transform(F.lit(base[1:]), lambda end: F.col("id") < end), True).cast("int") - 1
+    dense = own.select(file.alias("file"), *_STATS).repartitionById(2**bits, F.col("file")).sortWithinPartitions("file", "id")
     done = {r["file"] for r in dense.mapInArrow(_save_words(folder, base, d, dc, types, left, size), "file int, n long").collect()}
     assert done == {i for i, n in enumerate(sizes) if n}
     return {"folder": mapped, "sizes": sizes, "bits": pair_bits, "hot": hot, "d": d, "left": left, "size": size, "tokens": tokens, "start": (start["total"], d[0] * start["n1"] + d[1] * start["n2"] + d[2] * start["n3"])}

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import chat
 from parlance.llm.queries import ORACLE_SQL, op9_chat_format
@@ -37,9 +38,21 @@ def test_round_trip_and_mask(spark):
     assert chat.chat_digests(chat.format_chat(df.limit(0))).count() == 0
 
 
-def test_digests_come_from_the_spans(spark):
-    from pyspark.sql import functions as F
+def test_a_conversation_that_does_not_read_back_is_escaped_as_a_whole(spark, monkeypatch):
+    """Where the first form fails, all turns are escaped; where that fails too, the row says so, and the others are right."""
+    rows = [(1, 0, "user", "hi <|"), (1, 1, "assistant", "a <|im_end|> b <\\|"), (2, 0, "user", "plain"), (2, 1, "assistant", "漢字")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = {r["conv_id"]: r for r in chat.format_chat(df).collect()}
+    assert all(r["reads_back"] for r in want.values())
+    monkeypatch.setattr(chat, "_round_trips", lambda *_: F.lit(True))  # a first form that escapes nothing
+    got = {r["conv_id"]: r for r in chat.format_chat(df).collect()}
+    assert got == want
+    monkeypatch.setattr(chat, "escape_text", lambda text: text)
+    got = {r["conv_id"]: r for r in chat.format_chat(df).collect()}
+    assert not got[1]["reads_back"] and got[2] == want[2]
+
 
+def test_digests_come_from_the_spans(spark):
     rows = [(1, 0, "user", "hi <|"), (1, 1, "assistant", "a <|im_end|> b"), (1, 2, "assistant", "漢字")]
     good = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert chat.chat_digests(good).first()["loss_chars"] == len("a <|im_end|> b漢字")
@@ -50,8 +63,6 @@ def test_digests_come_from_the_spans(spark):
 
 
 def test_parser_refuses_what_is_not_grammar(spark):
-    from pyspark.sql import functions as F
-
     bad = ["x", "<|im_start|>user\nhi", "<|im_start|>user hi<|im_end|>\n", "<|im_start|>user\na<|im_start|>b<|im_end|>\n", "<|im_start|>user\nhi<|im_end|>\n "]
     df = spark.createDataFrame([(x,) for x in bad], "s string")
     assert df.filter(chat.parse_turns(F.col("s")).isNotNull()).count() == 0
