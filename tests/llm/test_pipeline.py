@@ -2,7 +2,7 @@
 
 import corpus_pipeline as cp
 from parlance.llm.mixing import mixing_plan
-from parlance.llm.storage import written
+from parlance.llm.storage import application_dir, written
 from tests.llm import brute
 from tests.llm.test_decontaminate import overlaps
 
@@ -38,5 +38,12 @@ def test_stages(spark, sf):
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "MinHash near-dedup", "benchmark decontamination", "mixing sources", "sharding"]
 
 
-def test_run(spark, sf):
-    assert cp.run(spark, sf).count() > 0
+def test_run_leaves_its_rows_only(spark, sf):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    folder = Path(urlparse(application_dir(spark)).path)
+    before = set(folder.iterdir()) if folder.exists() else set()
+    rows = cp.run(spark, sf)
+    (left,) = set(folder.iterdir()) - before
+    assert rows.count() > 0 and left.name.startswith("pipeline-") and all(str(left) in f for f in rows.inputFiles())
