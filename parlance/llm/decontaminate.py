@@ -13,10 +13,14 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.storage import checkpointed, small_side
+
 #: Positions that count, of runs of 9 words. In 9 to 13 words of which four fifths stay, one of them fits somewhere.
 MASKS = ((0, 2, 4, 7, 8), (0, 1, 4, 5, 6), (2, 3, 5, 7, 8), (1, 2, 3, 6, 8))
 #: The benchmark's seeds, each with the words around it, are broadcast up to so many rows and bytes; more are joined by a shuffle.
 BROADCAST_SEEDS, BROADCAST_BYTES = 200_000, 64 << 20
+#: So many documents that go are broadcast (some 40 bytes each); more are joined by a shuffle.
+BROADCAST_LEAKS = 1_000_000
 
 
 #: Thai, Lao, Burmese, Khmer, kana and Han, which are written without spaces.
@@ -138,5 +142,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     Null id and rows that repeat an id: each row goes or stays by its text. See benchmark_overlaps.
     """
     pairs = benchmark_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    leaks = pairs.select(F.col("doc_id").alias("_leak"), F.col("text_hash").alias("_leak_hash")).distinct()
+    leaks = checkpointed(pairs.select(F.col("doc_id").alias("_leak"), F.col("text_hash").alias("_leak_hash")).distinct())
+    leaks = small_side(leaks, BROADCAST_LEAKS)
     return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leak"]) & (F.xxhash64(docs[text_col]) == leaks["_leak_hash"]), "left_anti")

@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.llm.components import connected_components
-from parlance.llm.storage import checkpointed, written
+from parlance.llm.storage import checkpointed, small_side, written
 from parlance.llm.text import COEF, Words, buffers, mix, text_sets
 
 #: Shingles in a block of a bucket, at most (one document may have more).
 BLOCK_SHINGLES = 200_000
 #: Documents in a block, at most.
 BLOCK_DOCS = 512
+#: So many ids of documents that go are broadcast (some 16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 
 
 def banding(threshold: float, rows: int = 5, miss: float = 1e-8) -> tuple[int, int]:
@@ -281,13 +283,14 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str =
     Of rows that repeat an id the one of the least text stays (null first), of those alike in it one that is the first
     by a hash of the other columns that can be hashed. Rows of a null id all stay. Empty table: no rows.
     """
-    found = checkpointed(near_duplicates(docs, threshold, id_col=id_col, text_col=text_col, **options).filter("kept and doc_id is not null").groupBy("doc_id").count())
-    named = found.select(F.col("doc_id").alias(id_col), "count")
-    kept = docs.join(named.select(id_col), id_col, "left_semi")
-    repeated = named.filter("count > 1").select(id_col)
+    found = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col, **options).filter("doc_id is not null")
+    found = found.groupBy(F.col("doc_id").alias(id_col)).agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_n"))
+    found = checkpointed(found.filter("not _kept or _n > 1"))
+    kept = docs.join(small_side(found.filter("not _kept").select(id_col), BROADCAST_IDS), id_col, "left_anti").select(*docs.columns)
+    repeated = found.filter("_kept").select(id_col)
     if repeated.limit(1).count():
         plain = [F.col(f.name) for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
         first = F.struct(F.col(text_col), F.xxhash64(*plain))
         of_each = kept.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), first).alias("_row")).select("_row.*")
         kept = kept.join(repeated, id_col, "left_anti").select(*docs.columns).union(of_each)
-    return kept.select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))
+    return kept

@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _within: ContextVar[str | None] = ContextVar("scratch", default=None)
@@ -65,3 +66,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` through checkpoint() in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for a join, broadcast if it has ``rows`` rows at most; it is read twice, so it should be stored."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -86,6 +86,16 @@ def test_awkward(spark):
     assert kept.filter("doc_id = 1").count() == 1 and kept.filter("doc_id is null").count() == 2
 
 
+def test_rows_that_go_by_a_shuffle(spark, monkeypatch):
+    from parlance.llm import dedup
+
+    df = brute.awkward(spark)
+    rows = lambda: sorted(map(str, drop_near_duplicates(df).collect()))
+    once = rows()
+    monkeypatch.setattr(dedup, "BROADCAST_IDS", 0)
+    assert rows() == once
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
