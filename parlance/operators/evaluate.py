@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.scores import SEVERITIES, severity, to_score
 from parlance.functions.stats import pearson
-from parlance.operators.merge import average_ranks
+from parlance.operators.ranks import average_ranks
 
 ERROR_CUT = 5.316
 

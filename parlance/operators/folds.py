@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.scores import equal_width_bin
+from parlance.operators.ranks import value_range, with_row_numbers
+
 
 def stratified_group_folds(df: DataFrame, group: str, stratum: str, k: int = 4, seed: int = 42) -> DataFrame:
     """(group, stratum, fold) of each group: its most frequent stratum, and folds dealt within the stratum in hashed order.
@@ -14,17 +17,26 @@ def stratified_group_folds(df: DataFrame, group: str, stratum: str, k: int = 4,
     """
     counts = df.groupBy(group, stratum).agg(F.count("*").alias("_n"))
     main = counts.groupBy(group).agg(F.min_by(stratum, F.struct(-F.col("_n"), stratum)).alias(stratum))
-    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.col(group).cast("string"), F.lit(f":{seed}"))), group)
+    hashed = main.select(group, stratum, F.md5(F.concat(F.col(group).cast("string"), F.lit(f":{seed}"))).alias("_h"))
+    numbered = with_row_numbers(hashed, [F.col("_h"), F.col(group)], [stratum], F.substring("_h", 1, 3), "_i")
     turn = F.pmod(F.crc32(F.col(stratum).cast("string")), F.lit(k))
-    return main.select(group, stratum, F.pmod(F.row_number().over(order) - 1 + turn, F.lit(k)).cast("int").alias("fold"))
+    return numbered.select(group, stratum, F.pmod(F.col("_i") - 1 + turn, F.lit(k)).cast("int").alias("fold"))
+
+
+def stratified_folds(df: DataFrame, key: str, value: str, k: int = 5, bins: int = 5, seed: int = 42) -> DataFrame:
+    """(key, bin, fold) of rows without groups, balanced over ``bins`` equal bins of ``value``'s range; ``key`` names a row."""
+    ends = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    binned = df.crossJoin(F.broadcast(ends)).select(key, equal_width_bin(F.col(value), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
+    return stratified_group_folds(binned, key, "bin", k, seed)
 
 
 def group_folds(df: DataFrame, group: str, k: int = 4) -> DataFrame:
-    """(group, n, fold): groups by size dealt to and fro. The window holds a row for each group."""
+    """(group, n, fold): groups by size dealt to and fro, in running numbers by ranges of size and group."""
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    i = F.row_number().over(Window.orderBy(F.desc("n"), group)) - 1
-    at = F.pmod(i, F.lit(2 * k))
-    return sizes.withColumn("fold", F.when(at < k, at).otherwise(2 * k - 1 - at).cast("int"))
+    order = F.struct((-F.col("n")).alias("n"), F.col(group).alias("g"))
+    numbered = with_row_numbers(sizes, [F.desc("n"), F.col(group)], [], value_range(sizes, order), "_i")
+    at = F.pmod(F.col("_i") - 1, F.lit(2 * k))
+    return numbered.select(group, "n", F.when(at < k, at).otherwise(2 * k - 1 - at).cast("int").alias("fold"))
 
 
 def with_folds(df: DataFrame, folds: DataFrame, group: str, always_train: Column | None = None) -> DataFrame:

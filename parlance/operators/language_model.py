@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.stats import sequence_stats
+from parlance.operators.ranks import exact_medians
+from parlance.shared import checkpointed
 
 START, END = "<s>", "</s>"
 FLOOR, BACKOFF = 1e-10, 0.4
+#: So many scored n-grams, of some 200 bytes each, are broadcast; more are joined by a shuffle.
+BROADCAST_GRAMS = 200_000
 
 
 def ngrams(sequences: DataFrame, key: list[str], tags: str, n: int) -> DataFrame:
@@ -33,10 +37,10 @@ class CountModel:
 
 
 def train(sequences: DataFrame, tags: str, n: int = 3) -> CountModel:
-    """Count tables of ``sequences``. The vocabulary is the tags seen, start and end."""
+    """Count tables of ``sequences``, each counted once and stored. The vocabulary is the tags seen, start and end."""
     counts, totals, by_tag = {}, {}, {}
     for k in range(1, n + 1):
-        counts[k] = ngrams(sequences, [], tags, k).groupBy("context", "tag").agg(F.count("*").alias("c"))
+        counts[k] = checkpointed(ngrams(sequences, [], tags, k).groupBy("context", "tag").agg(F.count("*").alias("c")))
         totals[k] = counts[k].groupBy("context").agg(F.sum("c").alias("total"), F.count("*").alias("types"))
         by_tag[k] = counts[k].groupBy("tag").agg(F.sum("c").alias("tag_c"))
     seen = counts[1].filter(F.col("tag") != END).count()
@@ -77,10 +81,15 @@ def probabilities(grams: DataFrame, model: CountModel, n: int, method: str = "ba
 
 
 def cross_entropy(sequences: DataFrame, key: list[str], tags: str, model: CountModel, n: int, method: str = "backoff", **options) -> DataFrame:
-    """(key..., n_tags, ce, ppl): mean of -log2 p over a sequence's n-grams; null for sequences shorter than ``n``."""
+    """(key..., n_tags, ce, ppl): mean of -log2 p over a sequence's n-grams; null for sequences shorter than ``n``.
+
+    Each different n-gram is scored once; the table of these is stored, and broadcast up to BROADCAST_GRAMS rows.
+    """
     sized = sequences.select(*key, F.size(tags).alias("n_tags"), tags)
-    scored = probabilities(ngrams(sized.filter(F.col("n_tags") >= n), key, tags, n), model, n, method, **options)
-    ce = scored.groupBy(*key).agg(F.avg(-F.log2("prob")).alias("ce"))
+    grams = ngrams(sized.filter(F.col("n_tags") >= n), key, tags, n)
+    known = checkpointed(probabilities(grams.select("context", "tag").distinct(), model, n, method, **options))
+    known = F.broadcast(known) if known.count() <= BROADCAST_GRAMS else known
+    ce = grams.join(known, ["context", "tag"]).groupBy(*key).agg(F.avg(-F.log2("prob")).alias("ce"))
     return sized.select(*key, "n_tags").join(ce, key, "left").withColumn("ppl", F.pow(F.lit(2.0), F.col("ce")))
 
 
@@ -90,8 +99,6 @@ def speaker_features(scored: DataFrame, speaker: str, prefix: str) -> DataFrame:
 
 
 def fill_with_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls of ``columns`` by the exact median of each, from one aggregation."""
-    row = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m{i}") for i, c in enumerate(columns)])
-    joined = df.crossJoin(F.broadcast(row))
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_m{i}")) for i, c in enumerate(columns)}
-    return joined.withColumns(filled).drop(*[f"_m{i}" for i in range(len(columns))])
+    """Nulls of ``columns`` by the exact median of each."""
+    found = exact_medians(df, columns)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(found[c]).cast("double")) for c in columns})

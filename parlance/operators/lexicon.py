@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as T
 from parlance.functions.stats import floored_ratio, minutes, summarise
 
+#: Tags of content words and of function words.
 OPEN_TAGS = ("NOUN", "VERB", "ADJ", "ADV", "PROPN")
 CLOSED_TAGS = ("ADP", "AUX", "CCONJ", "DET", "INTJ", "NUM", "PART", "PRON", "SCONJ")
 #: Light verbs and demonstratives by language.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.stats import pearson
+from parlance.operators.ranks import exact_medians
 
 
 def figures(df: DataFrame, columns: list[str], make) -> list:
@@ -15,7 +16,7 @@ def figures(df: DataFrame, columns: list[str], make) -> list:
 
 def medians(train: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Exact medians, the mean of the middle two where there is none."""
-    return dict(zip(columns, figures(train, columns, lambda c: F.percentile(c.cast("double"), F.lit(0.5))), strict=True))
+    return exact_medians(train, columns)
 
 
 def imputed(df: DataFrame, values: dict[str, float | None]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import scores
-from parlance.operators import evaluate, folds, merge
+from parlance.operators import evaluate, folds, merge, ranks
 from parlance.plans import tables as t
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -212,7 +212,7 @@ ORACLE_SQL["group_folds"] = f"with {_SNAKE.format('o_custkey', 'orders')} select
 
 
 def average_rank(spark, sf_dir):
-    return merge.average_ranks(t.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
+    return ranks.average_ranks(t.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
 
 
 ORACLE_SQL["average_rank"] = "select o_orderkey, o_totalprice, rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0::double as rank from orders"

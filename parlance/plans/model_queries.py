@@ -141,10 +141,10 @@ select avg(abs((m1 * a + m2 * b + m3 * c) / (a + b + c) - actual)) as mae_invers
 
 def simplex_search(spark, sf_dir):
     rows = _models(t.scored(spark, sf_dir))
-    return ensemble.best_weights(ensemble.simplex_errors(rows, "actual", ["m1", "m2", "m3"], 10))
+    return ensemble.best_weights(ensemble.simplex_errors(rows, "actual", ["m1", "m2", "m3"]))
 
 
-ORACLE_SQL["simplex_search"] = f"""with {MODELS}, g as (select a / 10.0::double as w0, b / 10.0::double as w1, (10 - a - b) / 10.0::double as w2 from (select unnest(range(11)) as a), (select unnest(range(11)) as b) where a + b <= 10)
+ORACLE_SQL["simplex_search"] = f"""with {MODELS}, g as (select a / 20.0::double as w0, b / 20.0::double as w1, (20 - a - b) / 20.0::double as w2 from (select unnest(range(21)) as a), (select unnest(range(21)) as b) where a + b <= 20)
 select w0, w1, w2, avg(abs(m1 * w0 + m2 * w1 + m3 * w2 - actual)) as mae from md, g group by all order by mae, w0 desc, w1 desc limit 1"""
 
 
@@ -161,7 +161,7 @@ def permutation_importance(spark, sf_dir):
     """Of a fixed linear rule, over the line items."""
     rows = t.scored(spark, sf_dir).withColumn("id", F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     predict = lambda df: df.withColumn("prediction", F.col("l_quantity") * 2 + (F.col("l_discount") - 0.05) * 200)
-    return ensemble.permutation_importance(rows, "id", ["l_quantity", "l_discount", "l_tax"], "predicted", predict, repeats=3)
+    return ensemble.permutation_importance(rows, "id", ["l_quantity", "l_discount", "l_tax"], "predicted", predict)
 
 
 def group_importance(spark, sf_dir):

@@ -125,13 +125,13 @@ select p_partkey, case when s in ('', 'nan', 'none') then 'unknown' else s end a
 
 def language_map(spark, sf_dir):
     raw = F.when(F.col("lang") == "es", "spa").when(F.col("lang") == "fr", "Catalan").otherwise(F.col("lang"))
-    guess = headers.guess_language(F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" hola porque entonces qué")).otherwise(F.lit(""))), look=400)
+    guess = headers.guess_language(F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" hola porque entonces qué")).otherwise(F.lit(""))))
     return t.read(spark, sf_dir, "documents").select("doc_id", headers.language(raw).alias("language"), guess.alias("guess"))
 
 
 _VOTE = "({0})"
 ORACLE_SQL["language_map"] = """with d as (select doc_id, lower(case lang when 'es' then 'spa' when 'fr' then 'Catalan' else lang end) as raw,
-lower(substr(text || case when doc_id % 3 = 0 then ' hola porque entonces qué' else '' end, 1, 400)) as low from documents)
+lower(substr(text || case when doc_id % 3 = 0 then ' hola porque entonces qué' else '' end, 1, 5000)) as low from documents)
 select doc_id, case when contains(raw, 'spa') then 'es' when contains(raw, 'cat') then 'ca' else 'en' end as language,
 case when contains(low, 'hola')::int + contains(low, 'porque')::int + contains(low, 'entonces')::int + contains(low, 'qué')::int > 2 then 'es'
      when contains(low, 'com')::int + contains(low, 'què')::int + contains(low, 'això')::int + contains(low, 'molt')::int > 2 then 'ca' else 'en' end as guess from d"""
@@ -178,9 +178,9 @@ ORACLE_SQL["group_names"] = "select case when o_orderkey % 3 = 0 then 'control'
 
 def numbered_per_language(spark, sf_dir):
     rows = t.read(spark, sf_dir, "documents").select("doc_id", "lang")
-    return tr.numbered(rows, "lang", ["doc_id"], 50, "CV23_").select("doc_id", "participant_id")
+    return tr.numbered(rows, "lang", ["doc_id"], 500, "CV23_").select("doc_id", "participant_id")
 
 
-ORACLE_SQL["numbered_per_language"] = "select doc_id, 'CV23_' || upper(lang) || '_' || lpad(n::varchar, 5, '0') as participant_id from (select doc_id, lang, row_number() over (partition by lang order by doc_id) as n from documents) where n <= 50"
+ORACLE_SQL["numbered_per_language"] = "select doc_id, 'CV23_' || upper(lang) || '_' || lpad(n::varchar, 5, '0') as participant_id from (select doc_id, lang, row_number() over (partition by lang order by doc_id) as n from documents) where n <= 500"
 
 QUERIES |= {f.__name__: f for f in (clean_text, tokenize, lexical_tokens, utterance_blocks, transcript, filler_counts, text_lengths, wps_trim, word_chunks, subdataset, language_map, language_guess, header_fields, page_stems, group_names, numbered_per_language)}

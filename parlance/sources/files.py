@@ -54,20 +54,28 @@ def numeric(df: DataFrame, columns: list[str], default: float | None = None) ->
     return df.withColumns({c: F.coalesce(number(F.col(c).cast("string")), F.lit(default).cast("double")) for c in columns})
 
 
-#: kind of norm -> (file, names of its value column)
-NORM_FILES = {"freq": ("frequency.csv", ["Lg10WF", "ZipfUS"]), "img": ("imageability.csv", ["imageability", "value"]), "aoa": ("aoa.csv", ["aoa", "value"]), "fam": ("familiarity.csv", ["familiarity", "value"])}
+#: Kind of norm -> (file, names of its value column).
+NORM_FILES = {
+    "freq": ("SUBTLEX-US.csv", ["lg10wf", "zipfus"]),
+    "aoa": ("Brysbaert_AoA.csv", ["aoa"]),
+    "img": ("Brysbaert_Imageability.csv", ["img"]),
+    "fam": ("Brysbaert_Familiarity.csv", ["fam"]),
+}
 
 
 def norms(spark: SparkSession, folder: str, files: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
-    """(kind, word, value) of all the norm files that are there."""
-    out = spark.createDataFrame([], "kind string, word string, value double")
+    """(kind, word, value) of all the norm files that are there; none at all is an error."""
+    out, have = spark.createDataFrame([], "kind string, word string, value double"), 0
     for kind, (name, values) in (files or NORM_FILES).items():
         try:
             rows = first_table(spark, folder, [name], sep=",")
         except FileNotFoundError:
             continue
+        have += 1
         found = synonyms(rows, {"word": ["word", "words"], "value": values})
         out = out.unionByName(found.select(F.lit(kind).alias("kind"), F.lower("word").alias("word"), number(F.col("value")).alias("value")))
+    if not have:
+        raise FileNotFoundError(f"no norms in {folder}")
     return out.filter("value is not null")
 
 

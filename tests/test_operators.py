@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import ensemble, folds, history, language_model as lm, lexicon, merge, models, prep, selection, timing
+from parlance.operators import ensemble, folds, history, language_model as lm, lexicon, merge, models, prep, ranks, selection, timing
 
 
 def test_pause_boundaries(spark):
@@ -64,7 +64,7 @@ def test_merge_rules(spark):
     others = spark.createDataFrame([("abc",), ("a",), ("xyz",)], "n string")
     got = {tuple(r) for r in merge.prefix_matches(names, others, "n", "n").collect()}
     assert got == {("ab", "abc"), ("ab", "a"), ("abcd", "abc"), ("abcd", "a"), ("x", "xyz")}
-    ranks = merge.average_ranks(spark.createDataFrame([(1.0,), (2.0,), (2.0,), (9.0,), (None,)], "v double"), "v")
+    ranks = ranks.average_ranks(spark.createDataFrame([(1.0,), (2.0,), (2.0,), (9.0,), (None,)], "v double"), "v")
     assert sorted((r["v"], r["rank"]) for r in ranks.filter("v is not null").collect()) == [(1.0, 1.0), (2.0, 2.5), (2.0, 2.5), (9.0, 4.0)]
 
 
