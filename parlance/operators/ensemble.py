@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import product
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: The blend by hand.
 FIXED_WEIGHTS = (0.50, 0.25, 0.25)
+#: Rows among which a column is shuffled, about, where a table has more.
+BLOCK_ROWS = 5_000
 
 
 def blend(columns: list[str], weights: list[float] | tuple[float, ...] | None = None) -> Column:
@@ -50,6 +53,19 @@ def best_weights(errors: DataFrame) -> DataFrame:
     return errors.orderBy("mae", *[F.desc(c) for c in names]).limit(1)
 
 
+def refined_weights(df: DataFrame, y: str, columns: list[str], steps: int = 20, fine: int = 5) -> DataFrame:
+    """(w0, w1, ..., mae) of the least error near the grid's best point: ``fine`` steps for each of the grid's, up to one of it away."""
+    best = best_weights(simplex_errors(df, y, columns, steps)).first()
+    whole = steps * fine
+    middle = [round(best[f"w{i}"] * whole) for i in range(len(columns))]
+    moves = product(range(-fine, fine + 1), repeat=len(columns) - 1)
+    points = [[m + d for m, d in zip(middle, (*move, -sum(move)), strict=True)] for move in moves]
+    points = [p for p in points if min(p) >= 0]
+    row = df.agg(*[F.avg(F.abs(sum((F.col(c) * (w / whole) for c, w in zip(columns, p, strict=True)), F.lit(0.0)) - F.col(y))).alias(f"_{i}") for i, p in enumerate(points)])
+    one = lambda i, p: F.struct(*[F.lit(w / whole).alias(f"w{j}") for j, w in enumerate(p)], F.col(f"_{i}").alias("mae"))
+    return best_weights(row.select(F.explode(F.array(*[one(i, p) for i, p in enumerate(points)])).alias("x")).select("x.*"))
+
+
 def stack(df: DataFrame, y: str, columns: list[str], alpha: float = 1.0) -> tuple[object, DataFrame]:
     """(ridge model over the predictions, ``df`` with ``stacked``)."""
     rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(df)
@@ -82,23 +98,31 @@ def mean_over_folds(importances: DataFrame, top: int = 30) -> DataFrame:
     return importances.groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def permutation_importance(df: DataFrame, key: str, columns: list[str], y: str, predict: Callable[[DataFrame], DataFrame], repeats: int = 10, buckets: int = 64, seed: int = 42) -> DataFrame:
+def permutation_importance(df: DataFrame, key: str, columns: list[str], y: str, predict: Callable[[DataFrame], DataFrame], repeats: int = 10, seed: int = 42) -> DataFrame:
     """(feature, importance_mean, importance_std): how much the mean absolute error rises when a column is shuffled.
 
-    ``predict`` adds ``prediction``. Rows go to buckets by a seeded hash of the key, another for each repeat, and a
-    column's values move by one place in a seeded order within their bucket, so no window holds all rows.
+    ``predict`` adds ``prediction``; ``key`` names a row, and rows of one key stand by their values. In each repeat rows stand in the order of a seeded md5 of the
+    key, and values move by one place within the rows of the same leading hex digits, as many as leave at most some
+    BLOCK_ROWS of them: so no window holds all rows, and one pass of it serves all columns.
     """
     from pyspark.sql import Window
 
-    error = lambda rows: predict(rows).agg(F.avg(F.abs(F.col("prediction") - F.col(y)))).first()[0]
-    base, out = error(df), []
-    for c in columns:
-        rises = []
-        for r in range(repeats):
-            order = Window.partitionBy(F.pmod(F.xxhash64(key, F.lit(seed + r)), F.lit(buckets))).orderBy(F.xxhash64(key, F.lit(1000 + seed + r)), key)
-            whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            moved = F.coalesce(F.lag(c).over(order), F.last(c).over(whole))
-            rises.append(error(df.withColumn(c, moved)) - base)
-        mean = sum(rises) / len(rises)
-        out.append((c, float(mean), float((sum((x - mean) ** 2 for x in rises) / len(rises)) ** 0.5)))
+    error = lambda of: F.avg(F.abs(F.col(of) - F.col(y)))
+    base, n = predict(df).agg(error("prediction"), F.count("*")).first()
+    digits = max(0, math.ceil(math.log(max(1, n) / BLOCK_ROWS, 16)))
+    rises = []
+    for r in range(repeats):
+        h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed + r}")))
+        order = Window.partitionBy(F.substring(h, 1, digits)).orderBy(h, key, *columns)
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = df.select("*", *[F.coalesce(F.lag(c).over(order), F.last(c).over(whole)).alias(f"_moved{i}") for i, c in enumerate(columns)])
+        for i, c in enumerate(columns):
+            tried = predict(rows.withColumn("_own", F.col(c)).withColumn(c, F.col(f"_moved{i}")))
+            rows = tried.select(*[F.col("_own").alias(c) if x == c else F.col(x) for x in rows.columns], F.col("prediction").alias(f"_error{i}"))
+        found = rows.agg(*[error(f"_error{i}") for i in range(len(columns))]).first()
+        rises.append([x - base for x in found])
+    out = []
+    for i, c in enumerate(columns):
+        mean = sum(x[i] for x in rises) / repeats
+        out.append((c, float(mean), float((sum((x[i] - mean) ** 2 for x in rises) / repeats) ** 0.5)))
     return df.sparkSession.createDataFrame(out, "feature string, importance_mean double, importance_std double")

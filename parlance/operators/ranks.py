@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,42 +60,55 @@ def _inside(x: Column, low: float | None, high: float | None) -> Column:
 
 
 def exact_medians(df: DataFrame, columns: list[str], near: int = NEAR) -> dict[str, float | None]:
-    """Median of each column, the mean of the middle two where there is none; null without values.
+    """Median of each column, the mean of the middle two where there is none; null without values."""
+    return {c: q[0] for c, q in exact_quantiles(df, columns, [0.5], near).items()}
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], near: int = NEAR) -> dict[str, list[float | None]]:
+    """Quantiles of each column, between two values in proportion; null without values.
 
-    Each round is two aggregates for all columns: approximate quantiles just beside the median, and how many values lie
-    before and between them. When ``near`` values are left, or only ties, their counts come to the driver.
+    Each round is two aggregates for all columns and shares: approximate quantiles just beside the one sought, and how
+    many values lie before and between them. When ``near`` values are left, or only ties, their counts come to the driver.
     """
     if not columns:
         return {}
     c = {x: F.col(x).cast("double") for x in columns}
-    total = df.agg(*[F.count(c[x]) for x in columns]).first()
-    state = {x: (None, None, 0, n) for x, n in zip(columns, total, strict=True)}  # low, high, before low, between
-    middle = {x: ((n - 1) // 2, n // 2) for x, n in zip(columns, total, strict=True)}
-    open_ = [x for x in columns if state[x][3] > near]
+    total = dict(zip(columns, df.agg(*[F.count(c[x]) for x in columns]).first(), strict=True))
+    sought = [(x, q) for x in columns for q in shares]
+    place = {(x, q): (total[x] - 1) * q for x, q in sought}
+    middle = {k: (math.floor(max(0, v)), math.ceil(max(0, v))) for k, v in place.items()}
+    state = {(x, q): (None, None, 0, total[x]) for x, q in sought}  # low, high, before low, between
+    open_ = [k for k in sought if state[k][3] > near]
     while open_:
         parts = []
-        for x in open_:
-            low, high, before, n = state[x]
-            at = [min(1.0, max(0.0, (k - before) / n + d)) for k, d in zip(middle[x], (-0.001, 0.001), strict=True)]
-            parts.append(F.percentile_approx(F.when(_inside(c[x], low, high), c[x]), at, 10_000))
+        for k in open_:
+            low, high, before, n = state[k]
+            at = [min(1.0, max(0.0, (i - before) / n + d)) for i, d in zip(middle[k], (-0.001, 0.001), strict=True)]
+            parts.append(F.percentile_approx(F.when(_inside(c[k[0]], low, high), c[k[0]]), at, 10_000))
         ends = dict(zip(open_, df.agg(*parts).first(), strict=True))
-        row = df.agg(*[f for x in open_ for f in (F.count_if(c[x] < ends[x][0]), F.count_if(c[x].between(*ends[x])))]).first()
+        row = df.agg(*[f for k in open_ for f in (F.count_if(c[k[0]] < ends[k][0]), F.count_if(c[k[0]].between(*ends[k])))]).first()
         still = []
-        for i, x in enumerate(open_):
+        for i, k in enumerate(open_):
             before, n = row[2 * i], row[2 * i + 1]
-            if before <= middle[x][0] and middle[x][1] < before + n and n < state[x][3]:
-                state[x] = (*ends[x], before, n)
-                if n > near and ends[x][0] < ends[x][1]:
-                    still.append(x)
+            if before <= middle[k][0] and middle[k][1] < before + n and n < state[k][3]:
+                state[k] = (*ends[k], before, n)
+                if n > near and ends[k][0] < ends[k][1]:
+                    still.append(k)
         open_ = still
-    out = {}
-    for x in columns:
-        low, high, before, n = state[x]
-        found = df.select(c[x].alias("v")).filter(F.col("v").isNotNull()).filter(_inside(F.col("v"), low, high)).groupBy("v").count().collect() if n else []
-        values, through = sorted((r[0], r[1]) for r in found), before
-        ends = []
-        for v, times in values:
-            ends += [v for k in middle[x] if through <= k < through + times]
+    counted: dict = {}
+    out: dict = {x: [] for x in columns}
+    for x, q in sought:
+        low, high, before, n = state[x, q]
+        if (x, low, high) not in counted:
+            rows = df.select(c[x].alias("v")).filter(F.col("v").isNotNull() & _inside(F.col("v"), low, high)).groupBy("v").count().collect() if n else []
+            counted[x, low, high] = sorted((r[0], r[1]) for r in rows)
+        through, found = before, {}
+        for v, times in counted[x, low, high]:
+            found |= {i: v for i in middle[x, q] if through <= i < through + times}
             through += times
-        out[x] = sum(ends) / 2 if ends else None
+        if not found:
+            out[x].append(None)
+            continue
+        a, b = (found[i] for i in middle[x, q])
+        out[x].append(a + (b - a) * (place[x, q] - middle[x, q][0]))
     return out

@@ -8,6 +8,8 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators.ranks import exact_quantiles
+
 #: The plain set, of rates, means and shares without the other statistics.
 SIMPLE = (
     "den_words_per_min", "den_phones_per_min", "den_W", "den_OCW",
@@ -37,12 +39,11 @@ def full_set(columns: list[str]) -> list[str]:
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
     """(feature, mi) in nats from counts of quantile bins: an estimate from a joint table, not by neighbours.
 
-    Edges are approximate quantiles of all rows; the counts are one aggregation over the unpivoted rows, combined
-    before the shuffle; rows with a null in a pair are left out of it.
+    Edges are exact quantiles of all rows; the counts are one aggregation over the unpivoted rows, combined before the
+    shuffle; rows with a null in a pair are left out of it.
     """
-    at = [i / bins for i in range(1, bins)]
-    edges = dict(zip([*columns, target], df.approxQuantile([*columns, target], at, 0.001), strict=True))
-    bin_of = lambda c: sum(((F.col(c) > F.lit(e)).cast("int") for e in sorted(set(edges[c]))), F.lit(0))
+    edges = exact_quantiles(df, [*columns, target], [i / bins for i in range(1, bins)])
+    bin_of = lambda c: sum(((F.col(c) > F.lit(e)).cast("int") for e in sorted({e for e in edges[c] if e is not None})), F.lit(0))
     base = df.filter(F.col(target).isNotNull()).select(bin_of(target).alias("by"), *[F.when(F.col(c).isNotNull(), bin_of(c)).alias(f"_{i}") for i, c in enumerate(columns)])
     long = base.select("by", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{i}").alias("bx")) for i, c in enumerate(columns)])).alias("x")).select("by", "x.*").filter("bx is not null")
     joint = long.groupBy("feature", "bx", "by").agg(F.count("*").alias("n"))
@@ -116,7 +117,11 @@ def recursive_elimination(df: DataFrame, columns: list[str], target: str, keep:
 
 
 def by_importance(df: DataFrame, columns: list[str], target: str, k: int = 40, seed: int = 42) -> list[tuple[str, float]]:
-    """The ``k`` features of the greatest importance in a random forest."""
+    """The ``k`` features of the greatest importance in a random forest; of the greatest mutual information where it splits by none."""
     model = RandomForestRegressor(numTrees=50, maxDepth=6, seed=seed).fit(_assembled(df, columns, target))
-    ranked = sorted(zip(columns, model.featureImportances.toArray(), strict=True), key=lambda x: (-x[1], x[0]))
+    found = model.featureImportances.toArray()
+    if not found.any():
+        rows = mutual_information(df, columns, target).orderBy(F.desc("mi"), "feature").limit(k).collect()
+        return [(r["feature"], float(r["mi"])) for r in rows]
+    ranked = sorted(zip(columns, found, strict=True), key=lambda x: (-x[1], x[0]))
     return [(c, float(v)) for c, v in ranked[:k]]

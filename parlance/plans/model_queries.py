@@ -100,6 +100,15 @@ def mutual_info_topk(spark, sf_dir):
     return selection.mutual_information(t.scored(spark, sf_dir), _NUMBERS, "predicted").orderBy(F.desc("mi"), "feature").limit(3)
 
 
+_EDGES = "[" + ", ".join(f"{i / 10}::double" for i in range(1, 10)) + "]"
+_AT = lambda c: f"length(list_filter(list_distinct(e_{c}), lambda e: {c}::double > e))"
+ORACLE_SQL["mutual_info_topk"] = f"""with {t.SCORED}, ed as (select {', '.join(f'quantile_cont({c}::double, {_EDGES}) as e_{c}' for c in (*_NUMBERS, 'predicted'))} from sc),
+bn as (select {', '.join(f'{_AT(c)} as b_{c}' for c in _NUMBERS)}, {_AT('predicted')} as b_y from sc, ed),
+jt as ({' union all '.join(f"select '{c}' as feature, b_{c} as bx, b_y as b, count(*) as n from bn group by 2, 3" for c in _NUMBERS)}),
+js as (select *, sum(n) over (partition by feature) as s, sum(n) over (partition by feature, bx) as sx, sum(n) over (partition by feature, b) as sy from jt)
+select feature, sum(n::double / s * ln(n::double * s / (sx * sy))) as mi from js group by feature order by mi desc, feature limit 3"""
+
+
 def forward_selection(spark, sf_dir):
     rows = t.scored(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("l_orderkey"), F.lit(4)).cast("int"))
     chosen = selection.forward_selection(rows, _NUMBERS, "predicted")
@@ -159,11 +168,19 @@ ORACLE_SQL["seed_spread"] = f"with {t.SCORED}, s as (select l_returnflag, l_line
 
 def permutation_importance(spark, sf_dir):
     """Of a fixed linear rule, over the line items."""
-    rows = t.scored(spark, sf_dir).withColumn("id", F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    rows = t.scored(spark, sf_dir).withColumn("id", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     predict = lambda df: df.withColumn("prediction", F.col("l_quantity") * 2 + (F.col("l_discount") - 0.05) * 200)
     return ensemble.permutation_importance(rows, "id", ["l_quantity", "l_discount", "l_tax"], "predicted", predict)
 
 
+_MOVED = ", ".join(f"coalesce(lag({c}) over w, last_value({c}) over (w rows between unbounded preceding and unbounded following)) as m_{c}" for c in ("l_quantity", "l_discount"))
+ORACLE_SQL["permutation_importance"] = f"""with {t.SCORED}, ro as (select *, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber as id from sc),
+rr as (select ro.*, r, md5(id || ':' || (42 + r)) as h, dg from ro, (select greatest(0, ceil(ln(count(*) / 5000.0::double) / ln(16.0::double)))::int as dg from sc), (select unnest(range(10)) as r)),
+mv as (select r, l_quantity, l_discount, predicted, {_MOVED} from rr window w as (partition by r, substr(h, 1, dg) order by h, id, l_quantity, l_discount, l_tax)),
+er as (select r, avg(abs(m_l_quantity * 2 + (l_discount - 0.05::double) * 200 - predicted)) as q, avg(abs(l_quantity * 2 + (m_l_discount - 0.05::double) * 200 - predicted)) as d, avg(abs(l_quantity * 2 + (l_discount - 0.05::double) * 200 - predicted)) as b from mv group by r)
+select 'l_quantity' as feature, avg(q - b) as importance_mean, stddev_pop(q - b) as importance_std from er union all select 'l_discount', avg(d - b), stddev_pop(d - b) from er union all select 'l_tax', 0.0::double, 0.0::double"""
+
+
 def group_importance(spark, sf_dir):
     parts = t.read(spark, sf_dir, "part").select(F.concat(F.when(F.col("p_partkey") % 3 == 0, "den_").when(F.col("p_partkey") % 3 == 1, "dys_").otherwise("x_"), F.col("p_partkey").cast("string")).alias("feature"), F.col("p_retailprice").alias("importance_mean"))
     return ensemble.group_importance(parts, {"den_": "DEN", "dys_": "DYS", "lex_": "LEX", "poslm_": "POSLM"})

@@ -64,8 +64,8 @@ def test_merge_rules(spark):
     others = spark.createDataFrame([("abc",), ("a",), ("xyz",)], "n string")
     got = {tuple(r) for r in merge.prefix_matches(names, others, "n", "n").collect()}
     assert got == {("ab", "abc"), ("ab", "a"), ("abcd", "abc"), ("abcd", "a"), ("x", "xyz")}
-    ranks = ranks.average_ranks(spark.createDataFrame([(1.0,), (2.0,), (2.0,), (9.0,), (None,)], "v double"), "v")
-    assert sorted((r["v"], r["rank"]) for r in ranks.filter("v is not null").collect()) == [(1.0, 1.0), (2.0, 2.5), (2.0, 2.5), (9.0, 4.0)]
+    ranked = ranks.average_ranks(spark.createDataFrame([(1.0,), (2.0,), (2.0,), (9.0,), (None,)], "v double"), "v")
+    assert sorted((r["v"], r["rank"]) for r in ranked.filter("v is not null").collect()) == [(1.0, 1.0), (2.0, 2.5), (2.0, 2.5), (9.0, 4.0)]
 
 
 def test_preparation(spark):
@@ -140,3 +140,34 @@ def test_history(spark):
     assert sum(r["weight"] for r in top) == pytest.approx(1) and {r["run"] for r in top} == {1, 2}
     swept = history.sweep([{"x": 3}, {"x": 1}], lambda s: spark.createDataFrame([(float(s["x"]),)], "mae double"), "mae")
     assert [r["setting"] for r in swept.collect()] == [1, 0]
+
+
+def test_quantiles_in_rounds_are_exact(spark):
+    """Brackets of few values, ties, nulls and empty columns."""
+    rng = np.random.default_rng(4)
+    x, y = rng.lognormal(size=4001), rng.integers(0, 3, 4001).astype(float)
+    rows = [(float(a), None if i % 7 == 0 else float(b), None) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    shares = [0.1, 0.5, 0.93]
+    got = ranks.exact_quantiles(df, ["x", "y", "z"], shares, near=50)
+    seen = [r[1] for r in rows if r[1] is not None]
+    assert got["x"] == pytest.approx(np.quantile(x, shares)) and got["y"] == pytest.approx(np.quantile(seen, shares)) and got["z"] == [None] * 3
+    assert ranks.exact_medians(df, ["x"]) == {"x": pytest.approx(float(np.median(x)))}
+
+
+def test_row_numbers_over_ranges(spark):
+    rows = [(i % 3, (i * 7919) % 1000, f"k{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "p int, v int, k string")
+    order = F.struct("v", "k")
+    got = ranks.with_row_numbers(df, [F.col("v"), F.col("k")], ["p"], ranks.value_range(df, order, 20), "n").collect()
+    for p in range(3):
+        part = sorted((r["v"], r["k"], r["n"]) for r in got if r["p"] == p)
+        assert [n for *_, n in part] == list(range(1, 1001))
+
+
+def test_weights_are_refined_around_the_best(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=400), rng.normal(size=400)
+    df = spark.createDataFrame([(float(u), float(v), float(0.37 * u + 0.63 * v)) for u, v in zip(a, b, strict=True)], "a double, b double, y double")
+    best = ensemble.refined_weights(df, "y", ["a", "b"]).first()
+    assert (best["w0"], best["w1"]) == (pytest.approx(0.37), pytest.approx(0.63)) and best["mae"] == pytest.approx(0, abs=1e-9)

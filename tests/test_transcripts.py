@@ -67,7 +67,7 @@ def test_files(spark, tmp_path):
     index = files.file_index(spark, [str(tmp_path / "b")], ("txt",)).collect()
     assert [(r["stem"], r["length"]) for r in index] == [("p2", 2)]
     (tmp_path / "norms").mkdir()
-    (tmp_path / "norms/frequency.csv").write_text("Words,zipfus\nThe,7.1\nbad,x\n")
+    (tmp_path / "norms/SUBTLEX-US.csv").write_text("Words,zipfus\nThe,7.1\nbad,x\n")
     assert [tuple(r) for r in files.norms(spark, str(tmp_path / "norms")).collect()] == [("freq", "the", 7.1)]
     (tmp_path / "names").write_text("# comment\n a \n\nb\n")
     assert sorted(r["name"] for r in files.name_list(spark, str(tmp_path / "names")).collect()) == ["a", "b"]
