@@ -6,7 +6,6 @@ The others of an application are in one folder, ``application_dir``, for its own
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,21 +14,11 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-_within: ContextVar[str | None] = ContextVar("scratch", default=None)
+from parlance.shared import checkpointed, shared_dir
 
+__all__ = ["application_dir", "checkpointed", "new_path", "scratch", "shared_dir", "small_side", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests, one machine) a new local one."""
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="parlance-")
-        spark.conf.set(CHECKPOINT_KEY, named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+_within: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def application_dir(spark: SparkSession) -> str:
@@ -62,12 +51,6 @@ def written(df: DataFrame, name: str, compression: str = "zstd", path: str | Non
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` through checkpoint() in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df`` for a join, broadcast if it has ``rows`` rows at most; it is read twice, so it should be stored."""
     return F.broadcast(df) if df.count() <= rows else df
