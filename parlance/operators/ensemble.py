@@ -36,15 +36,19 @@ def simplex(models: int, steps: int) -> list[tuple[float, ...]]:
     return [(*x, steps - sum(x)) for x in product(range(steps + 1), repeat=models - 1) if sum(x) <= steps]
 
 
-def simplex_errors(df: DataFrame, y: str, columns: list[str], steps: int = 20) -> DataFrame:
-    """(w0, w1, ..., mae) of every point of the weight grid, from one pass over the rows.
+def _errors_of(df: DataFrame, y: str, columns: list[str], points: list[tuple[float, ...]]) -> DataFrame:
+    """(w0, w1, ..., mae) of each point: rows meet the fixed list of points, and errors are combined before the shuffle."""
+    names = [f"w{i}" for i in range(len(columns))]
+    grid = F.array(*[F.struct(*[F.lit(w).alias(n) for n, w in zip(names, point, strict=True)]) for point in points])
+    own = [f"_{n}" for n in names]
+    rows = df.select(F.col(y).alias("_y"), *[F.col(c).alias(n) for c, n in zip(columns, own, strict=True)], F.explode(grid).alias("_p")).select("*", "_p.*")
+    blended = sum((F.col(o) * F.col(n) for o, n in zip(own, names, strict=True)), F.lit(0.0))
+    return rows.groupBy(*names).agg(F.avg(F.abs(blended - F.col("_y"))).alias("mae"))
 
-    The grid is a fixed set of aggregates (231 for three models in steps of 0.05), not a join.
-    """
-    grid = simplex(len(columns), steps)
-    row = df.agg(*[F.avg(F.abs(sum((F.col(c) * (w / steps) for c, w in zip(columns, point, strict=True)), F.lit(0.0)) - F.col(y))).alias(f"_{i}") for i, point in enumerate(grid)])
-    one = lambda i, point: F.struct(*[F.lit(w / steps).alias(f"w{j}") for j, w in enumerate(point)], F.col(f"_{i}").alias("mae"))
-    return row.select(F.explode(F.array(*[one(i, point) for i, point in enumerate(grid)])).alias("x")).select("x.*")
+
+def simplex_errors(df: DataFrame, y: str, columns: list[str], steps: int = 20) -> DataFrame:
+    """(w0, w1, ..., mae) of every point of the weight grid (231 for three models in steps of 0.05), from one pass over the rows."""
+    return _errors_of(df, y, columns, [tuple(w / steps for w in point) for point in simplex(len(columns), steps)])
 
 
 def best_weights(errors: DataFrame) -> DataFrame:
@@ -61,9 +65,7 @@ def refined_weights(df: DataFrame, y: str, columns: list[str], steps: int = 20,
     moves = product(range(-fine, fine + 1), repeat=len(columns) - 1)
     points = [[m + d for m, d in zip(middle, (*move, -sum(move)), strict=True)] for move in moves]
     points = [p for p in points if min(p) >= 0]
-    row = df.agg(*[F.avg(F.abs(sum((F.col(c) * (w / whole) for c, w in zip(columns, p, strict=True)), F.lit(0.0)) - F.col(y))).alias(f"_{i}") for i, p in enumerate(points)])
-    one = lambda i, p: F.struct(*[F.lit(w / whole).alias(f"w{j}") for j, w in enumerate(p)], F.col(f"_{i}").alias("mae"))
-    return best_weights(row.select(F.explode(F.array(*[one(i, p) for i, p in enumerate(points)])).alias("x")).select("x.*"))
+    return best_weights(_errors_of(df, y, columns, [tuple(w / whole for w in p) for p in points]))
 
 
 def stack(df: DataFrame, y: str, columns: list[str], alpha: float = 1.0) -> tuple[object, DataFrame]:
