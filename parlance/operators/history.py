@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Schema of a record.
+RECORD = "logged_at timestamp, config map<string,string>, results map<string,double>, params map<string,string>"
 #: Metrics of which less is better; of all others more is.
 LESS = ("mae", "rmse", "error", "time")
 
@@ -15,7 +17,7 @@ def record(spark: SparkSession, config: dict, results: dict[str, float], params:
     """One row of a run: its configuration, figures and parameters, whose model prefixes (``model__``) are taken off."""
     stripped = {str(k).rpartition("__")[2]: str(v) for k, v in (params or {}).items()}
     row = (at or datetime.now(), {str(k): str(v) for k, v in config.items()}, {str(k): float(v) for k, v in results.items() if v is not None}, stripped)
-    return spark.createDataFrame([row], "logged_at timestamp, config map<string,string>, results map<string,double>, params map<string,string>")
+    return spark.createDataFrame([row], RECORD)
 
 
 def less_is_better(metric: str) -> bool:

@@ -15,6 +15,13 @@ START, END = "<s>", "</s>"
 FLOOR, BACKOFF = 1e-10, 0.4
 #: So many scored n-grams, of some 200 bytes each, are broadcast; more are joined by a shuffle.
 BROADCAST_GRAMS = 200_000
+#: Blocks of a speaker's features: (method, order) by the prefix of their columns.
+BLOCKS = {
+    "poslm_kn_bigram": ("kneser-ney", 2),
+    "poslm_kn_trigram": ("kneser-ney", 3),
+    "poslm_bo_bigram": ("backoff", 2),
+    "poslm_bo_trigram": ("backoff", 3),
+}
 
 
 def ngrams(sequences: DataFrame, key: list[str], tags: str, n: int) -> DataFrame:
@@ -98,6 +105,17 @@ def speaker_features(scored: DataFrame, speaker: str, prefix: str) -> DataFrame:
     return scored.groupBy(speaker).agg(*sequence_stats(F.col("ce"), f"{prefix}_ce_"), F.avg("ppl").alias(f"{prefix}_ppl_mean"), F.percentile("ppl", F.lit(0.5)).alias(f"{prefix}_ppl_median"))
 
 
+def block_features(sequences: DataFrame, speaker: str, key: list[str], tags: str, model: CountModel, blocks: dict[str, tuple[str, int]] = BLOCKS) -> DataFrame:
+    """speaker_features() of every block, from one aggregation over the scores of all; ``key`` names a sequence and has the speaker in it."""
+    rows, columns = None, []
+    for prefix, (method, n) in blocks.items():
+        part = cross_entropy(sequences, key, tags, model, n, method).select(speaker, F.col("ce").alias(f"{prefix}_ce"), F.col("ppl").alias(f"{prefix}_ppl"))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        ppl = F.col(f"{prefix}_ppl")
+        columns += [*sequence_stats(F.col(f"{prefix}_ce"), f"{prefix}_ce_"), F.avg(ppl).alias(f"{prefix}_ppl_mean"), F.percentile(ppl, F.lit(0.5)).alias(f"{prefix}_ppl_median")]
+    return rows.groupBy(speaker).agg(*columns)
+
+
 def fill_with_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls of ``columns`` by the exact median of each."""
     found = exact_medians(df, columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 
@@ -26,6 +27,34 @@ REGISTRY: dict[str, tuple[Callable[[], Estimator], dict[str, list]]] = {
     "ebm": (lambda: GBTRegressor(seed=42, maxDepth=1), {"maxIter": [100, 200], "stepSize": [0.05, 0.1]}),
 }
 
+#: Ranges of the published searches, under the names of the native parameters, as far as there are such:
+#: ("log" or "uniform", least, most), ("step", least, most, step), ("share", least, most) as text, ("of", values). The
+#: robust linear form has 1 / C as its ``regParam``.
+SPACES: dict[str, dict[str, tuple]] = {
+    "svr": {"regParam": ("log", 0.01, 10.0)},
+    "lgbm": {"maxIter": ("step", 500, 2000, 500), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("step", 3, 20, 1), "minInstancesPerNode": ("step", 10, 100, 1), "subsamplingRate": ("uniform", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.6, 1.0)},
+    "xgb": {"maxIter": ("step", 500, 2000, 500), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("step", 3, 15, 1), "minInstancesPerNode": ("step", 1, 10, 1), "subsamplingRate": ("uniform", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.6, 1.0)},
+    "catboost": {"maxIter": ("step", 500, 2000, 500), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("step", 4, 10, 1)},
+    "rf": {"numTrees": ("step", 100, 500, 100), "maxDepth": ("step", 5, 30, 1), "minInstancesPerNode": ("step", 1, 10, 1), "featureSubsetStrategy": ("of", ("sqrt", "log2"))},
+    "elasticnet": {"regParam": ("log", 0.001, 10.0), "elasticNetParam": ("uniform", 0.1, 0.9)},
+    "ebm": {"maxBins": ("step", 128, 512, 128), "stepSize": ("log", 0.01, 0.1), "minInstancesPerNode": ("step", 2, 10, 1)},
+}
+
+
+def drawn(name: str, n: int, seed: int = 42) -> list[dict]:
+    """``n`` points of the model's published ranges; the same for the same seed."""
+    rng = random.Random(seed)
+    draw = {
+        "log": lambda a, b: math.exp(rng.uniform(math.log(a), math.log(b))),
+        "uniform": rng.uniform,
+        "step": lambda a, b, step: rng.randrange(a, b + 1, step),
+        "share": lambda a, b: str(round(rng.uniform(a, b), 3)),
+        "of": rng.choice,
+    }
+    if name not in SPACES:
+        raise ValueError(f"no published ranges for {name}; there are some for {', '.join(sorted(SPACES))}")
+    return [{p: draw[kind](*of) for p, (kind, *of) in SPACES[name].items()} for _ in range(n)]
+
 
 def estimator(name: str) -> tuple[Estimator, dict[str, list]]:
     if name not in REGISTRY:
@@ -51,13 +80,20 @@ def _grid(model: Estimator, values: dict[str, list]) -> list[dict]:
     return builder.build()
 
 
-def search(df: DataFrame, columns: list[str], target: str, name: str, folds: int = 5, fold_col: str | None = None, draws: int | None = None, parallelism: int = 4, seed: int = 42) -> CrossValidatorModel:
-    """The best of the model's grid by cross-validated mean absolute error, fitted again on all rows; of ``draws`` points drawn from the grid if given."""
+def search(df: DataFrame, columns: list[str], target: str, name: str, folds: int = 5, fold_col: str | None = None, draws: int | None = None, parallelism: int = 4, seed: int = 42, published: bool = False) -> CrossValidatorModel:
+    """The best of the model's grid by cross-validated mean absolute error, fitted again on all rows; of ``draws`` points drawn from the grid if given.
+
+    With ``published``, of ``draws`` points (50 if not given) drawn from the model's published ranges.
+    """
     model, values = estimator(name)
     pipe = pipeline(columns, model, target)
-    grid = _grid(pipe.getStages()[-1], values)
-    if draws is not None:
-        grid = random.Random(seed).sample(grid, min(draws, len(grid)))
+    last = pipe.getStages()[-1]
+    if published:
+        grid = [{last.getParam(p): v for p, v in point.items()} for point in drawn(name, draws or 50, seed)]
+    else:
+        grid = _grid(last, values)
+        if draws is not None:
+            grid = random.Random(seed).sample(grid, min(draws, len(grid)))
     judge = RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="mae")
     options = {"foldCol": fold_col} if fold_col else {"seed": seed}
     return CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, parallelism=parallelism, **options).fit(df)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators import prep
 from parlance.operators.ranks import exact_quantiles
+from parlance.shared import checkpointed
 
 #: The plain set, of rates, means and shares without the other statistics.
 SIMPLE = (
@@ -56,10 +58,10 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
 def gram_matrices(df: DataFrame, columns: list[str], target: str, fold: str) -> dict[int, np.ndarray]:
     """Sums of products of (1, columns, target) by fold: all that a linear fit of any subset needs, from one pass.
 
-    Rows with a null are left out. A fold's matrix is (columns + 2) squared, whatever the number of rows.
+    Rows with a null in a column or the target are left out. A fold's matrix is (columns + 2) squared, whatever the number of rows.
     """
     names = ["_one", *columns, target]
-    rows = df.select(fold, F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in (*columns, target)]).dropna()
+    rows = df.select(fold, F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in (*columns, target)]).dropna(subset=[*columns, target])
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     found = {}
     for row in rows.groupBy(fold).agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{n}") for n, (i, j) in enumerate(pairs)]).collect():
@@ -70,32 +72,49 @@ def gram_matrices(df: DataFrame, columns: list[str], target: str, fold: str) ->
     return found
 
 
-def _fold_error(grams: dict[int, np.ndarray], at: list[int]) -> float:
-    """Root mean squared error of linear fits, each scored on the fold that it has not seen."""
+def prefiltered(df: DataFrame, columns: list[str], target: str, most_null: float = 0.3, least_variance: float = 0.01, k: int = 80) -> list[str]:
+    """The columns, in their order, with a lesser share of nulls and a greater variance; the ``k`` of the greatest F where more are left."""
+    left = prep.variance_filter(prep.null_filter(prep.column_report(df, columns, target), most_null), least_variance)
+    names = [r["feature"] for r in left.select("feature").collect()]
+    if len(names) > k:
+        names = [r["feature"] for r in prep.top_by_f(left, k).select("feature").collect()]
+    return [c for c in columns if c in names]
+
+
+def _fold_weights(grams: dict[int, np.ndarray], at: list[int]) -> dict[int, list[float]]:
+    """Weights of a linear fit for each fold, from the rows outside of it."""
     whole, last = sum(grams.values()), len(next(iter(grams.values()))) - 1
-    total = n = 0.0
-    for g in grams.values():
-        t = whole - g
-        w = np.linalg.lstsq(t[np.ix_(at, at)], t[at, last], rcond=None)[0]
-        total += g[last, last] - 2 * w @ g[at, last] + w @ g[np.ix_(at, at)] @ w
-        n += g[0, 0]
-    return float(np.sqrt(max(total, 0) / n))
-
-
-def forward_selection(df: DataFrame, columns: list[str], target: str, fold: str = "fold", most: int = 20, least_gain: float = 1e-9) -> list[tuple[str, float]]:
-    """(feature, cross-validated error with it) in the order chosen, as long as the error falls. The rows are read once."""
-    grams = gram_matrices(df, columns, target, fold)
+    return {f: np.linalg.lstsq((whole - g)[np.ix_(at, at)], (whole - g)[at, last], rcond=None)[0].tolist() for f, g in grams.items() if f is not None}
+
+
+def _absolute_error(names: list[str], target: str, fold: str, weights: dict[int, list[float]]) -> Column:
+    """Mean absolute error of the rows that have a fold, each by its fold's weights."""
+    fit = lambda w: sum((F.col(c) * x for c, x in zip(names, w[1:], strict=True)), F.lit(w[0]))
+    return F.avg(F.coalesce(*[F.when(F.col(fold) == f, F.abs(F.col(target) - fit(w))) for f, w in weights.items()]))
+
+
+def forward_selection(df: DataFrame, columns: list[str], target: str, fold: str = "fold", most: int = 20) -> list[tuple[str, float]]:
+    """(feature, cross-validated mean absolute error with it) in the order chosen, up to the number of features with the least error.
+
+    Nulls are filled by medians; a column without values is never chosen, and rows without a target do not count. Rows
+    whose fold is null train every fit and score none. Candidates are linear fits from the folds' Gram matrices; a round
+    scores all of them in one pass over the stored columns. No rows: nothing is chosen.
+    """
+    middles = {c: m for c, m in prep.medians(df, columns).items() if m is not None}
+    columns = [c for c in columns if c in middles]
+    rows = prep.imputed(df, middles).select(fold, *columns, F.col(target).cast("double").alias(target)).filter(F.col(target).isNotNull())
+    rows = checkpointed(rows)
+    grams = gram_matrices(rows, columns, target, fold)
     chosen: list[int] = []
-    out, best = [], float("inf")
-    while len(chosen) < min(most, len(columns)):
-        tried = [(_fold_error(grams, [0, *chosen, i + 1]), i) for i in range(len(columns)) if i + 1 not in chosen]
-        error, i = min(tried)
-        if error >= best - least_gain:
-            break
-        chosen.append(i + 1)
-        best = error
+    out: list[tuple[str, float]] = []
+    while len(chosen) < min(most, len(columns)) and any(f is not None for f in grams):
+        tried = [i for i in range(len(columns)) if i not in chosen]
+        sets = [[*chosen, i] for i in tried]
+        errors = rows.agg(*[_absolute_error([columns[j] for j in x], target, fold, _fold_weights(grams, [0, *[j + 1 for j in x]])).alias(f"e{x[-1]}") for x in sets]).first()
+        error, i = min(zip(errors, tried, strict=True))
+        chosen.append(i)
         out.append((columns[i], error))
-    return out
+    return out[: min(range(len(out)), key=lambda n: out[n][1]) + 1] if out else out
 
 
 def _assembled(df: DataFrame, columns: list[str], target: str) -> DataFrame:

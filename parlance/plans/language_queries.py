@@ -100,13 +100,25 @@ def poslm_features(spark, sf_dir):
     return lm.speaker_features(scored, "doc_id", "poslm_kn_trigram")
 
 
-_P = "poslm_kn_trigram_"
+def poslm_blocks(spark, sf_dir):
+    """Both methods and both orders."""
+    return lm.block_features(_sequences(spark, sf_dir), "doc_id", ["doc_id", "utt"], "tags", _train(spark, sf_dir))
+
+
 _FLAT = "case when stddev_samp(ce) = 0 then 0.0::double else {0}(ce) end"
-ORACLE_SQL["poslm_features"] = f"""with {_TRAIN}, {_MODEL}, {_scored(3, 'kneser-ney')}, q as (select doc_id, utt, avg(-log2(prob)) as e from px group by 1, 2),
-ce as (select doc_id, case when length(tags) >= 3 then e end as ce, case when length(tags) >= 3 then pow(2.0::double, e) end as ppl from ss left join q using (doc_id, utt))
-select doc_id, avg(ce) as {_P}ce_mean, stddev_pop(ce) as {_P}ce_std, min(ce) as {_P}ce_min, quantile_cont(ce, 0.25) as {_P}ce_q1, quantile_cont(ce, 0.5) as {_P}ce_median, quantile_cont(ce, 0.75) as {_P}ce_q3, max(ce) as {_P}ce_max,
-quantile_cont(ce, 0.75) - quantile_cont(ce, 0.25) as {_P}ce_iqr, quantile_cont(ce, 0.01) as {_P}ce_p1, quantile_cont(ce, 0.99) as {_P}ce_p99, quantile_cont(ce, 0.99) - quantile_cont(ce, 0.01) as {_P}ce_range_p1_p99,
-{_FLAT.format('skewness')} as {_P}ce_skewness, {_FLAT.format('kurtosis')} as {_P}ce_kurtosis, avg(ppl) as {_P}ppl_mean, quantile_cont(ppl, 0.5) as {_P}ppl_median from ce group by doc_id"""
+
+
+def _speaker_sql(p: str, method: str, n: int) -> str:
+    """SQL of a block's features, after ``with`` and the model's tables."""
+    return f"""{_scored(n, method)}, q as (select doc_id, utt, avg(-log2(prob)) as e from px group by 1, 2),
+ce as (select doc_id, case when length(tags) >= {n} then e end as ce, case when length(tags) >= {n} then pow(2.0::double, e) end as ppl from ss left join q using (doc_id, utt))
+select doc_id, avg(ce) as {p}ce_mean, stddev_pop(ce) as {p}ce_std, min(ce) as {p}ce_min, quantile_cont(ce, 0.25) as {p}ce_q1, quantile_cont(ce, 0.5) as {p}ce_median, quantile_cont(ce, 0.75) as {p}ce_q3, max(ce) as {p}ce_max,
+quantile_cont(ce, 0.75) - quantile_cont(ce, 0.25) as {p}ce_iqr, quantile_cont(ce, 0.01) as {p}ce_p1, quantile_cont(ce, 0.99) as {p}ce_p99, quantile_cont(ce, 0.99) - quantile_cont(ce, 0.01) as {p}ce_range_p1_p99,
+{_FLAT.format('skewness')} as {p}ce_skewness, {_FLAT.format('kurtosis')} as {p}ce_kurtosis, avg(ppl) as {p}ppl_mean, quantile_cont(ppl, 0.5) as {p}ppl_median from ce group by doc_id"""
+
+
+ORACLE_SQL["poslm_features"] = f"with {_TRAIN}, {_MODEL}, {_speaker_sql('poslm_kn_trigram_', 'kneser-ney', 3)}"
+ORACLE_SQL["poslm_blocks"] = f"with {_TRAIN}, {_MODEL}, " + ", ".join(f"{name} as (with {_speaker_sql(f'{name}_', *block)})" for name, block in lm.BLOCKS.items()) + " select * from " + " join ".join(name if i == 0 else f"{name} using (doc_id)" for i, name in enumerate(lm.BLOCKS))
 
 
 def median_fill(spark, sf_dir):
@@ -188,4 +200,4 @@ nouns / greatest(verbs, 1e-6::double) as den_nouns_per_verb, nouns / greatest(no
 
 ORACLE_SQL["norm_stats"] = t.settled_sql(ORACLE_SQL["norm_stats"], ["lex_freq_skew", "lex_aoa_skew", "lex_freq_kurt", "lex_aoa_kurt"])
 ORACLE_SQL["den_features"] = t.settled_sql(ORACLE_SQL["den_features"], ["den_words_utt_skew", "den_phones_utt_skew", "den_words_utt_kurt", "den_phones_utt_kurt"])
-QUERIES |= {f.__name__: f for f in (ngram_counts, cross_entropy, poslm_features, median_fill, tag_words, tag_map, type_token_ratio, phone_lookup, norm_stats, den_features)}
+QUERIES |= {f.__name__: f for f in (ngram_counts, cross_entropy, poslm_features, poslm_blocks, median_fill, tag_words, tag_map, type_token_ratio, phone_lookup, norm_stats, den_features)}

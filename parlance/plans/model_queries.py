@@ -111,8 +111,9 @@ select feature, sum(n::double / s * ln(n::double * s / (sx * sy))) as mi from js
 
 def forward_selection(spark, sf_dir):
     rows = t.scored(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("l_orderkey"), F.lit(4)).cast("int"))
-    chosen = selection.forward_selection(rows, _NUMBERS, "predicted")
-    return spark.createDataFrame([(i, c, e) for i, (c, e) in enumerate(chosen)], "step int, feature string, rmse double")
+    rows = rows.withColumns({c: F.col(c) * 100 for c in ("l_discount", "l_tax")})
+    chosen = selection.forward_selection(rows, selection.prefiltered(rows, _NUMBERS, "predicted"), "predicted")
+    return spark.createDataFrame([(i, c, e) for i, (c, e) in enumerate(chosen)], "step int, feature string, mae double")
 
 
 def oof_metrics(spark, sf_dir):

@@ -96,7 +96,20 @@ def write_by(df: DataFrame, column: str, path: str, form: str = "parquet") -> No
 
 
 def append_record(record: DataFrame, path: str, form: str = "json") -> None:
-    record.coalesce(1).write.mode("append").format(form).save(path)
+    """A file more in the log's folder; in ``csv`` a map is its JSON text."""
+    if form == "csv":
+        record = record.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in record.schema])
+    record.coalesce(1).write.mode("append").option("header", True).option("escape", '"').format(form).save(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: str, form: str = "json") -> DataFrame:
+    """The log that append_record() wrote, by its schema."""
+    if form != "csv":
+        return spark.read.schema(schema).format(form).load(path)
+    fields = T.StructType.fromDDL(schema)
+    text = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.MapType) else f.dataType) for f in fields])
+    rows = spark.read.schema(text).option("header", True).option("escape", '"').csv(path)
+    return rows.select(*[F.from_json(f.name, f.dataType).alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in fields])
 
 
 def write_transcripts(rendered: DataFrame, key: str, path: str) -> None:

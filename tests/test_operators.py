@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.operators import ensemble, folds, history, language_model as lm, lexicon, merge, models, prep, ranks, selection, timing
+from parlance.sources import files
 
 
 def test_pause_boundaries(spark):
@@ -97,6 +98,57 @@ def test_selection(table):
     assert selection.simple_set(["lex_ttr", "zzz", "poslm_kn_bigram_ce_mean"], ("kn",)) == ["lex_ttr", "poslm_kn_bigram_ce_mean"]
 
 
+def test_forward_selection_equals_fits_on_rows(spark, table):
+    """Against fits of the rows themselves, with nulls, an empty column, rows that only train and rows without a target."""
+    rows = [r.asDict() for r in table.select("a", "b", "c", "d", "y", "fold").collect()]
+    for i, r in enumerate(rows):
+        r |= {"b": None if i % 9 == 0 else r["b"], "empty": None, "fold": None if i % 10 == 0 else r["fold"], "y": None if i % 50 == 1 else r["y"]}
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, empty double, y double, fold int")
+    middle = float(np.median([r["b"] for r in rows if r["b"] is not None]))
+    kept = [r for r in rows if r["y"] is not None]
+    x = {c: np.array([middle if r[c] is None else r[c] for r in kept]) for c in "abcd"}
+    y, fold = np.array([r["y"] for r in kept]), np.array([-1 if r["fold"] is None else r["fold"] for r in kept])
+
+    def error(names):
+        m, off = np.column_stack([np.ones(len(y)), *[x[c] for c in names]]), []
+        for f in range(4):
+            w = np.linalg.lstsq(m[fold != f], y[fold != f], rcond=None)[0]
+            off.extend(np.abs(m[fold == f] @ w - y[fold == f]))
+        return float(np.mean(off))
+
+    names, path = [], []
+    while len(names) < 4:
+        e, c = min((error([*names, c]), c) for c in "abcd" if c not in names)
+        names.append(c)
+        path.append((c, e))
+    best = min(range(4), key=lambda n: path[n][1])
+    got = selection.forward_selection(df, ["a", "b", "c", "d", "empty"], "y")
+    assert [c for c, _ in got] == names[: best + 1] and [e for _, e in got] == pytest.approx([e for _, e in path[: best + 1]])
+    assert selection.forward_selection(df.limit(0), ["a", "b"], "y") == []
+
+
+def test_columns_before_the_search(spark, table):
+    df = table.select("*", F.lit(1.0).alias("flat"), F.when(F.col("id") % 3 == 0, F.col("a")).alias("holes"))
+    assert selection.prefiltered(df, ["flat", "d", "holes", "c", "a"], "y") == ["d", "c", "a"]
+    assert selection.prefiltered(df, ["flat", "d", "holes", "c", "a"], "y", k=2) == ["c", "a"]
+
+
+def test_published_ranges(table):
+    for name, space in models.SPACES.items():
+        model = models.estimator(name)[0]
+        points = models.drawn(name, 20)
+        assert points == models.drawn(name, 20) != models.drawn(name, 20, seed=1)
+        for point in points:
+            assert set(point) == set(space) and all(model.hasParam(p) for p in point)
+            for p, (kind, *of) in space.items():
+                assert point[p] in of[0] if kind == "of" else of[0] <= float(point[p]) <= of[1]
+                assert kind != "step" or (point[p] - of[0]) % of[2] == 0
+    found = models.search(table, ["a", "c"], "y", "elasticnet", folds=2, draws=2, published=True)
+    assert len(found.avgMetrics) == 2
+    with pytest.raises(ValueError, match="ridge"):
+        models.drawn("ridge", 1)
+
+
 def test_models(spark, table, tmp_path):
     out = models.out_of_fold(table, ["a", "c"], "y", "elasticnet", 4)
     assert out.count() == 400 and out.agg(F.avg(F.abs(F.col("predicted") - F.col("y")))).first()[0] < 1.2
@@ -132,6 +184,16 @@ def test_ensembles(spark, table):
     assert sorted(tuple(r) for r in ensemble.mean_absolute(spark.createDataFrame([(1.0, -2.0), (-3.0, 2.0)], "a double, b double")).collect()) == [("a", 2.0), ("b", 2.0)]
 
 
+@pytest.mark.parametrize("form", ["json", "csv"])
+def test_run_log_reads_back(spark, tmp_path, form):
+    path = str(tmp_path / "log")
+    for i in range(2):
+        files.append_record(history.record(spark, {"model": f"a,{i}", "note": 'say "x"\\'}, {"mae": 1.5 + i}, {"model__C": 3}), path, form)
+    got = files.read_records(spark, path, history.RECORD, form).collect()
+    assert sorted((r["config"]["model"], r["config"]["note"], r["results"]["mae"], r["params"]["C"]) for r in got) == [("a,0", 'say "x"\\', 1.5, "3"), ("a,1", 'say "x"\\', 2.5, "3")]
+    assert all(r["logged_at"] is not None for r in got)
+
+
 def test_history(spark):
     runs = spark.createDataFrame([(1, "svr", 3.0), (2, "rf", 2.0), (3, "rf", 4.0), (4, "rf", None)], "run int, model_type string, mae double")
     assert history.best_run(runs, "mae", "run").first()["run"] == 2
