@@ -1,14 +1,19 @@
-"""Scoring texts by an interpolated modified Kneser-Ney bigram model that is counted in Spark.
+"""Scoring texts by an interpolated modified Kneser-Ney model of order 2 or 3 that is counted in Spark.
 
 The model is sorted arrays in the shared folder, which workers map into memory:
 
 * ``vocabulary``: 64-bit hashes of the words, sorted; a word's rank is its number;
-* ``bigrams``: sorted keys (number of the word before, number of the word) and their counts;
+* ``trigrams``, of order 3: sorted 64-bit hashes of three numbers, and their counts;
+* ``bigrams``: sorted keys (number of the word before, number of the word); how often each is there, of order 3 after
+  how many different words; of order 3 also its sum as a context, and how many trigrams it begins that are there once,
+  twice and more often;
 * ``words``: for each number its count, its sum and discounted mass as a context, and its lower-order probability.
 
 Each is cut into files by leading bits, so a file is what one task sorted. Tasks send sorted keys of whole slices as
 packed blobs, with differences byte by byte, not a row for each token. A word that is the context of very many
 bigrams is dealt by the second word too, so no file holds more than others by much; its sums are added up after.
+Trigrams are dealt as the bigram of their last two words, so that a task knows after how many words that one stands.
+Two of n trigrams have the same hash by a chance of n * n / 2**65; these would be counted as one.
 """
 
 from __future__ import annotations
@@ -36,8 +41,6 @@ FILE_ENTRIES, SENT_ENTRIES = 4_000_000, 1_000_000
 START, UNKNOWN = np.uint64(2**32 - 1), np.uint64(2**32 - 2)
 #: Hash of the token that ends a text.
 END = mix(np.array([COEF[60]], np.uint64))[0]
-#: Files with a count above it have 64 bits for each count, the others 32.
-WIDE = 2**32 - 1
 _SLOTS = (("count", "<u8"), ("total", "<u8"), ("mass", "<f8"), ("lower", "<f8"))
 
 
@@ -66,40 +69,58 @@ def _map(folder: str, name: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In as few bytes an entry as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+
+
+def _map_narrow(folder: str, name: str, n: int) -> np.ndarray:
+    data = _map(folder, name, "u1")
+    return data.view(f"<u{len(data) // n}") if n else data
+
+
 def _bits(entries: int) -> int:
     return max(1, math.ceil(math.log2(max(2, entries / FILE_ENTRIES))))
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray], *rest: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Sorted different keys, the sums of their counts, and of the rest, which goes by key, the first."""
     key, count = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key, kind="stable")
     key, count = key[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(count, first) if len(first) else count
+    first = _firsts(key)
+    return key[first], np.add.reduceat(count, first) if len(first) else count, *(np.concatenate(x)[order[first]] for x in rest)
+
+
+def _firsts(marks: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries begin."""
+    return np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]])) if len(marks) else np.zeros(0, np.int64)
 
 
 class _Gather:
-    """Counts of keys over many slices, given out when there are many."""
+    """Counts of keys over many slices, with what goes by key, given out when there are many."""
 
     def __init__(self):
-        self.keys, self.counts, self.n = [], [], 0
-
-    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        u, c = np.unique(keys, return_counts=True)
-        self.keys.append(u)
-        self.counts.append(c)
+        self.parts, self.n = [], 0
+
+    def add(self, keys: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        if rest:
+            u, at, c = np.unique(keys, return_index=True, return_counts=True)
+        else:
+            (u, c), at = np.unique(keys, return_counts=True), None
+        self.parts.append((u, c, *(x[at] for x in rest)))
         self.n += len(u)
         if self.n < 2 * SENT_ENTRIES:
             return None
-        key, count = _merged(self.keys, self.counts)
-        if len(key) >= SENT_ENTRIES:
+        found = self.rest()
+        if len(found[0]) >= SENT_ENTRIES:
             self.__init__()
-            return key, count
-        self.keys, self.counts, self.n = [key], [count], len(key)
+            return found
+        self.parts, self.n = [found], len(found[0])
         return None
 
-    def rest(self) -> tuple[np.ndarray, np.ndarray] | None:
-        return _merged(self.keys, self.counts) if self.keys else None
+    def rest(self) -> tuple[np.ndarray, ...] | None:
+        return _merged(*map(list, zip(*self.parts, strict=True))) if self.parts else None
 
 
 def _tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,26 +229,71 @@ def _files_of(keys: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
     return (mix(before * COEF[61] ^ mix(spread * COEF[62])) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _count_bigrams(folder: str, sizes: list[int], hot: np.ndarray, bits: int):
+def _words_before(pairs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The word before each bigram; each text is as after two starts."""
+    out = np.empty_like(pairs)
+    out[1:] = pairs[:-1] >> np.uint64(32)
+    out[bounds[:-1]] = START
+    return out
+
+
+def _trigram_hash(pairs: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mix(pairs * COEF[59] ^ mix(before * COEF[58] + COEF[57]))
+
+
+#: Of bigrams: how often, then as contexts of trigrams their sum and how many of these are there once, twice, more often.
+_COLUMNS = ("times", "sum", "once", "twice", "more")
+_PAIR_BLOBS = "file int, keys binary, " + ", ".join(f"{x} binary" for x in _COLUMNS) + ", top binary"
+_TRIGRAM_BLOBS = "file int, pairs binary, before binary, counts binary"
+
+
+def _dealt(file: np.ndarray, bits: int, *by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(file, its entries) of the files that have some, in the order of ``by``, or as they come."""
+    order = np.lexsort((*by, file)) if by else np.argsort(file, kind="stable")
+    cuts = np.searchsorted(file[order], np.arange(2**bits + 1))
+    for i in np.flatnonzero(np.diff(cuts)):
+        yield int(i), order[cuts[i] : cuts[i + 1]]
+
+
+def _pair_blobs(key: np.ndarray, columns: dict[str, np.ndarray], hot: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Sorted bigrams as rows of _PAIR_BLOBS; columns that are not given are null, which is as zeros."""
+    for i, at in _dealt(_files_of(key, hot, bits), bits):
+        keys = _packed(np.diff(key[at], prepend=np.uint64(0)), "<u8")
+        packed = [_packed(columns[x][at], "<u8") if x in columns else None for x in _COLUMNS]
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in (keys, *packed, None))], names=["file", "keys", *_COLUMNS, "top"])
+
+
+def _count_pairs(folder: str, sizes: list[int], hot: np.ndarray, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, gather = held(("vocabulary", folder), lambda: Vocabulary(folder, sizes)), _Gather()
+        blobs = lambda found: _pair_blobs(found[0], {"times": found[1]}, hot, bits)
+        for batch in batches:
+            for _, raw, off in buffers(batch.column(0)):
+                tokens, bounds = _tokens(raw, off)
+                if found := gather.add(_bigram_keys(vocabulary.numbers(tokens), bounds)):
+                    yield from blobs(found)
+        if found := gather.rest():
+            yield from blobs(found)
+
+    return run
+
+
+def _count_trigrams(folder: str, sizes: list[int], hot: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, gather = held(("vocabulary", folder), lambda: Vocabulary(folder, sizes)), _Gather()
 
         def blobs(found):
-            key, count = found
-            file = _files_of(key, hot, bits)
-            order = np.argsort(file, kind="stable")
-            cuts = np.searchsorted(file[order], np.arange(2**bits + 1))
-            for i in range(2**bits):
-                at = order[cuts[i] : cuts[i + 1]]
-                if len(at):
-                    k = key[at]
-                    row = [pa.array([i], pa.int32()), pa.array([_packed(np.diff(k, prepend=np.uint64(0)), "<u8")], pa.binary()), pa.array([_packed(count[at], "<u4")], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(row, names=["file", "keys", "counts"])
+            _, count, pair, before = found
+            for i, at in _dealt(_files_of(pair, hot, bits), bits, pair):
+                packed = _packed(np.diff(pair[at], prepend=np.uint64(0)), "<u8"), _packed(before[at], "<u4"), _packed(count[at], "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["file", "pairs", "before", "counts"])
 
         for batch in batches:
             for _, raw, off in buffers(batch.column(0)):
                 tokens, bounds = _tokens(raw, off)
-                if found := gather.add(_bigram_keys(vocabulary.numbers(tokens), bounds)):
+                pairs = _bigram_keys(vocabulary.numbers(tokens), bounds)
+                before = _words_before(pairs, bounds)
+                if found := gather.add(_trigram_hash(pairs, before), pairs, before.astype(np.uint32)):
                     yield from blobs(found)
         if found := gather.rest():
             yield from blobs(found)
@@ -235,32 +301,83 @@ def _count_bigrams(folder: str, sizes: list[int], hot: np.ndarray, bits: int):
     return run
 
 
-_STATS = ("id", "total", "n1", "n2", "n3", "n4", "cont")
+def _how_many(count: np.ndarray) -> list[int]:
+    return [int((count == i).sum()) for i in (1, 2, 3, 4)]
 
 
-def _save_bigrams(folder: str):
-    """Merges the blobs of each file, writes it, and gives out what each number's sums gain from it; those of id -1 are of all bigrams."""
+def _save_trigrams(folder: str, hot: np.ndarray, bits: int):
+    """Merges the blobs of each file, writes it, and gives out what the bigrams gain from it; ``top`` is how many trigrams are there once to four times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, parts in _by_file(batches):
-            keys, counts = [], []
+            pairs, before, counts = [], [], []
             for part in parts:
-                for k, c in zip(part.column(1), part.column(2), strict=True):
-                    keys.append(np.cumsum(_unpacked(k.as_buffer(), "<u8"), dtype=np.uint64))
+                for p, b, c in zip(part.column(1), part.column(2), part.column(3), strict=True):
+                    pairs.append(np.cumsum(_unpacked(p.as_buffer(), "<u8"), dtype=np.uint64))
+                    before.append(_unpacked(b.as_buffer(), "<u4"))
                     counts.append(_unpacked(c.as_buffer(), "<u4").astype(np.uint64))
-            key, count = _merged(keys, counts)
-            keys = counts = None
-            _save(folder, f"bigrams-{file}", key)
-            _save(folder, f"times-{file}", count.astype("<u8" if count.max() > WIDE else "<u4"))
-            before = key >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-            sums = lambda x: np.add.reduceat(x.astype(np.int64), first)
-            zero = np.zeros(len(first), np.int64)
-            out = [[before[first].astype(np.int64), sums(count), sums(count == 1), sums(count == 2), sums(count > 2), zero, zero]]
-            word, n = np.unique(key & np.uint64(0xFFFFFFFF), return_counts=True)
-            zero = np.zeros(len(word), np.int64)
-            out.append([word.astype(np.int64), zero, zero, zero, zero, zero, n.astype(np.int64)])
-            out.append([np.array([x], np.int64) for x in (-1, count.sum(), *((count == i).sum() for i in (1, 2, 3, 4)), len(key))])
+            hashes = [_trigram_hash(p, b.astype(np.uint64)) for p, b in zip(pairs, before, strict=True)]
+            key, count, pair, word = _merged(hashes, counts, pairs, before)
+            hashes = pairs = before = counts = None
+            _save(folder, f"trigrams-{file}", key)
+            _save(folder, f"often-{file}", _narrow(count))
+            key = None
+            top = np.array(_how_many(count), "<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), *(pa.array([x], pa.binary()) for x in (b"", *[None] * len(_COLUMNS), top))], names=["file", "keys", *_COLUMNS, "top"])
+            follows, n = np.unique(pair, return_counts=True)
+            yield from _pair_blobs(follows, {"times": n}, hot, bits)
+            context = (word.astype(np.uint64) << np.uint64(32)) | (pair >> np.uint64(32))
+            order = np.argsort(context, kind="stable")
+            context, count = context[order], count[order]
+            first = _firsts(context)
+            sums = lambda x: np.add.reduceat(x.astype(np.uint64), first)
+            yield from _pair_blobs(context[first], dict(zip(_COLUMNS[1:], (sums(count), sums(count == 1), sums(count == 2), sums(count > 2)), strict=True)), hot, bits)
+
+    return run
+
+
+_STATS = ("id", "total", "n1", "n2", "n3", "n4", "cont")
+
+
+def _save_bigrams(folder: str, order: int):
+    """Merges the blobs of each file, writes it, and gives out what each number's sums gain from it; those of id -1 are of all bigrams, of -2 of all trigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, parts in _by_file(batches):
+            keys, columns, top = [], {x: [] for x in _COLUMNS[: 1 if order == 2 else None]}, np.zeros(4, np.int64)
+            for part in parts:
+                for row in range(len(part)):
+                    cell = lambda x: part.column(x)[row]  # noqa: E731, B023
+                    if cell("top").is_valid:
+                        top += np.frombuffer(cell("top").as_buffer(), "<i8")
+                        continue
+                    keys.append(np.cumsum(_unpacked(cell("keys").as_buffer(), "<u8"), dtype=np.uint64))
+                    for x, found in columns.items():
+                        found.append(_unpacked(cell(x).as_buffer(), "<u8") if cell(x).is_valid else np.zeros(len(keys[-1]), np.uint64))
+            out = [[np.array([x], np.int64) for x in (-2, 0, *top, 0)]]
+            if keys:
+                by_key, keys = np.concatenate(keys), None
+                sort = np.argsort(by_key, kind="stable")
+                by_key = by_key[sort]
+                first = _firsts(by_key)
+                key = by_key[first]
+                _save(folder, f"bigrams-{file}", key)
+                for x in columns:
+                    found = np.add.reduceat(np.concatenate(columns[x])[sort], first)
+                    _save(folder, f"{x}-{file}", _narrow(found))
+                    count = found if x == "times" else count
+                columns = sort = by_key = None
+                key, count = key[count > 0], count[count > 0]  # two starts come before a word, and after none
+                before = key >> np.uint64(32)
+                first = _firsts(before)
+                sums = lambda x: np.add.reduceat(x.astype(np.int64), first)  # noqa: E731, B023
+                zero = np.zeros(len(first), np.int64)
+                if len(key):
+                    out.append([before[first].astype(np.int64), sums(count), sums(count == 1), sums(count == 2), sums(count > 2), zero, zero])
+                word, n = np.unique(key & np.uint64(0xFFFFFFFF), return_counts=True)
+                zero = np.zeros(len(word), np.int64)
+                out.append([word.astype(np.int64), zero, zero, zero, zero, zero, n.astype(np.int64)])
+                out.append([np.array([x], np.int64) for x in (-1, int(count.sum()), *_how_many(count), len(key))])
             for cols in out:
                 for i in range(0, len(cols[0]), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in cols], names=list(_STATS))
@@ -295,12 +412,18 @@ def _save_words(folder: str, base: list[int], d: tuple, dc: tuple, types: int, l
     return run
 
 
-def _pair(folder: str, file: int) -> tuple[np.ndarray, np.ndarray] | None:
+def _table(folder: str, file: int, keys: str, columns: tuple[str, ...]) -> dict[str, np.ndarray] | None:
     try:
-        keys, counts = _map(folder, f"bigrams-{file}", "<u8"), _map(folder, f"times-{file}", "u1")
-        return keys, counts.view("<u8" if len(counts) == 8 * len(keys) else "<u4")
-    except FileNotFoundError:  # no bigram fell there
+        key = _map(folder, f"{keys}-{file}", "<u8")
+    except FileNotFoundError:  # nothing fell there
         return None
+    return {"": key, **{x: _map_narrow(folder, f"{x}-{file}", len(key)) for x in columns}}
+
+
+def _interpolated(count: np.ndarray, total: np.ndarray, mass: np.ndarray, d: tuple, lower: np.ndarray) -> np.ndarray:
+    known = np.maximum(count - np.choose(np.minimum(count, 3).astype(int), (0, *d)), 0)
+    safe = np.maximum(total, 1)
+    return np.where(total > 0, known / safe + mass / safe * lower, lower)
 
 
 class Model:
@@ -310,7 +433,9 @@ class Model:
         folder = about["folder"]
         self.about = about
         self.vocabulary = Vocabulary(folder, about["sizes"])
-        self.bigrams = [_pair(folder, i) for i in range(2 ** about["bits"])]
+        files, order = range(2 ** about["bits"]), about["order"]
+        self.bigrams = [_table(folder, i, "bigrams", _COLUMNS[: 1 if order == 2 else None]) for i in files]
+        self.trigrams = [_table(folder, i, "trigrams", ("often",)) for i in files] if order == 3 else []
         self.words = {name: [_map(folder, f"{name}-{i}", kind) if n else np.zeros(0, kind) for i, n in enumerate(about["sizes"])] for name, kind in _SLOTS}
 
     def of_words(self, name: str, numbers: np.ndarray, missing: float) -> np.ndarray:
@@ -323,17 +448,15 @@ class Model:
                 out[a:b] = file[numbers[a:b] - self.vocabulary.base[i]]
         return out
 
-    def times(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted bigrams."""
-        out = np.zeros(len(keys))
-        file = _files_of(keys, self.about["hot"], self.about["bits"])
-        order = np.argsort(file, kind="stable")
-        cuts = np.searchsorted(file[order], np.arange(len(self.bigrams) + 1))
-        for i, pair in enumerate(self.bigrams):
-            at = order[cuts[i] : cuts[i + 1]]
-            if len(at) and pair is not None and len(pair[0]):
-                place = np.minimum(np.searchsorted(pair[0], keys[at]), len(pair[0]) - 1)
-                out[at] = np.where(pair[0][place] == keys[at], pair[1][place], 0)
+    def find(self, tables: list, keys: np.ndarray, pairs: np.ndarray, *columns: str) -> list[np.ndarray]:
+        """Columns of sorted keys, 0 where there is none, in the files of ``pairs``."""
+        out = [np.zeros(len(keys)) for _ in columns]
+        for i, at in _dealt(_files_of(pairs, self.about["hot"], self.about["bits"]), self.about["bits"]):
+            if (table := tables[i]) is not None and len(table[""]):
+                place = np.minimum(np.searchsorted(table[""], keys[at]), len(table[""]) - 1)
+                there = table[""][place] == keys[at]
+                for x, column in zip(out, columns, strict=True):
+                    x[at] = np.where(there, table[column][place], 0)
         return out
 
     def of_numbers(self, name: str, numbers: np.ndarray, missing: float) -> np.ndarray:
@@ -348,23 +471,42 @@ class Model:
         total, mass = self.of_numbers("total", before, 0), self.of_numbers("mass", before, 0)
         start = before == int(START)
         total[start], mass[start] = a["start"]
-        c = self.times(keys)
-        known = np.maximum(c - np.choose(np.minimum(c, 3).astype(int), (0, *a["d"])), 0)
-        safe = np.maximum(total, 1)
-        return np.where(total > 0, known / safe + mass / safe * lower, lower)
+        return _interpolated(self.find(self.bigrams, keys, keys, "times")[0], total, mass, a["d"], lower)
+
+    def probability3(self, hashes: np.ndarray, pairs: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Of each trigram's word after the two before it; ``hashes`` are sorted."""
+        pair, back = np.unique(pairs, return_inverse=True)
+        lower = self.probability(pair)[back]
+        context, back = np.unique((before << np.uint64(32)) | (pairs >> np.uint64(32)), return_inverse=True)
+        total, *follow = self.find(self.bigrams, context, context, *_COLUMNS[1:])
+        mass = sum(d * n for d, n in zip(self.about["d3"], follow, strict=True))
+        return _interpolated(self.find(self.trigrams, hashes, pairs, "often")[0], total[back], mass[back], self.about["d3"], lower)
 
     def score(self, raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         tokens, bounds = _tokens(raw, off)
         numbers = self.vocabulary.numbers(tokens)
-        keys, back = np.unique(_bigram_keys(numbers, bounds), return_inverse=True)
+        keys = _bigram_keys(numbers, bounds)
+        if self.about["order"] == 3:
+            before = _words_before(keys, bounds)
+            hashes, first, back = np.unique(_trigram_hash(keys, before), return_index=True, return_inverse=True)
+            found = self.probability3(hashes, keys[first], before[first])
+        else:
+            keys, back = np.unique(keys, return_inverse=True)
+            found = self.probability(keys)
         unique, at = np.unique(numbers, return_inverse=True)
         base = np.log10((self.of_words("count", unique, 0) + 1) / (self.about["tokens"] + self.about["size"] + 1))
         sums = lambda x: np.add.reduceat(x, bounds[:-1])
-        return {"n_tokens": np.diff(bounds), "n_known": sums((numbers >= 0).astype(np.int64)), "base_score": sums(base[at]), "score": sums(np.log10(self.probability(keys))[back])}
+        return {"n_tokens": np.diff(bounds), "n_known": sums((numbers >= 0).astype(np.int64)), "base_score": sums(base[at]), "score": sums(np.log10(found)[back])}
+
 
+def train(texts: DataFrame, path: str | None = None, order: int = 3) -> dict:
+    """Counts the ``text`` column of ``texts`` (null: empty) and writes the model of ``order`` 2 or 3.
 
-def train(texts: DataFrame, path: str | None = None) -> dict:
-    """Counts the ``text`` column of ``texts`` (null: empty) and writes the model; returns what Model needs to map it."""
+    Returns what Model needs to map it. Each row counts, repeated ones as often as they are there. Empty table: a model
+    of no text. Other columns are ignored.
+    """
+    if order not in (2, 3):
+        raise ValueError(f"order must be 2 or 3, not {order}")
     spark = texts.sparkSession
     folder = path or new_path(spark, "ngrams")
     data = texts.select(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
@@ -385,15 +527,20 @@ def train(texts: DataFrame, path: str | None = None) -> dict:
     known = np.sort(np.asarray(often, dtype=np.int64).view(np.uint64)) if len(often) else np.zeros(0, np.uint64)
     hot = Vocabulary(mapped, sizes).find(known) if len(known) else np.zeros(0, np.int64)
     hot = np.sort(np.append(hot.astype(np.uint64), START))
-    blobs = data.mapInArrow(_count_bigrams(mapped, sizes, hot, pair_bits), "file int, keys binary, counts binary")
-    blobs = blobs.repartitionById(2**pair_bits, F.col("file")).sortWithinPartitions("file")
+    by_file = lambda blobs: blobs.repartitionById(2**pair_bits, F.col("file")).sortWithinPartitions("file")
+    if order == 3:
+        blobs = by_file(data.mapInArrow(_count_trigrams(mapped, sizes, hot, pair_bits), _TRIGRAM_BLOBS))
+        blobs = blobs.mapInArrow(_save_trigrams(folder, hot, pair_bits), _PAIR_BLOBS)
+    else:
+        blobs = data.mapInArrow(_count_pairs(mapped, sizes, hot, pair_bits), _PAIR_BLOBS)
     schema = ", ".join(f"{x} long" for x in _STATS)
-    part = written(blobs.mapInArrow(_save_bigrams(folder), schema), "sums")
+    part = written(by_file(blobs).mapInArrow(_save_bigrams(folder, order), schema), "sums")
     sums = written(part.groupBy("id").agg(*[F.sum(x).alias(x) for x in _STATS[1:]]), "stats")
     zero = dict.fromkeys(_STATS, 0)
-    rows = {r["id"]: r.asDict() for r in sums.filter(F.col("id").isin(-1, int(START))).collect()}
+    rows = {r["id"]: r.asDict() for r in sums.filter(F.col("id").isin(-2, -1, int(START))).collect()}
     whole, start = rows.get(-1, zero), rows.get(int(START), zero)
-    d = discounts(whole["n1"], whole["n2"], whole["n3"], whole["n4"])
+    top = rows.get(-2, zero)
+    d, d3 = (discounts(x["n1"], x["n2"], x["n3"], x["n4"]) for x in (whole, top))
     own = sums.filter((F.col("id") >= 0) & (F.col("id") < size))
     cc = {r["k"]: r["n"] for r in own.filter("cont > 0").groupBy(F.least("cont", F.lit(5)).alias("k")).agg(F.count("*").alias("n")).collect()}
     dc = discounts(*(cc.get(k, 0) for k in (1, 2, 3, 4)))
@@ -404,7 +551,7 @@ def train(texts: DataFrame, path: str | None = None) -> dict:
     dense = own.select(file.alias("file"), *_STATS).repartitionById(2**bits, F.col("file")).sortWithinPartitions("file", "id")
     done = {r["file"] for r in dense.mapInArrow(_save_words(folder, base, d, dc, types, left, size), "file int, n long").collect()}
     assert done == {i for i, n in enumerate(sizes) if n}
-    return {"folder": mapped, "sizes": sizes, "bits": pair_bits, "hot": hot, "d": d, "left": left, "size": size, "tokens": tokens, "start": (start["total"], d[0] * start["n1"] + d[1] * start["n2"] + d[2] * start["n3"])}
+    return {"folder": mapped, "sizes": sizes, "bits": pair_bits, "hot": hot, "order": order, "d": d, "d3": d3, "left": left, "size": size, "tokens": tokens, "start": (start["total"], d[0] * start["n1"] + d[1] * start["n2"] + d[2] * start["n3"])}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -432,7 +579,7 @@ def held_out(id_col: str = "doc_id", modulus: int = 7, rest: int = 2):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus == rest
 
 
-def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
     """score() of all rows by the model of those that are not held_out(), with that flag and the tokens trained on."""
-    model = train(docs.filter(~held_out(id_col)).select(F.col(text_col).alias("text")))
+    model = train(docs.filter(~held_out(id_col)).select(F.col(text_col).alias("text")), order=order)
     return score(docs, model, id_col, text_col).select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
