@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from parlance.llm import ngram_model as nm
@@ -69,3 +70,12 @@ def test_awkward(spark):
     assert nm.held_out_scores(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="order"):
         nm.train(df, order=4)
+
+
+@pytest.mark.parametrize("largest", [200, 60_000, 2**31, 2**40])
+def test_counts_of_any_width(tmp_path, largest):
+    counts = np.array([1, largest, 7], np.uint64)
+    nm._save(str(tmp_path), "times-0", nm._narrow(counts))
+    assert nm._map_narrow(str(tmp_path), "times-0", 3).tolist() == counts.tolist()
+    merged = nm._merged([np.array([5, 9, 9], np.uint64)], [counts], [np.array([1, 2, 3])])
+    assert [x.tolist() for x in merged] == [[5, 9], [1, largest + 7], [1, 2]]
