@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, decontaminate, dedup, mixing, ngram_model, rules, sharding, token_counts, token_files, weak_labels
+from parlance.llm import chat, decontaminate, dedup, importance, mixing, ngram_model, periodic, rules, sharding, token_counts, token_files, warc, weak_labels
+from parlance.llm.text import WORD
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +95,53 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_labels.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``docs``: of a text whose id has h = crc32 with h % 10 = 0, the words from a on repeat p of them, as op 12's contract has it."""
+    words = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("w"))
+    words = words.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    words = words.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    words = words.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    tailed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return words.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), tailed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periodic_tails(_table(spark, sf_dir, "documents")))
+    # a run is greater by length / period, then by a smaller start and period; the products are exact
+    first = F.expr("reduce(runs, cast(null as struct<start:long,length:long,period:long>), (x, r) -> case when x is null or r.length * x.period > x.length * r.period then r else x end)")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.withColumn("best", first).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_digests(spark, warc.write_archives(_table(spark, sf_dir, "pages"), row_key=sharding.file_position()))
+
+
+_WARC_SQL = """
+with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (
+  select *, row_number() over (partition by payload_digest order by page_id nulls last) as k,
+         first_value(page_id) over (partition by payload_digest order by page_id nulls last) as first_id from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and k > 1 then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and k > 1 then first_id end as refers_to
+from f
+"""
+
 _CHAT_SQL = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -126,8 +174,12 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_format": op9_chat_format,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_warc": op13_warc,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": _MIXING_SQL,
     "op9_chat_format": _CHAT_SQL,
+    "op13_warc": _WARC_SQL,
 }
