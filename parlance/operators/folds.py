@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.scores import equal_width_bin
-from parlance.operators.ranks import value_range, with_row_numbers
+from parlance.operators.ranks import with_row_numbers
 
 
 def stratified_group_folds(df: DataFrame, group: str, stratum: str, k: int = 4, seed: int = 42) -> DataFrame:
@@ -18,7 +18,7 @@ def stratified_group_folds(df: DataFrame, group: str, stratum: str, k: int = 4,
     counts = df.groupBy(group, stratum).agg(F.count("*").alias("_n"))
     main = counts.groupBy(group).agg(F.min_by(stratum, F.struct(-F.col("_n"), stratum)).alias(stratum))
     hashed = main.select(group, stratum, F.md5(F.concat(F.col(group).cast("string"), F.lit(f":{seed}"))).alias("_h"))
-    numbered = with_row_numbers(hashed, [F.col("_h"), F.col(group)], [stratum], F.substring("_h", 1, 3), "_i")
+    numbered = with_row_numbers(hashed, [F.col("_h"), F.col(group)], [stratum], "_i")
     turn = F.pmod(F.crc32(F.col(stratum).cast("string")), F.lit(k))
     return numbered.select(group, stratum, F.pmod(F.col("_i") - 1 + turn, F.lit(k)).cast("int").alias("fold"))
 
@@ -33,8 +33,7 @@ def stratified_folds(df: DataFrame, key: str, value: str, k: int = 5, bins: int
 def group_folds(df: DataFrame, group: str, k: int = 4) -> DataFrame:
     """(group, n, fold): groups by size dealt to and fro, in running numbers by ranges of size and group."""
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    order = F.struct((-F.col("n")).alias("n"), F.col(group).alias("g"))
-    numbered = with_row_numbers(sizes, [F.desc("n"), F.col(group)], [], value_range(sizes, order), "_i")
+    numbered = with_row_numbers(sizes, [F.desc("n"), F.col(group)], [], "_i")
     at = F.pmod(F.col("_i") - 1, F.lit(2 * k))
     return numbered.select(group, "n", F.when(at < k, at).otherwise(2 * k - 1 - at).cast("int").alias("fold"))
 

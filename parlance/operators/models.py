@@ -9,35 +9,38 @@ from collections.abc import Callable
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: name -> (estimator, {parameter: values}). Boosters share one native estimator, ``ebm`` is its additive form and
-#: ``svr`` a robust linear one: stand-ins that learn the same task, with other numbers than the originals.
+from parlance.operators.estimators import AdditiveRegressor, KernelRegressor
+from parlance.operators.isotonic import isotonic_blocks, isotonic_values
+
+#: name -> (estimator, {parameter: values}). ``svr`` is a kernel machine and ``ebm`` a boosted additive model with pairs, both
+#: fitted by aggregates; the boosters share one native estimator and so have other numbers than the originals.
 REGISTRY: dict[str, tuple[Callable[[], Estimator], dict[str, list]]] = {
     "elasticnet": (lambda: LinearRegression(), {"regParam": [0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0]}),
     "ridge": (lambda: LinearRegression(elasticNetParam=0.0), {"regParam": [0.1, 1.0, 10.0]}),
-    "svr": (lambda: LinearRegression(loss="huber"), {"regParam": [0.01, 0.1, 1.0], "epsilon": [1.2, 1.35, 2.0]}),
+    "svr": (lambda: KernelRegressor(), {"C": [0.1, 1.0, 10.0, 100.0], "epsilon": [0.01, 0.1, 0.5, 1.0], "gamma": [0.0, 0.001, 0.01]}),
     "rf": (lambda: RandomForestRegressor(seed=42), {"numTrees": [100, 200], "maxDepth": [5, 10]}),
     "lgbm": (lambda: GBTRegressor(seed=42), {"maxIter": [50, 100], "maxDepth": [4, 6], "stepSize": [0.05, 0.1]}),
     "xgb": (lambda: GBTRegressor(seed=42, subsamplingRate=0.8), {"maxIter": [50, 100], "maxDepth": [3, 5], "stepSize": [0.05, 0.1]}),
     "catboost": (lambda: GBTRegressor(seed=42, featureSubsetStrategy="onethird"), {"maxIter": [50, 100], "maxDepth": [4, 6]}),
-    "ebm": (lambda: GBTRegressor(seed=42, maxDepth=1), {"maxIter": [100, 200], "stepSize": [0.05, 0.1]}),
+    "ebm": (lambda: AdditiveRegressor(interactions=10), {"maxBins": [128, 256], "maxInteractionBins": [16, 32], "interactions": [5, 10, 20], "stepSize": [0.01, 0.05], "minInstancesPerNode": [2, 5]}),
 }
 
 #: Ranges of the published searches, under the names of the native parameters, as far as there are such:
-#: ("log" or "uniform", least, most), ("step", least, most, step), ("share", least, most) as text, ("of", values). The
-#: robust linear form has 1 / C as its ``regParam``.
+#: ("log" or "uniform", least, most), ("step", least, most, step), ("share", least, most) as text, ("of", values). A
+#: ``gamma`` of 0 is one over the number of features.
 SPACES: dict[str, dict[str, tuple]] = {
-    "svr": {"regParam": ("log", 0.01, 10.0)},
+    "svr": {"C": ("log", 0.1, 100.0), "epsilon": ("log", 0.01, 1.0), "gamma": ("of", (0.0,))},
     "lgbm": {"maxIter": ("step", 500, 2000, 500), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("step", 3, 20, 1), "minInstancesPerNode": ("step", 10, 100, 1), "subsamplingRate": ("uniform", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.6, 1.0)},
     "xgb": {"maxIter": ("step", 500, 2000, 500), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("step", 3, 15, 1), "minInstancesPerNode": ("step", 1, 10, 1), "subsamplingRate": ("uniform", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.6, 1.0)},
     "catboost": {"maxIter": ("step", 500, 2000, 500), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("step", 4, 10, 1)},
     "rf": {"numTrees": ("step", 100, 500, 100), "maxDepth": ("step", 5, 30, 1), "minInstancesPerNode": ("step", 1, 10, 1), "featureSubsetStrategy": ("of", ("sqrt", "log2"))},
     "elasticnet": {"regParam": ("log", 0.001, 10.0), "elasticNetParam": ("uniform", 0.1, 0.9)},
-    "ebm": {"maxBins": ("step", 128, 512, 128), "stepSize": ("log", 0.01, 0.1), "minInstancesPerNode": ("step", 2, 10, 1)},
+    "ebm": {"maxBins": ("step", 128, 512, 128), "maxInteractionBins": ("step", 16, 64, 16), "interactions": ("step", 5, 30, 1), "stepSize": ("log", 0.01, 0.1), "minInstancesPerNode": ("step", 2, 10, 1)},
 }
 
 
@@ -113,10 +116,9 @@ def out_of_fold(df: DataFrame, columns: list[str], target: str, name: str, k: in
 
 def calibrate(df: DataFrame, y: str = "actual", p: str = "predicted", out: str = "calibrated", train: DataFrame | None = None) -> DataFrame:
     """``df`` with an isotonic fit of ``y`` on ``p``, kept within 0 and 100 and at its ends beyond them."""
-    spec = IsotonicRegression(labelCol=y, featuresCol=p, predictionCol=out)
-    fitted = spec.fit((train if train is not None else df).select(F.col(y).cast("double").alias(y), F.col(p).cast("double").alias(p)))
-    scored = fitted.transform(df.withColumn(p, F.col(p).cast("double")))
-    return scored.withColumn(out, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col(out))))
+    blocks = isotonic_blocks(train if train is not None else df, y, p)
+    scored = isotonic_values(df, blocks, p, out)
+    return scored.withColumn(out, F.when(F.col(out).isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col(out)))))
 
 
 def score_external(fitted: PipelineModel, df: DataFrame, language: str, languages: list[str]) -> dict[str, DataFrame]:

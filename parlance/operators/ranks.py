@@ -7,51 +7,53 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of values, and sampled rows for each edge between them.
-RANGES, SAMPLED = 256, 16
+from parlance.shared import checkpointed
+
+#: Rows of a range, about: a table has as many ranges as that takes.
+RANGE_ROWS = 100_000
 #: So many values around a median are brought to the driver at most, but for ties.
 NEAR = 100_000
 
 
-def value_range(df: DataFrame, key: Column, ranges: int = RANGES) -> Column:
-    """Number of the range of ``key`` (any type that sorts; nulls first), from edges at quantiles of a bounded hashed sample of its different values."""
-    sample = df.select(key.alias("k")).filter(F.col("k").isNotNull()).orderBy(F.xxhash64("k")).limit(ranges * SAMPLED)
-    ordered = sorted({r[0] for r in sample.collect()})
-    edges = ordered[SAMPLED :: SAMPLED]
-    if not edges:
-        return F.lit(0)
-    kind = df.select(key.alias("k")).schema["k"].dataType
-    table = F.array(*[F.struct(*map(F.lit, e)) if isinstance(e, tuple) else F.lit(e) for e in edges]).cast(f"array<{kind.simpleString()}>")
-    return F.when(key.isNull(), 0).otherwise(F.size(F.filter(table, lambda e: e <= key)))
+def in_ranges(df: DataFrame, order: list[Column], out: str = "_range", rows: int | None = None) -> DataFrame:
+    """``df``, stored, with the number of its range: ranges of about RANGE_ROWS rows follow each other in ``order``."""
+    stored = checkpointed(df)
+    ranges = max(1, math.ceil(stored.count() / (rows or RANGE_ROWS)))
+    if ranges == 1:
+        return stored.withColumn(out, F.lit(0))
+    return checkpointed(stored.repartitionByRange(ranges, *order).withColumn(out, F.spark_partition_id()))
 
 
-def with_row_numbers(df: DataFrame, order: list[Column], partition: list[str], range_of: Column, out: str) -> DataFrame:
-    """``df`` with ``out`` from 1, in ``order`` within ``partition``; ``range_of`` must rise with ``order``.
+def running_sums(df: DataFrame, order: list[Column], partition: list[str], value: Column, out: str, rows: int | None = None) -> DataFrame:
+    """``df`` with the sum of ``value`` over itself and the rows before it in ``order``, within ``partition``.
 
-    A window sorts one range of one partition; the numbers before it are sums of the counts of the ranges before.
+    A window sorts one range of one partition; what lies before it is a sum of the sums of the ranges before. ``order``
+    must be total, but for rows that may change places. Nulls of ``partition`` are a value.
     """
-    placed = df.withColumn("_range", range_of)
-    counts = placed.groupBy(*partition, "_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(partition)], F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = in_ranges(df, [*map(F.col, partition), *order], rows=rows).withColumn("_value", value)
+    sums = placed.groupBy(*partition, "_range").agg(F.sum("_value").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(partition)], F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
     on = F.col("_range") == F.col("_at")
     for i, p in enumerate(partition):
         on = on & F.col(p).eqNullSafe(F.col(f"_p{i}"))
-    own = F.row_number().over(Window.partitionBy(*partition, "_range").orderBy(*order))
-    return placed.withColumn("_own", own).join(starts, on).withColumn(out, F.col("_before") + F.col("_own")).select(*df.columns, out)
+    own = F.sum("_value").over(Window.partitionBy(*partition, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_own", own).join(starts, on).withColumn(out, F.col("_before") + F.coalesce("_own", F.lit(0))).select(*df.columns, out)
+
+
+def with_row_numbers(df: DataFrame, order: list[Column], partition: list[str], out: str, rows: int | None = None) -> DataFrame:
+    """``df`` with ``out`` from 1, in ``order`` within ``partition``."""
+    return running_sums(df, order, partition, F.lit(1).cast("long"), out, rows)
 
 
-def average_ranks(df: DataFrame, value: str, out: str = "rank", ranges: int = RANGES) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     """``df`` with the average rank of ``value`` (ties share their mean); nulls have none.
 
-    Distinct values are counted first; running counts go by range of like numbers of values, and then over ranges.
+    Distinct values are counted first; running counts go by range of values, and then over ranges.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    placed = counts.withColumn("_r", value_range(counts, F.col("_v"), ranges))
-    sums = placed.groupBy("_r").agg(F.sum("_c").alias("_s"))
-    before = sums.select("_r", F.coalesce(F.sum("_s").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    own = F.sum("_c").over(Window.partitionBy("_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    found = placed.withColumn("_t", own).join(F.broadcast(before), "_r").select("_v", (F.col("_b") + F.col("_t") - (F.col("_c") - 1) / 2.0).alias(out))
+    through = running_sums(counts, [F.col("_v")], [], F.col("_c"), "_t")
+    found = through.select("_v", (F.col("_t") - (F.col("_c") - 1) / 2.0).alias(out))
     return df.join(found, F.col(value) == F.col("_v"), "left").drop("_v")
 
 

@@ -217,11 +217,22 @@ def test_quantiles_in_rounds_are_exact(spark):
     assert ranks.exact_medians(df, ["x"]) == {"x": pytest.approx(float(np.median(x)))}
 
 
+def test_running_sums_over_ranges(spark):
+    rows = [(None if i % 4 == 0 else i % 4, i % 50, i, None if i % 9 == 0 else i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "p int, v int, k int, x int")
+    got = ranks.running_sums(df, [F.desc("v"), F.col("k")], ["p"], F.col("x"), "s", rows=70).collect()
+    for p in (None, 1, 2, 3):
+        through = 0
+        for r in sorted((r for r in got if r["p"] == p), key=lambda r: (-r["v"], r["k"])):
+            through += r["x"] or 0
+            assert r["s"] == through
+    assert len(got) == 1000 and ranks.running_sums(df.limit(0), [F.col("v")], [], F.col("x"), "s").count() == 0
+
+
 def test_row_numbers_over_ranges(spark):
     rows = [(i % 3, (i * 7919) % 1000, f"k{i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "p int, v int, k string")
-    order = F.struct("v", "k")
-    got = ranks.with_row_numbers(df, [F.col("v"), F.col("k")], ["p"], ranks.value_range(df, order, 20), "n").collect()
+    got = ranks.with_row_numbers(df, [F.col("v"), F.col("k")], ["p"], "n", rows=150).collect()
     for p in range(3):
         part = sorted((r["v"], r["k"], r["n"]) for r in got if r["p"] == p)
         assert [n for *_, n in part] == list(range(1, 1001))
