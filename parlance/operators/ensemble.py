@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 from itertools import product
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -68,6 +69,66 @@ def refined_weights(df: DataFrame, y: str, columns: list[str], steps: int = 20,
     return best_weights(_errors_of(df, y, columns, [tuple(w / whole for w in p) for p in points]))
 
 
+def lowest_point(planes: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights, value): the weights from 0 that sum to 1 and have the least greatest entry of planes @ weights.
+
+    With all entries above 0 that is the greatest sum of u under planes @ u <= 1, by pivots; the least index breaks ties.
+    """
+    shift = 1.0 - float(planes.min())
+    rows, columns = planes.shape
+    table = np.zeros((rows + 1, columns + rows + 1))
+    table[:rows, :columns], table[:rows, columns:-1], table[:rows, -1] = planes + shift, np.eye(rows), 1.0
+    table[-1, :columns] = -1.0
+    basis = list(range(columns, columns + rows))
+    while (table[-1, :-1] < -1e-12).any():
+        enter = int(np.flatnonzero(table[-1, :-1] < -1e-12)[0])
+        can = np.flatnonzero(table[:rows, enter] > 1e-12)
+        leave = int(min(can, key=lambda i: (table[i, -1] / table[i, enter], basis[i])))
+        table[leave] /= table[leave, enter]
+        for i in range(rows + 1):
+            if i != leave:
+                table[i] -= table[i, enter] * table[leave]
+        basis[leave] = enter
+    u = np.zeros(columns + rows)
+    u[basis] = table[:rows, -1]
+    total = u[:columns].sum()
+    return u[:columns] / total, 1.0 / total - shift
+
+
+def least_error_weights(df: DataFrame, y: str, columns: list[str], tolerance: float = 1e-9, rounds: int = 200) -> tuple[dict[str, float], float]:
+    """({column}: weight, mean absolute error): weights from 0 that sum to 1 with the least error, by cutting planes.
+
+    The error is convex, so its slope at a point is a plane below it everywhere. A round measures two points and their
+    planes in one aggregate: the lowest point of all planes so far, and the middle between it and the best point; the
+    first round measures every single model and the plain mean. It ends when the lowest plane is within ``tolerance``
+    of the best error. Rows with a null do not count; without rows the weights are equal and the error is not a number.
+    """
+    e = [F.col(c).cast("double") for c in columns]
+    target = F.col(y).cast("double")
+    rows = df.select(target.alias("_y"), *[x.alias(f"_m{i}") for i, x in enumerate(e)]).dropna()
+    n = len(columns)
+    points = [np.eye(n)[i] for i in range(n)] + ([np.full(n, 1 / n)] if n > 1 else [])
+    best, at, planes = np.inf, np.full(n, 1 / n), []
+    for _ in range(rounds):
+        aims = []
+        for k, w in enumerate(points):
+            error = sum((F.col(f"_m{i}") * float(w[i]) for i in range(n)), F.lit(0.0)) - F.col("_y")
+            aims += [F.avg(F.abs(error)).alias(f"f{k}"), *[F.avg(F.signum(error) * F.col(f"_m{i}")).alias(f"g{k}_{i}") for i in range(n)]]
+        found = rows.agg(*aims).first()
+        if found["f0"] is None:
+            return dict(zip(columns, at.tolist(), strict=True)), math.nan
+        for k, w in enumerate(points):
+            g = np.array([found[f"g{k}_{i}"] for i in range(n)])
+            planes.append(g + found[f"f{k}"] - float(g @ w))  # at weights v: the error here and g times the way, as they sum to 1
+            if found[f"f{k}"] < best:
+                best, at = found[f"f{k}"], w
+        lowest, bound = lowest_point(np.array(planes))
+        if best - bound <= tolerance * max(1.0, abs(best)):
+            break
+        points = [lowest, (lowest + at) / 2]
+    return dict(zip(columns, map(float, at), strict=True)), float(best)
+
+
 def stack(df: DataFrame, y: str, columns: list[str], alpha: float = 1.0) -> tuple[object, DataFrame]:
     """(ridge model over the predictions, ``df`` with ``stacked``)."""
     rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(df)

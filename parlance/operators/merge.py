@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators.ranks import in_ranges
+from parlance.shared import checkpointed
+
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
@@ -94,17 +98,46 @@ def first_per_stem(files: DataFrame, stem: str, path: str) -> DataFrame:
     return files.groupBy(stem).agg(F.min(path).alias(path))
 
 
-def prefix_matches(a: DataFrame, b: DataFrame, a_col: str, b_col: str, block: int = 3) -> DataFrame:
-    """Pairs of distinct names of which one begins the other.
+def _with_beginnings(parts):
+    """Names in order, with those that are open at the start of their range -> (name, beginning) for each name that begins it, itself included."""
+    open_ = None
+    for part in parts:
+        out = []
+        for number, name, before in zip(part["part"], part["name"], part["open"], strict=True):
+            if open_ is None or open_[0] != number:
+                open_ = (number, sorted(before if before is not None else [], key=len))
+            while open_[1] and not name.startswith(open_[1][-1]):
+                open_[1].pop()
+            open_[1].append(name)
+            out += [(name, x) for x in open_[1]]
+        yield pd.DataFrame(out, columns=["name", "beginning"])
+
+
+def beginnings(names: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """(name, beginning): for each different name, not null, all names that it begins with, itself included.
 
-    An equality join on the leading characters, as many as the shorter of both has, ``block`` at most; the exact test
-    comes after it.
+    In the order of their bytes a name follows those that begin it, and those in between begin with them too, so a scan keeps the open
+    ones in a stack. A range of the order starts with the open ones of its first name: its beginnings that are names.
     """
-    x, y = a.select(F.col(a_col).alias("a")).distinct().filter("a <> ''"), b.select(F.col(b_col).alias("b")).distinct().filter("b <> ''")
-    keys = lambda c: F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(block))), lambda i: F.substr(F.col(c), F.lit(1), i))
-    shorter = F.least(F.length("a"), F.length("b"), F.lit(block))
-    pairs = x.select("a", F.explode(keys("a")).alias("k")).join(y.select("b", F.explode(keys("b")).alias("k")), "k")
-    return pairs.filter((F.length("k") == shorter) & (F.col("a").startswith(F.col("b")) | F.col("b").startswith(F.col("a")))).select("a", "b")
+    different = names.select(F.col(name).alias("name")).filter("name is not null").distinct()
+    placed = checkpointed(in_ranges(different, [F.col("name")], "part", rows))
+    first = placed.groupBy("part").agg(F.min("name").alias("first"))
+    parts = first.filter("first <> ''").select("part", F.explode(F.sequence(F.lit(0), F.length("first") - 1)).alias("n"), "first").select("part", F.expr("substring(first, 1, n)").alias("name"))
+    open_ = parts.join(placed.select("name"), "name").groupBy("part").agg(F.collect_list("name").alias("open"))
+    ordered = placed.join(open_, "part", "left").repartition("part").sortWithinPartitions("part", "name")
+    return ordered.select("part", "name", "open").mapInPandas(_with_beginnings, "name string, beginning string")
+
+
+def prefix_matches(a: DataFrame, b: DataFrame, a_col: str, b_col: str, rows: int | None = None) -> DataFrame:
+    """(a, b): pairs of different names, not empty, of which one begins the other: only names and their beginnings meet."""
+    x, y = a.select(F.col(a_col).alias("name")).filter("name <> ''"), b.select(F.col(b_col).alias("name")).filter("name <> ''")
+    sides = x.withColumn("a", F.lit(True)).unionByName(y.withColumn("b", F.lit(True)), allowMissingColumns=True)
+    known = checkpointed(sides.groupBy("name").agg(F.max("a").alias("a"), F.max("b").alias("b")))
+    pairs = beginnings(known, "name", rows).join(known.select("name", F.col("a").alias("_a"), F.col("b").alias("_b")), "name")
+    pairs = pairs.join(known.select(F.col("name").alias("beginning"), F.col("a").alias("_c"), F.col("b").alias("_d")), "beginning")
+    long_a = pairs.filter("_a and _d").select(F.col("name").alias("a"), F.col("beginning").alias("b"))
+    long_b = pairs.filter("_b and _c and name <> beginning").select(F.col("beginning").alias("a"), F.col("name").alias("b"))
+    return long_a.union(long_b)
 
 
 def patched(df: DataFrame, key: str, ids: list, column: str, value: str) -> DataFrame:

@@ -11,8 +11,8 @@ from parlance.shared import checkpointed
 
 #: Rows of a range, about: a table has as many ranges as that takes.
 RANGE_ROWS = 100_000
-#: So many values around a median are brought to the driver at most, but for ties.
-NEAR = 100_000
+#: So many values around a quantile are brought to the driver at most, but for ties.
+NEAR = 500
 
 
 def in_ranges(df: DataFrame, order: list[Column], out: str = "_range", rows: int | None = None) -> DataFrame:
@@ -69,48 +69,53 @@ def exact_medians(df: DataFrame, columns: list[str], near: int = NEAR) -> dict[s
 def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], near: int = NEAR) -> dict[str, list[float | None]]:
     """Quantiles of each column, between two values in proportion; null without values.
 
-    Each round is two aggregates for all columns and shares: approximate quantiles just beside the one sought, and how
-    many values lie before and between them. When ``near`` values are left, or only ties, their counts come to the driver.
+    The columns are stored first. Each round is two aggregates for all columns and shares: approximate quantiles just
+    beside the one sought, and how many values lie before and between them. When ``near`` values are left of each, or
+    only ties, one job counts all of them, and these counts come to the driver.
     """
     if not columns:
         return {}
-    c = {x: F.col(x).cast("double") for x in columns}
-    total = dict(zip(columns, df.agg(*[F.count(c[x]) for x in columns]).first(), strict=True))
-    sought = [(x, q) for x in columns for q in shares]
-    place = {(x, q): (total[x] - 1) * q for x, q in sought}
+    c = [F.col(f"_q{i}") for i in range(len(columns))]
+    df = checkpointed(df.select(*[F.col(x).cast("double").alias(f"_q{i}") for i, x in enumerate(columns)]))
+    total = df.agg(*[F.count(x) for x in c]).first()
+    sought = [(i, q) for i in range(len(columns)) for q in shares]
+    place = {(i, q): (total[i] - 1) * q for i, q in sought}
     middle = {k: (math.floor(max(0, v)), math.ceil(max(0, v))) for k, v in place.items()}
-    state = {(x, q): (None, None, 0, total[x]) for x, q in sought}  # low, high, before low, between
+    state = {(i, q): (None, None, 0, total[i]) for i, q in sought}  # low, high, before low, between
     open_ = [k for k in sought if state[k][3] > near]
     while open_:
-        parts = []
+        groups: dict = {}  # those of one column between the same ends share a sketch
         for k in open_:
             low, high, before, n = state[k]
             at = [min(1.0, max(0.0, (i - before) / n + d)) for i, d in zip(middle[k], (-0.001, 0.001), strict=True)]
-            parts.append(F.percentile_approx(F.when(_inside(c[k[0]], low, high), c[k[0]]), at, 10_000))
-        ends = dict(zip(open_, df.agg(*parts).first(), strict=True))
+            groups.setdefault((k[0], low, high), []).append((k, at))
+        sketches = df.agg(*[F.percentile_approx(F.when(_inside(c[i], low, high), c[i]), [x for _, at in of for x in at], 10_000) for (i, low, high), of in groups.items()]).first()
+        ends = {k: (row[2 * j], row[2 * j + 1]) for row, of in zip(sketches, groups.values(), strict=True) for j, (k, _) in enumerate(of)}
         row = df.agg(*[f for k in open_ for f in (F.count_if(c[k[0]] < ends[k][0]), F.count_if(c[k[0]].between(*ends[k])))]).first()
         still = []
-        for i, k in enumerate(open_):
-            before, n = row[2 * i], row[2 * i + 1]
+        for j, k in enumerate(open_):
+            before, n = row[2 * j], row[2 * j + 1]
             if before <= middle[k][0] and middle[k][1] < before + n and n < state[k][3]:
                 state[k] = (*ends[k], before, n)
                 if n > near and ends[k][0] < ends[k][1]:
                     still.append(k)
         open_ = still
+    ranges = sorted({(i, *state[i, q][:2]) for i, q in sought if state[i, q][3]}, key=lambda r: (r[0], r[1] is not None, r[1], r[2]))
     counted: dict = {}
+    if ranges:
+        held = F.array_compact(F.array(*[F.when(c[i].isNotNull() & _inside(c[i], low, high), F.struct(F.lit(r).alias("r"), c[i].alias("v"))) for r, (i, low, high) in enumerate(ranges)]))
+        for r, v, times in df.select(F.explode(held).alias("x")).select("x.*").groupBy("r", "v").count().collect():
+            counted.setdefault(ranges[r], []).append((v, times))
     out: dict = {x: [] for x in columns}
-    for x, q in sought:
-        low, high, before, n = state[x, q]
-        if (x, low, high) not in counted:
-            rows = df.select(c[x].alias("v")).filter(F.col("v").isNotNull() & _inside(F.col("v"), low, high)).groupBy("v").count().collect() if n else []
-            counted[x, low, high] = sorted((r[0], r[1]) for r in rows)
+    for i, q in sought:
+        low, high, before, n = state[i, q]
         through, found = before, {}
-        for v, times in counted[x, low, high]:
-            found |= {i: v for i in middle[x, q] if through <= i < through + times}
+        for v, times in sorted(counted.get((i, low, high), [])):
+            found |= {m: v for m in middle[i, q] if through <= m < through + times}
             through += times
         if not found:
-            out[x].append(None)
+            out[columns[i]].append(None)
             continue
-        a, b = (found[i] for i in middle[x, q])
-        out[x].append(a + (b - a) * (place[x, q] - middle[x, q][0]))
+        a, b = (found[m] for m in middle[i, q])
+        out[columns[i]].append(a + (b - a) * (place[i, q] - middle[i, q][0]))
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,14 +121,41 @@ def _assembled(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df).select("features", F.col(target).cast("double").alias("label"))
 
 
+def swept(g: np.ndarray, at: int, out: bool = False) -> np.ndarray:
+    """Products of columns with the fit of column ``at`` swept in, or ``out`` again: a column that is in has its weight for each other one."""
+    pivot, sign = g[at, at], -1.0 if out else 1.0
+    new = g - np.outer(g[:, at], g[at]) / pivot
+    new[at], new[:, at] = sign * g[at] / pivot, sign * g[:, at] / pivot
+    new[at, at] = -1.0 / pivot
+    return new
+
+
 def recursive_elimination(df: DataFrame, columns: list[str], target: str, keep: int = 40, step: int = 5) -> list[tuple[str, int]]:
-    """(feature, rank): 1 for those that stay; those of the least standardised weight go ``step`` at a time."""
+    """(feature, rank): 1 for those that stay; those of the least standardised weight in a linear fit go ``step`` at a time.
+
+    One pass makes the products of all columns; in their correlations the fit of all is swept in, and what goes is swept out,
+    so no round reads the rows. A column without variance, or that the ones before it make up, goes in the first round.
+    Rows with a null in a column or the target are left out; without rows all columns go in their order.
+    """
+    grams = gram_matrices(df.withColumn("_whole", F.lit(0)), columns, target, "_whole")
+    g = sum(grams.values()) if grams else np.zeros((len(columns) + 2,) * 2)
+    n = max(1.0, g[0, 0])
+    centred = (g - np.outer(g[0], g[0]) / n)[1:, 1:]
+    size = np.sqrt(np.maximum(np.diag(centred), 0))
+    fit = centred / np.outer(np.where(size > 0, size, 1), np.where(size > 0, size, 1))
+    at = {c: i for i, c in enumerate(columns)}
+    held = set()
+    for c, i in at.items():
+        if fit[i, i] > 1e-9 and size[i] ** 2 > 1e-12 * max(1.0, g[i + 1, i + 1]):
+            fit = swept(fit, i)
+            held.add(c)
     left, ranks, round_ = list(columns), {}, 0
     while len(left) > keep:
-        model = LinearRegression(regParam=1e-6).fit(_assembled(df, left, target))
-        scale = np.array(df.agg(*[F.coalesce(F.stddev_pop(c), F.lit(0.0)) for c in left]).first())
-        weight = np.abs(model.coefficients.toArray()) * scale
-        out = [left[i] for i in np.argsort(weight)[: min(step, len(left) - keep)]]
+        weight = [abs(float(fit[at[c], -1])) if c in held else -1.0 for c in left]
+        out = [left[i] for i in np.argsort(weight, kind="stable")[: min(step, len(left) - keep)]]
+        for c in out:
+            if c in held:
+                fit = swept(fit, at[c], out=True)
         round_ += 1
         ranks |= dict.fromkeys(out, round_)
         left = [c for c in left if c not in out]

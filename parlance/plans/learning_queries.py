@@ -6,8 +6,9 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from parlance.operators import additive, attribution, encoding, neighbors
+from parlance.operators import additive, attribution, encoding, ensemble, evaluate, folds, models, neighbors, selection, tagging
 from parlance.plans import tables as t
+from parlance.plans.evaluation_queries import MODELS, _models
 
 QUERIES, ORACLE_SQL = {}, {}
 #: Columns of the line items and the last values of their bins.
@@ -146,4 +147,70 @@ g as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, {', '.join(games)}
 
 ORACLE_SQL["tree_attributions"] = _tree_sql()
 
-QUERIES |= {f.__name__: f for f in (ebm_shapes, ordered_target_stats, neighbour_information, linear_attributions, tree_attributions)}
+def least_error_weights(spark, sf_dir):
+    """Of two models of the line items."""
+    weights, error = ensemble.least_error_weights(_models(t.scored(spark, sf_dir)), "actual", ["m1", "m2"])
+    return spark.createDataFrame([(weights["m1"], weights["m2"], error)], "w_m1 double, w_m2 double, mae double")
+
+
+# the best weight of two models is a median: of the weights that would be right for a row, each as heavy as the models differ
+ORACLE_SQL["least_error_weights"] = f"""with {MODELS}, p as (select (actual - m2) / (m1 - m2) as w, abs(m1 - m2) as h from md where m1 <> m2), q as (select w, sum(h) as h from p group by w),
+c as (select w, sum(h) over (order by w) as through, sum(h) over () as whole from q), b as (select least(1, greatest(0, min(w))) as w from c where through >= whole / 2)
+select any_value(b.w) as w_m1, 1 - any_value(b.w) as w_m2, avg(abs(m1 * b.w + m2 * (1 - b.w) - actual)) as mae from md, b"""
+
+
+def recursive_elimination(spark, sf_dir):
+    """Of three columns of the line items, one at a time."""
+    found = selection.recursive_elimination(t.read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", keep=1, step=1)
+    return spark.createDataFrame(found, "feature string, rank int")
+
+
+ORACLE_SQL["recursive_elimination"] = """with r as (select corr(l_quantity, l_discount) as ab, corr(l_quantity, l_tax) as ac, corr(l_discount, l_tax) as bc, corr(l_quantity, l_extendedprice) as a, corr(l_discount, l_extendedprice) as b, corr(l_tax, l_extendedprice) as c from lineitem),
+w as (select unnest([{'f': 'l_quantity', 'w': abs(a * (1 - bc * bc) + b * (ac * bc - ab) + c * (ab * bc - ac))}, {'f': 'l_discount', 'w': abs(a * (ac * bc - ab) + b * (1 - ac * ac) + c * (ab * ac - bc))}, {'f': 'l_tax', 'w': abs(a * (ab * bc - ac) + b * (ab * ac - bc) + c * (1 - ab * ab))}]) as x from r),
+g as (select arg_min(x.f, x.w) as f from w),
+v as (select unnest(case f when 'l_quantity' then [{'f': 'l_discount', 'w': abs(b - c * bc)}, {'f': 'l_tax', 'w': abs(c - b * bc)}] when 'l_discount' then [{'f': 'l_quantity', 'w': abs(a - c * ac)}, {'f': 'l_tax', 'w': abs(c - a * ac)}]
+  else [{'f': 'l_quantity', 'w': abs(a - b * ab)}, {'f': 'l_discount', 'w': abs(b - a * ab)}] end) as x from r, g)
+select f as feature, 3 as rank from g union all select x.f, row_number() over (order by x.w desc)::int from v"""
+
+
+def row_balanced_folds(spark, sf_dir):
+    """Orders by customer, with the rows of each priority spread over four folds."""
+    return folds.row_balanced_group_folds(t.read(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
+
+
+def svr_metrics(spark, sf_dir):
+    """Out of fold, of the kernel machine over the line items."""
+    rows = t.scored(spark, sf_dir)
+    rows = folds.with_folds(rows, folds.group_folds(rows, "l_orderkey", 4), "l_orderkey").select("predicted", "fold", *_EDGES).withColumnRenamed("predicted", "actual")
+    return evaluate.report(models.out_of_fold(rows, list(_EDGES), "actual", "svr", 4, params={"dims": 64, "C": 10.0}))
+
+
+_LETTERS = "case when length({0}) <= 2 then 'DET' when length({0}) <= 4 then 'NOUN' when length({0}) <= 6 then 'VERB' when length({0}) <= 8 then 'ADJ' else 'ADV' end"
+
+
+def viterbi_tags(spark, sf_dir):
+    """Tags of the benchmark's texts, by a tagger of the conversations, in which a word after one of two letters is a noun."""
+    words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
+    said = t.read(spark, sf_dir, "conversations").select(words.alias("words"))
+    said = said.withColumn("tags", F.expr(f"transform(words, (w, i) -> case when i > 0 and length(get(words, i - 1)) <= 2 then 'NOUN' else {_LETTERS.format('w')} end)"))
+    model = tagging.train_tagger(said, "words", "tags")
+    texts = t.read(spark, sf_dir, "benchmark").select("item_id", words.alias("words"))
+    return tagging.viterbi(texts, ["item_id"], "words", model).select("item_id", F.array_join("tags", " ").alias("tags"))
+
+
+ORACLE_SQL["viterbi_tags"] = f"""with recursive cv as (select row_number() over () as id, list_filter(string_split(lower(text), ' '), lambda w: w <> '') as words from conversations where text is not null),
+ct as (select id, words, list_transform(words, lambda w, i: case when i > 1 and length(words[i - 1]) <= 2 then 'NOUN' else {_LETTERS.format('w')} end) as tags from cv),
+tk as (select unnest(words) as w, unnest(tags) as t from ct), tg as (select t, count(*) as n from tk group by t), nv as (select count(distinct w) as v from tk),
+wc as (select w, t, count(*) as c from tk group by w, t), once as (select t, count(*) as h from wc where w in (select w from wc group by w having sum(c) = 1) group by t),
+bg as (select unnest(['<s>'] || tags) as s, unnest(tags || ['</s>']) as t from ct), bc as (select s, t, count(*) as c from bg group by s, t), bs as (select s, sum(c) as total from bc group by s),
+tr as materialized (select s.s, t.t, ln((coalesce(c, 0) + 1.0::double) / (coalesce(total, 0) + (select count(*) from tg) + 1)) as lp from (select t as s from tg union all select '<s>') s cross join (select t from tg union all select '</s>') t left join bc on bc.s = s.s and bc.t = t.t left join bs on bs.s = s.s),
+dw as (select item_id, unnest(words) as w, generate_subscripts(words, 1) as pos from (select item_id, list_filter(string_split(lower(text), ' '), lambda w: w <> '') as words from benchmark)),
+e as materialized (select item_id, pos, tg.t, ln((case when dw.w in (select w from wc) then coalesce(c, 0) else coalesce(h, 0) end + 0.1::double) / (n + 0.1::double * (v + 1))) as lp from dw cross join tg cross join nv left join wc on wc.w = dw.w and wc.t = tg.t left join once on once.t = tg.t),
+vt(item_id, pos, t, score, path) as (
+  select item_id, pos, e.t, tr.lp + e.lp, [e.t] from e join tr on tr.s = '<s>' and tr.t = e.t where pos = 1
+  union all
+  select vt.item_id, vt.pos + 1, e.t, max(vt.score + tr.lp) + any_value(e.lp), list_append(arg_max(vt.path, vt.score + tr.lp), e.t) from vt join e on e.item_id = vt.item_id and e.pos = vt.pos + 1 join tr on tr.s = vt.t and tr.t = e.t group by vt.item_id, vt.pos, e.t),
+en as (select vt.item_id, vt.path, vt.score + tr.lp as score from vt join tr on tr.s = vt.t and tr.t = '</s>' where vt.pos = (select max(pos) from dw where dw.item_id = vt.item_id))
+select item_id, array_to_string(arg_max(path, score), ' ') as tags from en group by item_id"""
+
+QUERIES |= {f.__name__: f for f in (ebm_shapes, ordered_target_stats, neighbour_information, linear_attributions, tree_attributions, least_error_weights, recursive_elimination, row_balanced_folds, svr_metrics, viterbi_tags)}

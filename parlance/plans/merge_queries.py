@@ -113,7 +113,7 @@ ORACLE_SQL["first_per_stem"] = "select source, min(doc_id::varchar) as path from
 def prefix_match(spark, sf_dir):
     d = t.read(spark, sf_dir, "documents").select(F.col("source").alias("a"))
     b = t.read(spark, sf_dir, "documents").select(F.concat("source", F.lit("0")).alias("b")).union(t.read(spark, sf_dir, "documents").select("lang"))
-    return merge.prefix_matches(d, b, "a", "b", block=4)
+    return merge.prefix_matches(d, b, "a", "b")
 
 
 ORACLE_SQL["prefix_match"] = """with a as (select distinct source as a from documents), b as (select source || '0' as b from documents union select lang from documents)
