@@ -12,6 +12,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.shared import checkpointed
+
 #: The blend by hand.
 FIXED_WEIGHTS = (0.50, 0.25, 0.25)
 #: Rows among which a column is shuffled, about, where a table has more.
@@ -165,18 +167,21 @@ def permutation_importance(df: DataFrame, key: str, columns: list[str], y: str,
     """(feature, importance_mean, importance_std): how much the mean absolute error rises when a column is shuffled.
 
     ``predict`` adds ``prediction``; ``key`` names a row, and rows of one key stand by their values. In each repeat rows stand in the order of a seeded md5 of the
-    key, and values move by one place within the rows of the same leading hex digits, as many as leave at most some
-    BLOCK_ROWS of them: so no window holds all rows, and one pass of it serves all columns.
+    key, and values move by one place within blocks, which are the rows of the same leading hex digits of the first
+    repeat's, as many as leave at most some BLOCK_ROWS of them: so no window holds all rows, one pass of it serves all
+    columns, and only the first repeat shuffles.
     """
     from pyspark.sql import Window
 
     error = lambda of: F.avg(F.abs(F.col(of) - F.col(y)))
     base, n = predict(df).agg(error("prediction"), F.count("*")).first()
     digits = max(0, math.ceil(math.log(max(1, n) / BLOCK_ROWS, 16)))
+    block = F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, digits)
+    df = checkpointed(df.withColumn("_block", block).repartition("_block"))  # dealt once; each repeat sorts where the rows lie
     rises = []
     for r in range(repeats):
         h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed + r}")))
-        order = Window.partitionBy(F.substring(h, 1, digits)).orderBy(h, key, *columns)
+        order = Window.partitionBy("_block").orderBy(h, key, *columns)
         whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         rows = df.select("*", *[F.coalesce(F.lag(c).over(order), F.last(c).over(whole)).alias(f"_moved{i}") for i, c in enumerate(columns)])
         for i, c in enumerate(columns):

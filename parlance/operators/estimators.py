@@ -80,14 +80,15 @@ class KernelRegressor(_Fitting):
     epsilon = _param("epsilon", "errors up to so much do not count", TypeConverters.toFloat)
     gamma = _param("gamma", "one over the square of the kernel's width; 0: one over the number of features", TypeConverters.toFloat)
     dims = _param("dims", "random features", TypeConverters.toInt)
+    tol = _param("tol", "least fall of the objective in a round, as a share of it", TypeConverters.toFloat)
 
     def __init__(self, **values):
         super().__init__()
-        self._setDefault(C=1.0, epsilon=0.1, gamma=0.0, dims=256, seed=42)
+        self._setDefault(C=1.0, epsilon=0.1, gamma=0.0, dims=256, tol=1e-3, seed=42)
         self._set(**values)
 
     def _fit(self, df: DataFrame) -> KernelModel:
         of = self.getOrDefault
         rows = checkpointed(df.select(vector_to_array(F.col(self.getFeaturesCol())).alias("x"), F.col(self.getLabelCol()).alias("y")))
-        model = fit_kernel_machine(rows, F.col("x"), "y", of(self.C), of(self.epsilon), of(self.gamma) or None, of(self.dims), seed=self.getSeed())
+        model = fit_kernel_machine(rows, F.col("x"), "y", of(self.C), of(self.epsilon), of(self.gamma) or None, of(self.dims), tolerance=of(self.tol), seed=self.getSeed())
         return KernelModel()._of(self, model.text())

@@ -44,10 +44,13 @@ class CountModel:
 
 
 def train(sequences: DataFrame, tags: str, n: int = 3) -> CountModel:
-    """Count tables of ``sequences``, each counted once and stored. The vocabulary is the tags seen, start and end."""
+    """Count tables of ``sequences``: one pass gives the n-grams of all orders, counted together and stored. The vocabulary is the tags seen, start and end."""
     counts, totals, by_tag = {}, {}, {}
+    orders = F.explode(F.sequence(F.lit(1), F.lit(n)))
+    grams = ngrams(sequences, [], tags, n).select(orders.alias("k"), "context", "tag").select("k", F.slice("context", n - F.col("k") + 1, F.col("k") - 1).alias("context"), "tag")
+    every = checkpointed(grams.groupBy("k", "context", "tag").agg(F.count("*").alias("c")))
     for k in range(1, n + 1):
-        counts[k] = checkpointed(ngrams(sequences, [], tags, k).groupBy("context", "tag").agg(F.count("*").alias("c")))
+        counts[k] = every.filter(F.col("k") == k).drop("k")
         totals[k] = counts[k].groupBy("context").agg(F.sum("c").alias("total"), F.count("*").alias("types"))
         by_tag[k] = counts[k].groupBy("tag").agg(F.sum("c").alias("tag_c"))
     seen = counts[1].filter(F.col("tag") != END).count()

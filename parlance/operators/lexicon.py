@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.functions.stats import floored_ratio, minutes, summarise
+from parlance.shared import checkpointed
 
 #: Tags of content words and of function words.
 OPEN_TAGS = ("NOUN", "VERB", "ADJ", "ADV", "PROPN")
@@ -22,12 +23,15 @@ DEMONSTRATIVES = {
     "es": ("este", "esta", "estos", "estas", "ese", "esa", "esos", "esas", "aquel", "aquella", "aquellos", "aquellas"),
     "ca": ("aquest", "aquesta", "aquests", "aquestes", "aquell", "aquella", "aquells", "aquelles"),
 }
-#: A lexicon or a table of norms of so many rows is broadcast; Spark chooses for larger ones.
-BROADCAST_ROWS = 500_000
+#: A lexicon or a table of norms is broadcast up to so many bytes, with ROW_BYTES for each row; Spark chooses for larger ones.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 
 
 def _small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    """``table``, stored, to be broadcast if its strings and rows are small."""
+    table = checkpointed(table)
+    text = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in table.dtypes if kind == "string"), F.lit(ROW_BYTES))
+    return F.broadcast(table) if (table.agg(F.sum(text)).first()[0] or 0) <= BROADCAST_BYTES else table
 
 
 def tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators.estimators import AdditiveRegressor, KernelRegressor
 from parlance.operators.isotonic import isotonic_blocks, isotonic_values
+from parlance.shared import checkpointed
 
 #: name -> (estimator, {parameter: values}). ``svr`` is a kernel machine and ``ebm`` a boosted additive model with pairs, both
 #: fitted by aggregates; the boosters share one native estimator and so have other numbers than the originals.
@@ -116,14 +117,21 @@ def out_of_fold(df: DataFrame, columns: list[str], target: str, name: str, k: in
 
 def calibrate(df: DataFrame, y: str = "actual", p: str = "predicted", out: str = "calibrated", train: DataFrame | None = None) -> DataFrame:
     """``df`` with an isotonic fit of ``y`` on ``p``, kept within 0 and 100 and at its ends beyond them."""
-    blocks = isotonic_blocks(train if train is not None else df, y, p)
+    return calibrated(df, isotonic_blocks(train if train is not None else df, y, p), p, out)
+
+
+def calibrated(df: DataFrame, blocks: DataFrame, p: str = "predicted", out: str = "calibrated") -> DataFrame:
+    """``df`` with the value of its block of an isotonic fit, within 0 and 100; null where ``p`` is."""
     scored = isotonic_values(df, blocks, p, out)
     return scored.withColumn(out, F.when(F.col(out).isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col(out)))))
 
 
-def score_external(fitted: PipelineModel, df: DataFrame, language: str, languages: list[str]) -> dict[str, DataFrame]:
-    """Predictions of the final model for each external language."""
-    return {x: fitted.transform(df.filter(F.col(language) == x)) for x in languages}
+def score_external(fitted: PipelineModel, df: DataFrame, language: str, languages: list[str], blocks: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Predictions of the final model for each external language; with ``blocks`` of an isotonic fit, also ``calibrated``, within 0 and 100."""
+    if blocks is None:
+        return {x: fitted.transform(df.filter(F.col(language) == x)) for x in languages}
+    blocks = checkpointed(blocks)
+    return {x: calibrated(fitted.transform(df.filter(F.col(language) == x)), blocks, "prediction") for x in languages}
 
 
 def save(fitted: PipelineModel, path: str) -> None:

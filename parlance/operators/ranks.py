@@ -12,7 +12,7 @@ from parlance.shared import checkpointed
 #: Rows of a range, about: a table has as many ranges as that takes.
 RANGE_ROWS = 100_000
 #: So many values around a quantile are brought to the driver at most, but for ties.
-NEAR = 500
+NEAR = 1_500
 
 
 def in_ranges(df: DataFrame, order: list[Column], out: str = "_range", rows: int | None = None) -> DataFrame:

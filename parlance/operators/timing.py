@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.stats import minutes, safe_div, summarise
+from parlance.operators.merge import require_columns
 
 PAUSE_MIN, PAUSE_LONG, PAUSE_END = 0.150, 0.400, 3.0
 
@@ -48,12 +49,12 @@ def speaking_time(words: DataFrame, text_words: DataFrame, key: str = "patient_i
 
 
 def quiet_gaps(gap_rows: DataFrame, frames: DataFrame, key: str = "patient_id", threshold: float = -35.0, share: float = 0.8, width: float = 1.0) -> DataFrame:
-    """``gap_rows`` (key, gap_start, gap_end, ...) with ``quiet_share`` and ``silent``.
+    """``gap_rows`` (gap_id, key, gap_start, gap_end, ...) with ``quiet_share`` and ``silent``; ``gap_id`` names a gap.
 
     Frames (key, t, rms_db) with gap_start <= t < gap_end are found through buckets of ``width`` seconds, an equality
     join with the exact bounds after it. No frames within a gap: silent; no frames of the speaker at all: not silent.
     """
-    rows = gap_rows.withColumn("_id", F.monotonically_increasing_id()) if "gap_id" not in gap_rows.columns else gap_rows.withColumn("_id", F.col("gap_id"))
+    rows = require_columns(gap_rows, ["gap_id"]).withColumn("_id", F.col("gap_id"))
     spread = rows.select("_id", F.col(key).alias("_key"), "gap_start", "gap_end", F.explode(F.sequence(F.floor(F.col("gap_start") / width), F.floor(F.col("gap_end") / width))).alias("_bucket"))
     inside = spread.join(frames.select(F.col(key).alias("_key"), "t", "rms_db", F.floor(F.col("t") / width).alias("_bucket")), ["_key", "_bucket"]).filter("t >= gap_start and t < gap_end")
     quiet = inside.groupBy("_id").agg(F.avg((F.col("rms_db") < threshold).cast("double")).alias("quiet_share"))

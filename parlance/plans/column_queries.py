@@ -145,15 +145,16 @@ ORACLE_SQL["accepted_groups"] = "select 'pwa' as \"group\", 'broca' as group_ori
 
 
 def rendered_transcripts(spark, sf_dir):
-    """First turns of conversations as transcript files."""
-    rows = t.read(spark, sf_dir, "conversations").filter("turn = 0")
+    """Whole conversations as transcript files, their turns joined by blanks."""
+    said = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    rows = t.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(said, lambda x: x["text"]), " ").alias("text"))
     rows = rows.select(F.concat(F.lit("CV_"), F.col("conv_id").cast("string")).alias("participant_id"), "text", F.when(F.col("conv_id") % 3 == 0, "es").when(F.col("conv_id") % 3 == 1, "ca").otherwise("en").alias("language"),
                        F.when(F.col("conv_id") % 2 == 0, "female_feminine").otherwise("male_masculine").alias("sex"), F.when(F.col("conv_id") % 2 == 0, "fourties").otherwise("teens").alias("age"))
     return tr.render(rows, "participant_id", "text", "language", "sex", "age")
 
 
-ORACLE_SQL["rendered_transcripts"] = """with r as (select 'CV_' || conv_id as participant_id, coalesce(text, '') as text, case conv_id % 3 when 0 then 'spa' when 1 then 'cat' else 'eng' end as code,
-case when conv_id % 2 = 0 then '45|female' else '18|male' end as who from conversations where turn = 0)
+ORACLE_SQL["rendered_transcripts"] = """with r as (select 'CV_' || conv_id as participant_id, text, case conv_id % 3 when 0 then 'spa' when 1 then 'cat' else 'eng' end as code,
+case when conv_id % 2 = 0 then '45|female' else '18|male' end as who from (select conv_id, string_agg(coalesce(text, ''), ' ' order by turn, coalesce(text, '')) as text from conversations group by conv_id))
 select participant_id, '@UTF8' || chr(10) || '@Begin' || chr(10) || '@Languages:' || chr(9) || code || chr(10) || '@Participants:' || chr(9) || 'PAR Participant' || chr(10) || '@ID:' || chr(9) || code || '|clips|PAR|' || who || '|control||Participant||' || chr(10)
 || '@Media:' || chr(9) || participant_id || ', audio' || chr(10) || '*PAR:' || chr(9) || text || chr(10) || '@End' || chr(10) as value from r"""
 

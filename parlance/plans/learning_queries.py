@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
-from parlance.operators import additive, attribution, encoding, ensemble, evaluate, folds, models, neighbors, selection, tagging
+from parlance.operators import additive, attribution, encoding, ensemble, evaluate, folds, isotonic, models, neighbors, selection, tagging
 from parlance.plans import tables as t
 from parlance.plans.evaluation_queries import MODELS, _models
 
@@ -179,11 +181,33 @@ def row_balanced_folds(spark, sf_dir):
 
 
 def svr_metrics(spark, sf_dir):
-    """Out of fold, of the kernel machine over the line items."""
+    """Of a kernel machine of the line items' scores, trained on three folds of the orders, for those of the fourth."""
     rows = t.scored(spark, sf_dir)
-    rows = folds.with_folds(rows, folds.group_folds(rows, "l_orderkey", 4), "l_orderkey").select("predicted", "fold", *_EDGES).withColumnRenamed("predicted", "actual")
-    return evaluate.report(models.out_of_fold(rows, list(_EDGES), "actual", "svr", 4, params={"dims": 64, "C": 10.0}))
-
+    rows = folds.with_folds(rows, folds.group_folds(rows, "l_orderkey", 4), "l_orderkey").withColumn("actual", F.col("predicted")).select("actual", "fold", *_EDGES)
+    fitted = models.pipeline(list(_EDGES), models.estimator("svr")[0].setParams(dims=64, C=10.0), "actual").fit(rows.filter("fold <> 0"))
+    return evaluate.report(fitted.transform(rows.filter("fold = 0")).select("actual", F.col("prediction").alias("predicted")))
+
+
+def external_scores(spark, sf_dir):
+    """A rule for English documents, by their length, scored raw and calibrated in the other languages."""
+    rows = t.read(spark, sf_dir, "documents").join(t.read(spark, sf_dir, "labels"), "doc_id", "left")
+    rows = rows.select("doc_id", "lang", "n_chars", (F.col("quality") * 100.0).alias("actual"))
+    rule = PipelineModel([SQLTransformer(statement="select *, least(12.0d, greatest(6.0d, floor(log2(n_chars + 1)) + 0.0d)) * 8 as prediction from __THIS__")])
+    blocks = isotonic.isotonic_blocks(rule.transform(rows.filter("lang = 'en'")), "actual", "prediction")
+    languages = [r["lang"] for r in rows.select("lang").distinct().filter("lang <> 'en'").orderBy("lang").collect()]
+    out = None
+    for found in models.score_external(rule, rows, "lang", languages, blocks).values():
+        out = found if out is None else out.unionByName(found)
+    return out.select("doc_id", "lang", "prediction", "calibrated")
+
+
+ORACLE_SQL["external_scores"] = """with r as (select d.doc_id, lang, least(12.0::double, greatest(6.0::double, floor(log2(n_chars + 1)))) * 8 as prediction, quality * 100.0::double as actual from documents d left join labels using (doc_id)),
+xs as (select prediction as x, sum(actual) as s, count(*) as w from r where lang = 'en' and actual is not null group by 1),
+p as (select j.x as lo, k.x as hi, (select sum(s) / sum(w) from xs where x between j.x and k.x) as m from xs j join xs k on k.x >= j.x),
+n as (select xs.x, p.lo, min(p.m) as m from xs join p on p.lo <= xs.x and p.hi >= xs.x group by 1, 2), f as (select x, max(m) as v from n group by x),
+a as (select r.*, (select max(x) from f where x <= prediction) as xa, (select min(x) from f where x >= prediction) as xb from r where lang <> 'en'),
+b as (select a.*, (select v from f where x = xa) as va, (select v from f where x = xb) as vb from a)
+select doc_id, lang, prediction, case when xa is null then vb when xb is null or xa = xb then va else va + (vb - va) * (prediction - xa) / (xb - xa) end as calibrated from b"""
 
 _LETTERS = "case when length({0}) <= 2 then 'DET' when length({0}) <= 4 then 'NOUN' when length({0}) <= 6 then 'VERB' when length({0}) <= 8 then 'ADJ' else 'ADV' end"
 
@@ -213,4 +237,4 @@ vt(item_id, pos, t, score, path) as (
 en as (select vt.item_id, vt.path, vt.score + tr.lp as score from vt join tr on tr.s = vt.t and tr.t = '</s>' where vt.pos = (select max(pos) from dw where dw.item_id = vt.item_id))
 select item_id, array_to_string(arg_max(path, score), ' ') as tags from en group by item_id"""
 
-QUERIES |= {f.__name__: f for f in (ebm_shapes, ordered_target_stats, neighbour_information, linear_attributions, tree_attributions, least_error_weights, recursive_elimination, row_balanced_folds, svr_metrics, viterbi_tags)}
+QUERIES |= {f.__name__: f for f in (ebm_shapes, ordered_target_stats, neighbour_information, linear_attributions, tree_attributions, least_error_weights, recursive_elimination, row_balanced_folds, svr_metrics, external_scores, viterbi_tags)}

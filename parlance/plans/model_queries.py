@@ -177,7 +177,7 @@ def permutation_importance(spark, sf_dir):
 _MOVED = ", ".join(f"coalesce(lag({c}) over w, last_value({c}) over (w rows between unbounded preceding and unbounded following)) as m_{c}" for c in ("l_quantity", "l_discount"))
 ORACLE_SQL["permutation_importance"] = f"""with {t.SCORED}, ro as (select *, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber as id from sc),
 rr as (select ro.*, r, md5(id || ':' || (42 + r)) as h, dg from ro, (select greatest(0, ceil(ln(count(*) / 5000.0::double) / ln(16.0::double)))::int as dg from sc), (select unnest(range(10)) as r)),
-mv as (select r, l_quantity, l_discount, predicted, {_MOVED} from rr window w as (partition by r, substr(h, 1, dg) order by h, id, l_quantity, l_discount, l_tax)),
+mv as (select r, l_quantity, l_discount, predicted, {_MOVED} from rr window w as (partition by r, substr(md5(id || ':42'), 1, dg) order by h, id, l_quantity, l_discount, l_tax)),
 er as (select r, avg(abs(m_l_quantity * 2 + (l_discount - 0.05::double) * 200 - predicted)) as q, avg(abs(l_quantity * 2 + (m_l_discount - 0.05::double) * 200 - predicted)) as d, avg(abs(l_quantity * 2 + (l_discount - 0.05::double) * 200 - predicted)) as b from mv group by r)
 select 'l_quantity' as feature, avg(q - b) as importance_mean, stddev_pop(q - b) as importance_std from er union all select 'l_discount', avg(d - b), stddev_pop(d - b) from er union all select 'l_tax', 0.0::double, 0.0::double"""
 
