@@ -26,8 +26,8 @@ from parlance.llm.text import buffers
 from parlance.llm.tokenizing import SLICE_BYTES, Pieces, held, load
 
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 20_000
-#: The dictionary is trained on so many documents at most, of so many bytes each at most.
-SAMPLE_DOCS, SAMPLE_TEXT_BYTES = 512, 32 << 10
+#: The dictionary is trained on so many documents at most, and of each on one stretch of so many bytes of ids at most.
+SAMPLE_DOCS, SAMPLE_BYTES = 512, 32 << 10
 DICT_BYTES = 64 << 10
 
 _BLOCKS = "part int, block int, ahead long, low long, high long, dict_hash string, width int, ids array<long>, counts array<long>, offsets array<long>, payload binary"
@@ -73,6 +73,25 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
+def _stretch(data: bytes, width: int, seed: int) -> bytes:
+    """``data`` whole, or SAMPLE_BYTES of it from a seeded place, at an id."""
+    room = len(data) - SAMPLE_BYTES
+    at = int(np.random.default_rng(seed).integers(room // width + 1)) * width if room > 0 else 0
+    return data[at : at + SAMPLE_BYTES]
+
+
+def _sampled(path: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = held(("ids", path, end_id), lambda: Encoder(path, end_id))
+        for batch in batches:
+            for at, raw, off in buffers(batch.column(1), SLICE_BYTES):
+                seeds = batch.column(0).slice(at, len(off) - 1).to_pylist()
+                found = [_stretch(data, encoder.width, seed & (2**63 - 1)) for seed, data in zip(seeds, encoder.encode_slice(raw, off), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
+
+    return run
+
+
 def _encode(path: str, end_id: int, dictionary: bytes, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held(("ids", path, end_id), lambda: Encoder(path, end_id))
@@ -110,17 +129,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     """Encodes every text of ``docs``, appends ``end_id``, and writes the container; returns its path.
 
     Documents go in ascending order of id, null first; rows that repeat an id in the order of a text hash. Null text:
-    as empty, the end id alone. Empty table: a container without blocks. The dictionary is trained on a bounded sample
-    (SAMPLE_DOCS documents of the least hash among those of SAMPLE_TEXT_BYTES at most); every document is written.
+    as empty, the end id alone. Empty table: a container without blocks. The dictionary is trained on a bounded sample:
+    SAMPLE_DOCS documents of the least hash, of any length, each encoded whole, and of long ones SAMPLE_BYTES of ids from a
+    seeded place. Every document is written.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     h = F.xxhash64("id")
     last = texts.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # hashes first, so that no task sends texts that are not drawn
-    small = texts.filter((h <= F.lit(last)) & (F.length("text") <= SAMPLE_TEXT_BYTES)).limit(SAMPLE_DOCS)
-    sample = sorted(bytes(x.text).decode("utf-8", "replace") for x in small.select("text").collect())
-    dictionary = train_dictionary(Encoder(tokenizer_path, end_id).encode(sample)) if sample else b""
+    drawn = texts.filter(h <= F.lit(last)).select(h.alias("h"), "text").limit(SAMPLE_DOCS)
+    sample = sorted(bytes(x.ids) for x in drawn.mapInArrow(_sampled(tokenizer_path, end_id), "ids binary").collect())
+    dictionary = train_dictionary(sample) if sample else b""
     mark = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(mark, bytearray(dictionary))], "dict_hash string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
     order = [F.col("id"), F.xxhash64("text")]  # both, as one id, or null, may be of very many rows

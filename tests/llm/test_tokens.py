@@ -6,8 +6,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 
 from parlance.llm import token_counts as tc
+from parlance.llm import token_files
 from parlance.llm import tokenizing as tk
 from parlance.llm.queries import op5_token_files, op8_token_counts
 from parlance.llm.text import buffers
@@ -102,3 +104,32 @@ def test_counts(spark, sf):
     for r in rows:
         if r["doc_id"] is not None:
             assert r["n_tokens"] == len(tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids)
+
+
+def test_long_documents_have_a_dictionary(spark, sf):
+    """Of texts that are all longer than a stretch, the dictionary is not empty, and frames are smaller with it."""
+    rng = random.Random(3)
+    words = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"]]
+    texts = []
+    while len(texts) < 40:
+        text = ""
+        while len(text) < 150_000:
+            text += rng.choice(words) + "\n"
+        texts.append(text)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    path = write_token_files(df, BYTES)
+    dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["data"])
+    assert len(dictionary) > 10_000
+    parts = [np.frombuffer(x, "<u2") for x in Encoder(BYTES, 0).encode([t[:2000] for t in texts])]
+    plain, helped = zstandard.ZstdCompressor(level=3), zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary))
+    size = lambda packer: sum(len(packer.compress(p.tobytes())) for p in parts)
+    assert size(helped) < 0.9 * size(plain)
+    assert [len(r["token_ids"]) for r in read_documents(spark, path, 3, 4).orderBy("doc_id").collect()] == [len(x) // 2 for x in Encoder(BYTES, 0).encode(texts[3:5])]
+
+
+@pytest.mark.parametrize("n", [0, 3, 20_000, 100_000])
+def test_stretches_begin_at_ids(n):
+    data = np.arange(n, dtype="<u4").tobytes()
+    for seed in range(20):
+        got = np.frombuffer(token_files._stretch(data, 4, seed), "<u4")
+        assert len(got) == min(n, token_files.SAMPLE_BYTES // 4) and (np.diff(got.astype(int)) == 1).all()
