@@ -119,19 +119,22 @@ def _all_escaped(source: Column, loss_role: str) -> tuple[Column, Column]:
 def chat_digests(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Counts and digests of conversations as read back from ``formatted``; those of the loss by its spans.
 
-    If the spans did not hold the texts of ``loss_role``, the query would fail: the mask is wrong then, and so may be
-    that of others. A conversation that does not read back has no turns to count. Empty table: no rows.
+    If the spans of a conversation that reads back did not hold the texts of ``loss_role``, the query would fail: the mask
+    is wrong then, and so may be that of others. A conversation that does not read back has null counts and digests, but
+    for ``formatted_chars``. Null ids and null roles are values; of a repeated id, all rows are one conversation, as
+    format_chat has it. Empty table: no rows.
     """
     said = F.array_join(F.transform("parsed", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     turns = F.transform(F.filter("parsed", lambda x: x["role"] == loss_role), lambda x: x["text"])
     masked = F.transform("loss_spans", lambda x: unescape_text(F.substr("formatted", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))))
     wrong = F.raise_error(F.lit("a loss span is not a turn to learn")).cast("array<string>")
-    checked = F.when(F.coalesce(masked == turns, F.lit(False)), masked).otherwise(wrong)
+    good = F.coalesce(F.col("reads_back"), F.lit(False))
+    checked = F.when(good, F.when(F.coalesce(masked == turns, F.lit(False)), masked).otherwise(wrong))
     learnt = F.array_join("masked", "")
     return formatted.withColumn("masked", checked).select(
         "conv_id",
-        F.size("parsed").cast("long").alias("n_turns"),
-        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.when(good, F.size("parsed").cast("long")).alias("n_turns"),
+        F.when(good, F.sha2(said.cast("binary"), 256)).alias("turns_sha256"),
         F.length(learnt).cast("long").alias("loss_chars"),
         F.sha2(learnt.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),

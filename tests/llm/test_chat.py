@@ -66,3 +66,12 @@ def test_parser_refuses_what_is_not_grammar(spark):
     bad = ["x", "<|im_start|>user\nhi", "<|im_start|>user hi<|im_end|>\n", "<|im_start|>user\na<|im_start|>b<|im_end|>\n", "<|im_start|>user\nhi<|im_end|>\n "]
     df = spark.createDataFrame([(x,) for x in bad], "s string")
     assert df.filter(chat.parse_turns(F.col("s")).isNotNull()).count() == 0
+
+
+def test_digests_of_what_does_not_read_back_are_null(spark):
+    rows = [(1, 0, "assistant", "ok"), (2, 0, "assistant", "漢字")]
+    good = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    bad = good.withColumns({"parsed": F.when(F.col("conv_id") == 2, F.col("parsed")), "reads_back": F.col("conv_id") == 2})
+    got = {r["conv_id"]: r for r in chat.chat_digests(bad).collect()}
+    assert got[2] == next(r for r in chat.chat_digests(good).collect() if r["conv_id"] == 2)
+    assert got[1].asDict() == {"conv_id": 1, "n_turns": None, "turns_sha256": None, "loss_chars": None, "loss_sha256": None, "formatted_chars": len("<|im_start|>assistant\nok<|im_end|>\n")}
