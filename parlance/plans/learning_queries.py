@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
-from parlance.operators import additive, attribution, encoding, ensemble, evaluate, folds, isotonic, models, neighbors, selection, tagging
+from parlance.operators import additive, attribution, encoding, ensemble, evaluate, folds, history, isotonic, models, neighbors, selection, tagging
 from parlance.plans import tables as t
 from parlance.plans.evaluation_queries import MODELS, _models
 
@@ -209,6 +209,18 @@ a as (select r.*, (select max(x) from f where x <= prediction) as xa, (select mi
 b as (select a.*, (select v from f where x = xa) as va, (select v from f where x = xb) as vb from a)
 select doc_id, lang, prediction, case when xa is null then vb when xb is null or xa = xb then va else va + (vb - va) * (prediction - xa) / (xb - xa) end as calibrated from b"""
 
+_SHARES = (0.2, 0.5, 0.8)
+
+
+def config_sweep(spark, sf_dir):
+    """Errors of three settings of a blend, the best first."""
+    rows = _models(t.scored(spark, sf_dir))
+    run = lambda s: rows.agg(F.avg(F.abs(F.col("m1") * s["share"] + F.col("m2") * (1 - s["share"]) - F.col("actual"))).alias("mae"))
+    return history.sweep([{"share": x} for x in _SHARES], run, "mae")
+
+
+ORACLE_SQL["config_sweep"] = f"with {MODELS} " + " union all ".join(f"select avg(abs(m1 * {x}::double + m2 * {1 - x}::double - actual)) as mae, {i} as setting from md" for i, x in enumerate(_SHARES))
+
 _LETTERS = "case when length({0}) <= 2 then 'DET' when length({0}) <= 4 then 'NOUN' when length({0}) <= 6 then 'VERB' when length({0}) <= 8 then 'ADJ' else 'ADV' end"
 
 
@@ -237,4 +249,4 @@ vt(item_id, pos, t, score, path) as (
 en as (select vt.item_id, vt.path, vt.score + tr.lp as score from vt join tr on tr.s = vt.t and tr.t = '</s>' where vt.pos = (select max(pos) from dw where dw.item_id = vt.item_id))
 select item_id, array_to_string(arg_max(path, score), ' ') as tags from en group by item_id"""
 
-QUERIES |= {f.__name__: f for f in (ebm_shapes, ordered_target_stats, neighbour_information, linear_attributions, tree_attributions, least_error_weights, recursive_elimination, row_balanced_folds, svr_metrics, external_scores, viterbi_tags)}
+QUERIES |= {f.__name__: f for f in (ebm_shapes, ordered_target_stats, neighbour_information, linear_attributions, tree_attributions, least_error_weights, recursive_elimination, row_balanced_folds, svr_metrics, external_scores, config_sweep, viterbi_tags)}

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("timing_queries", "evaluation_queries", "text_queries", "merge_queries", "language_queries", "model_queries", "learning_queries", "column_queries")
+PLANS = ("timing_queries", "evaluation_queries", "text_queries", "merge_queries", "language_queries", "model_queries", "learning_queries", "source_queries", "column_queries")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _plan in PLANS:
