@@ -175,6 +175,22 @@ v as (select unnest(case f when 'l_quantity' then [{'f': 'l_discount', 'w': abs(
 select f as feature, 3 as rank from g union all select x.f, row_number() over (order by x.w desc)::int from v"""
 
 
+def forward_steps(spark, sf_dir):
+    """Forward search over two columns of the line items, folds by a hash of the order."""
+    fold = F.conv(F.substring(F.md5(F.col("l_orderkey").cast("string")), 1, 1), 16, 10).cast("int") % 4
+    rows = t.scored(spark, sf_dir).select("l_quantity", (F.col("l_discount") * 100).alias("discount_pct"), "predicted", fold.alias("fold"))
+    chosen = selection.forward_selection(rows, ["l_quantity", "discount_pct"], "predicted")
+    return spark.createDataFrame([(i, c, e) for i, (c, e) in enumerate(chosen)], "step int, feature string, mae double")
+
+
+ORACLE_SQL["forward_steps"] = f"""with {t.SCORED}, r as (select l_quantity as a, l_discount * 100 as b, predicted as y, ('0x' || substr(md5(l_orderkey::varchar), 1, 1))::int % 4 as fold from sc),
+m as (select f.fold as f, avg(a) as ma, avg(b) as mb, avg(y) as my, var_pop(a) as aa, var_pop(b) as bb, covar_pop(a, b) as ab, covar_pop(a, y) as ay, covar_pop(b, y) as bry from r, (select unnest([0, 1, 2, 3]) as fold) f where r.fold <> f.fold group by f.fold),
+e as (select avg(abs(my + ay / aa * (a - ma) - y)) as ea, avg(abs(my + bry / bb * (b - mb) - y)) as eb,
+  avg(abs(my + (ay * bb - bry * ab) / (aa * bb - ab * ab) * (a - ma) + (bry * aa - ay * ab) / (aa * bb - ab * ab) * (b - mb) - y)) as eab from r join m on m.f = r.fold)
+select 0 as step, case when ea <= eb then 'l_quantity' else 'discount_pct' end as feature, least(ea, eb) as mae from e
+union all select 1, case when ea <= eb then 'discount_pct' else 'l_quantity' end, eab from e where eab < least(ea, eb)"""
+
+
 def row_balanced_folds(spark, sf_dir):
     """Orders by customer, with the rows of each priority spread over four folds."""
     return folds.row_balanced_group_folds(t.read(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
@@ -249,4 +265,4 @@ vt(item_id, pos, t, score, path) as (
 en as (select vt.item_id, vt.path, vt.score + tr.lp as score from vt join tr on tr.s = vt.t and tr.t = '</s>' where vt.pos = (select max(pos) from dw where dw.item_id = vt.item_id))
 select item_id, array_to_string(arg_max(path, score), ' ') as tags from en group by item_id"""
 
-QUERIES |= {f.__name__: f for f in (ebm_shapes, ordered_target_stats, neighbour_information, linear_attributions, tree_attributions, least_error_weights, recursive_elimination, row_balanced_folds, svr_metrics, external_scores, config_sweep, viterbi_tags)}
+QUERIES |= {f.__name__: f for f in (ebm_shapes, ordered_target_stats, neighbour_information, linear_attributions, tree_attributions, least_error_weights, recursive_elimination, forward_steps, row_balanced_folds, svr_metrics, external_scores, config_sweep, viterbi_tags)}
