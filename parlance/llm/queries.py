@@ -43,7 +43,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MIXING_SQL = r"""
 with base as (
   select doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-         md5('11:' || coalesce(cast(doc_id as varchar), '')) as key from documents),
+         md5('11:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(md5(text), '')) as key from documents),
 sizes as (select source, sum(size)::bigint as source_size from base group by source),
 ranked as (
   select *, (source_size * 2)::double as most,

@@ -2,7 +2,8 @@ from collections import defaultdict
 
 import pytest
 
-from parlance.llm.mixing import mix_sources, mixing_plan
+from parlance.llm import mixing
+from parlance.llm.mixing import RANGE, mix_sources, mixing_plan
 from parlance.llm.queries import ORACLE_SQL, op4_source_mixing
 from tests import oracle
 from tests.llm import brute
@@ -45,6 +46,35 @@ def test_targets_and_takes(spark, sf, share):
     assert all(abs(taken[s] - want[s]) <= longest[s] / 2 + 1e-6 for s in sizes)
 
 
+@pytest.fixture
+def crowded(spark, tmp_path):
+    """Two thirds of the rows are equal in id and text, some without an id; a hot id has many texts."""
+    words = lambda i: " ".join(["w"] * (i % 7 + 1) + [str(i)])
+    rows = [(7, "the same text", "a")] * 900 + [(None, None, "b")] * 500 + [(None, "no id", None)] * 400
+    rows += [(9, words(i), "a") for i in range(300)] + [(i, words(i), "abc"[i % 3]) for i in range(20, 600)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("range_rows", [20, 5_000])
+def test_rows_of_one_id_equal_sql(spark, crowded, monkeypatch, range_rows):
+    import duckdb
+
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{crowded}/documents.parquet/*.parquet'")
+    oracle.same(op4_source_mixing(spark, crowded), con, ORACLE_SQL["op4_source_mixing"])
+
+
+def test_no_range_holds_a_hot_key_whole(spark, crowded, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    docs = spark.read.parquet(f"{crowded}/documents.parquet")
+    placed = mixing._planned(docs, [], 1.5, (5, 2, 1), 2, 11, None, "doc_id", "source", "text")
+    sizes = [r["count"] for r in placed.groupBy("src", *RANGE).count().collect()]
+    assert sum(sizes) == docs.count() and max(sizes) < 4 * 20 + 20
+    assert mix_sources(docs).count() == placed.agg({"copies": "sum"}).first()[0]
+
+
 def test_awkward(spark):
     df = brute.awkward(spark)
     plan = mixing_plan(df)
