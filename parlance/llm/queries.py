@@ -20,7 +20,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("doc.text", F.lit(""))
-    return sharding.write_shards(_table(spark, sf_dir, "documents"), shards=8, row_key=sharding.file_position()).select(
+    return sharding.write_shards(_table(spark, sf_dir, "documents"), shards=8, row_key=sharding.file_position("documents.parquet")).select(
         F.col("doc.doc_id").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
@@ -129,7 +129,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.page_digests(spark, warc.write_archives(_table(spark, sf_dir, "pages"), row_key=sharding.file_position()))
+    return warc.page_digests(spark, warc.write_archives(_table(spark, sf_dir, "pages"), row_key=sharding.file_position("pages.parquet")))
 
 
 _WARC_SQL = """

@@ -8,6 +8,7 @@ hash takes in where a row is stored, so that equal rows part like any others.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +23,22 @@ from parlance.llm.storage import new_path, written
 BROADCAST_BUCKETS = 100_000
 #: Tasks of the second pass, at most; of more buckets a task has several, one after the other in its memory.
 MAX_TASKS = 100_000
+#: In a path: of a part file what follows its number, the random ending of a stored table, the application.
+_MARKS = r"(?<=/part-\d{5,10})-[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|(?<=-)[0-9a-f]{32}(?=/)|(?<=/)(?:local-\d+|app-\d+-\d+|application_\d+_\d+)(?=/)"
 
 
-def file_position() -> Column:
-    """Where a row is stored, for a DataFrame that reads files: no two rows have the same. Task and run marks of part files are left out."""
-    name = F.regexp_replace("_metadata.file_name", r"^(part-\d+)-[0-9a-f]{8}-[0-9a-f-]{27}", "$1")
-    return F.xxhash64(name, "_metadata.row_index")
+def file_position(root: str | None = None) -> Column:
+    """Where a row is stored, for a DataFrame that reads files: its file's path and its place there.
+
+    Of the path counts what is below the first folder named ``root`` (or the file of that name), so a table that is
+    moved keeps its positions; without ``root``, all of it. Marks of a task, run or application are left out: two rows
+    have one position only where tables are read together whose paths differ in such marks alone.
+    """
+    path = F.col("_metadata.file_path")
+    if root is not None:
+        path = F.regexp_replace(path, f"^.*?/{re.escape(root)}(?=/|$)", "")
+    path = F.regexp_replace(path, _MARKS, "")
+    return F.xxhash64(path, "_metadata.row_index")
 
 
 def _shuffled(seed: int, total: int, shards: int):
@@ -78,11 +89,12 @@ def write_shards(docs: DataFrame, shards: int = 8, seed: int = 5, bucket_bytes:
     if row_key is None:
         docs, row_key = written(docs, "rows"), file_position()
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 64
-    rows, total_bytes = docs.select(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    buckets = max(1, math.ceil(total_bytes / bucket_bytes))
     h = F.xxhash64(F.col(id_col), F.col(text_col), row_key, F.lit(seed))
+    keys = written(docs.select(h.alias("h"), size.alias("size")), "keys")  # texts are read here and by the scatter
+    rows, total_bytes = keys.select(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    buckets = max(1, math.ceil(total_bytes / bucket_bytes))
     where = F.pmod(h, F.lit(buckets)).cast("int")
-    counts = docs.select(where.alias("bucket")).groupBy("bucket").count()
+    counts = keys.select(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")).groupBy("bucket").count()
     ahead = F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("bucket", F.coalesce(ahead, F.lit(0)).alias("ahead"))
     if buckets <= BROADCAST_BUCKETS:

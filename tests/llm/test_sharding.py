@@ -1,3 +1,4 @@
+import shutil
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -60,6 +61,21 @@ def test_equal_rows_part(spark, tmp_path, keyed):
     assert sorted(same)[len(same) // 2] > 50
 
 
+def test_positions_in_folders_differ(spark, tmp_path):
+    """Partitions and folders that hold files of one name; a moved table keeps its positions below its root."""
+    docs = spark.range(100).selectExpr("1 as doc_id", "'same' as text", "id % 2 as half")
+    docs.coalesce(1).write.partitionBy("half").parquet(f"{tmp_path}/a/table")
+    docs.filter("half = 0").drop("half").coalesce(1).write.parquet(f"{tmp_path}/b/plain-{'0' * 32}/x")
+    for folder in ("c", "d"):
+        shutil.copytree(f"{tmp_path}/a/table", f"{tmp_path}/{folder}/table")
+    shutil.copytree(f"{tmp_path}/b/plain-{'0' * 32}/x", f"{tmp_path}/b/plain-{'1' * 32}/x")
+    at = lambda key, *paths: {r[0] for r in spark.read.parquet(*(f"{tmp_path}/{p}" for p in paths)).select(key).collect()}
+    assert len(at(file_position(), "a/table")) == len(at(file_position("table"), "a/table")) == 100
+    assert len(at(file_position(), "c/table/half=0", "d/table/half=0")) == 100
+    assert at(file_position("table"), "c/table") == at(file_position("table"), "d/table") == at(file_position("table"), "a/table")
+    assert at(file_position(), f"b/plain-{'0' * 32}/x") == at(file_position(), f"b/plain-{'1' * 32}/x")  # runs
+
+
 def test_several_buckets_a_task(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     order = lambda: [tuple(r) for r in write_shards(docs, 3, bucket_bytes=20_000, row_key=file_position()).selectExpr("shard", "slot", "doc.doc_id").orderBy("shard", "slot").collect()]
