@@ -208,12 +208,22 @@ def _scored(rows: DataFrame, model: QualityModel, text: Callable[[pa.RecordBatch
     return rows.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, sample_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", whole: bool = False) -> tuple[QualityModel, DataFrame] | None:
+def _last_hash(drawn: DataFrame, features: int) -> int:
+    """The hash in ``drawn`` (h, index) at which rows in its order reach so many features; the last one if they don't."""
+    rows = drawn.select("h", F.size("index").cast("long").alias("n")).toArrow().sort_by("h")  # of a sample's rows, 16 bytes each
+    if not len(rows):
+        return 0
+    enough = np.searchsorted(np.cumsum(np.asarray(rows["n"])), features)
+    return rows["h"][int(min(enough, len(rows) - 1))].as_py()
+
+
+def fit(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, sample_rows: int = 4_000, sample_features: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", whole: bool = False) -> tuple[QualityModel, DataFrame] | None:
     """(the model of ``docs``, scores of all of them, written); see quality_scores.
 
     The labellers' model is of all documents. The scorer is trained on a sample with its posteriors: different
-    documents whose hash is under that bound which about ``sample_rows`` of all rows are under; of any length, by at
-    most some 300,000 features each. The cut is of all labelled rows, 0.5 without labels. The scores have the id, or
+    documents whose hash is under that bound which about ``sample_rows`` of all rows are under; of any length, up to
+    that in order of hash with which they have ``sample_features`` features, so what the driver fits has a bound
+    (8 bytes for each, and some 300,000 for the last document). The cut is of all labelled rows, 0.5 without labels. The scores have the id, or
     with ``whole`` a struct ``doc`` of all columns of the row. Texts are scored once and never shuffled. Empty table:
     nothing.
     """
@@ -228,7 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, sample_r
     bound = -(2**63) + int(2**64 * min(1.0, sample_rows / times.sum()))
     drawn = texts.select(h.alias("h"), "text").filter(F.col("h") < F.lit(min(bound, 2**63 - 1)))
     drawn = drawn.mapInArrow(_hashed, f"h long, index array<int>, value array<float>, {_COUNTED}")
-    rows = drawn.select("h", "index", "value", (1 - posterior(theta, share)).alias("target")).dropDuplicates(["h"]).toArrow().sort_by("h")
+    drawn = written(drawn.select("h", "index", "value", (1 - posterior(theta, share)).alias("target")).dropDuplicates(["h"]), "drawn")
+    rows = drawn.filter(F.col("h") <= _last_hash(drawn, sample_features)).toArrow().sort_by("h")
     weights, bias = np.zeros(_WIDTH), 0.0
     if len(rows):
         weights, bias = train_linear(np.asarray(rows["target"]), [np.asarray(x.values) for x in rows["index"]], [np.asarray(x.values) for x in rows["value"]])
@@ -248,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, sample_r
     return model, scored
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, sample_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, sample_rows: int = 4_000, sample_features: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, weak_good, score, kept) of each row of ``docs``.
 
     ``weak_good``: the weak-label model's probability of good; ``score``: the scorer's of bad, which is trained on
@@ -256,17 +267,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None, keep: float = 0.99
     (see calibrated_cut). Null or empty text: scored by what it lacks. Null id: scored, never labelled. Each row
     counts, whatever its id. Other columns are ignored. Empty table: no rows.
     """
-    found = fit(docs, labels, keep, sample_rows, id_col, text_col, label_col)
+    found = fit(docs, labels, keep, sample_rows, sample_features, id_col, text_col, label_col)
     if found is None:
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0.5).alias("weak_good"), F.lit(0.5).alias("score"), F.lit(True).alias("kept"))
     model, scored = found
     return scored.select("doc_id", posterior(model.theta, model.share).alias("weak_good"), "score", (F.col("score") <= model.cut).alias("kept"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, sample_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def drop_low_quality(docs: DataFrame, labels: DataFrame | None, keep: float = 0.998, sample_rows: int = 4_000, sample_features: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """``docs`` without the rows that the model fitted on them rejects; all columns stay, whatever their names.
 
     Rows are written once with their scores, and read again up to the cut. See quality_scores.
     """
-    found = fit(docs, labels, keep, sample_rows, id_col, text_col, label_col, whole=True)
+    found = fit(docs, labels, keep, sample_rows, sample_features, id_col, text_col, label_col, whole=True)
     return docs if found is None else found[1].filter(F.col("score") <= found[0].cut).select("doc.*")

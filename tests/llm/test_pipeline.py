@@ -15,6 +15,7 @@ def test_stages(spark, sf):
     kept = {r["doc_id"] for r in first.collect()}
     assert first.columns == columns and kept < {r["doc_id"] for r in docs.collect()}
     assert sum(i in kept for i, q in quality.items() if q == 1) >= 0.95 * sum(q == 1 for q in quality.values())
+    assert sum(i not in kept for i, q in quality.items() if q == 0) >= 0.9 * sum(q == 0 for q in quality.values())
 
     second = written(cp.near_dedup(spark, first, sf), "t")
     roots = brute.components({r["doc_id"]: r["text"] for r in first.collect()}, 80)
