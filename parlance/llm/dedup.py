@@ -7,8 +7,10 @@
 3. Band buckets with the same members fold to one. What is left is dealt into blocks of bounded weight, each with the
    bucket's first set; in a block links are verified on the full sets and a spanning forest is given out.
 4. Alternating large-star and small-star joins the links.
-5. In buckets of several blocks, only sets that are not yet joined to the bucket's largest component are compared
-   with those of other blocks. A bucket of near copies costs as many sets as it has; none is cut.
+5. In buckets of several blocks, sets that are not yet joined to the bucket's largest component are compared with
+   those of other blocks. Two sets that link share a shingle among the rarest of either, (1 - threshold) of its size
+   and one, so such shingles are the buckets of this step: pages of one template, which share frequent shingles only,
+   do not meet again. A bucket of near copies costs as many sets as it has; none is cut.
 """
 
 from __future__ import annotations
@@ -97,6 +99,16 @@ def _sets(k: int):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, shingles) -> a row for each shingle."""
+    for batch in batches:
+        for sid, shingles in zip(batch.column(0), batch.column(1), strict=True):
+            one = np.frombuffer(shingles.as_buffer(), np.int64)
+            for at in range(0, len(one), 1 << 16):
+                part = one[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), sid.as_py(), np.int64)), pa.array(part)], names=["sid", "shingle"])
+
+
 def _forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, hundredths: int, within: bool) -> list[tuple[int, int]]:
     """Links of a block pair that a spanning forest needs. Sizes of intersections are exact: counted through postings.
 
@@ -188,6 +200,30 @@ def _within_blocks(members: DataFrame, seed: int) -> DataFrame:
     return members.select("band", F.explode(own).alias("lo"), "sid").select("band", "lo", F.col("lo").alias("hi"), F.lit(0).alias("side"), "sid")
 
 
+def _rare_buckets(large: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
+    """(band, sid, n_shingles, component) of buckets of common rare shingles, for the sets of ``large`` (same columns).
+
+    Only buckets of ``large`` count that several components share. Of each of their sets the rarest shingles among all
+    of them, ties by value, are taken: n - ceil(threshold * n) + 1 of n, so any two sets that link have one in common.
+    Buckets with the same sets fold to one.
+    """
+    mixed = large.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+    own = checkpointed(large.join(mixed.select("band"), "band", "left_semi").select("sid", "n_shingles", "component").distinct())
+    each = sets.join(own.select("sid"), "sid", "left_semi").mapInArrow(_exploded, "sid long, shingle long")
+    each = written(each, "shingles")
+    common = each.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")  # those of one set are its rarest
+    ranked = each.join(common, "shingle").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("common"))
+    taken = F.col("n_shingles") - F.ceil(F.col("n_shingles") * hundredths / 100) + 1
+    taken = F.greatest(F.lit(0), taken - (F.col("n_shingles") - F.size("common"))).cast("int")
+    rare = ranked.join(own, "sid").select("sid", "n_shingles", "component", F.explode(F.slice("common", F.lit(1), taken)["shingle"]).alias("band"))
+    rare = written(rare, "rare")
+    stats = rare.groupBy("band").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("sid").alias("low"), F.bit_xor(F.xxhash64("sid")).alias("who"), F.min("component").alias("least"), F.max("component").alias("most")
+    )
+    chosen = stats.filter("least < most").groupBy("n", "weight", "low", "who").agg(F.min("band").alias("band"))
+    return rare.join(chosen.select("band"), "band", "left_semi")
+
+
 def _across_blocks(large: DataFrame, seed: int) -> DataFrame:
     """Groups of pairs of blocks of ``large`` (band, sid, n_shingles, component): sets out of the largest component of their bucket with one another, and with those in it."""
     by = large.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
@@ -253,7 +289,8 @@ def near_duplicates(
     large = members.filter("blocks > 1").join(joined.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     large = checkpointed(large.select("band", "sid", "n_shingles", "component"))
     if large.limit(1).count():
-        pairs = _across_blocks(large, seed)
+        rare = checkpointed(_rare_buckets(large, sets(large), hundredths))
+        pairs = _across_blocks(rare, seed)
         more = _verified(pairs, sets(pairs), hundredths)
         joined = connected_components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 

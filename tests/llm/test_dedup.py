@@ -53,6 +53,30 @@ def test_random_sets_in_small_blocks(spark, monkeypatch, block):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute.components(docs, 80)
 
 
+def test_pages_of_one_template_do_not_meet_again(spark, monkeypatch):
+    """Sets of a hot bucket that share frequent shingles only go to no second comparison; near copies among them link."""
+    from parlance.llm import dedup
+
+    monkeypatch.setattr(dedup, "BLOCK_DOCS", 20)
+    sent, across = [], dedup._across_blocks
+
+    def seen(*args):
+        pairs = across(*args)
+        sent.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(dedup, "_across_blocks", seen)
+    rnd = random.Random(4)
+    template = " ".join(f"t{i}" for i in range(70))
+    own = {i: [f"w{rnd.randrange(10**7)}" for _ in range(33)] for i in range(300)}
+    texts = {i: f"{template} {' '.join(w)}" for i, w in own.items()}
+    texts |= {1000 + i: f"{template} {' '.join([*own[i][:-2], 'x', 'y'])}" for i in range(0, 300, 60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in dedup.near_duplicates(df, 0.85).collect()}
+    assert found == brute.components(texts, 85) and sum(i != c for i, c in found.items()) == 5
+    assert sent and sum(sent) <= 5 * 40  # a near copy and its source share some 20 rare shingles, most as one bucket
+
+
 def test_repeated_ids_of_different_texts(spark):
     """Each text of an id keeps its links, and what links with one text of an id links with all."""
     rng, rows, edges = random.Random(5), [], []
