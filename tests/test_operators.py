@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +246,20 @@ def test_weights_are_refined_around_the_best(spark):
     df = spark.createDataFrame([(float(u), float(v), float(0.37 * u + 0.63 * v)) for u, v in zip(a, b, strict=True)], "a double, b double, y double")
     best = ensemble.refined_weights(df, "y", ["a", "b"]).first()
     assert (best["w0"], best["w1"]) == (pytest.approx(0.37), pytest.approx(0.63)) and best["mae"] == pytest.approx(0, abs=1e-9)
+
+
+def test_permutation_moves_within_the_blocks_of_each_repeat(spark, monkeypatch):
+    """Blocks are other rows in each repeat, so a value may go anywhere in the table; rows of one key stand by their values."""
+    monkeypatch.setattr(ensemble, "BLOCK_ROWS", 50)
+    data = [(i // 2 if i < 20 else i, float(i * i % 97), float(i % 7)) for i in range(600)]
+    got = ensemble.permutation_importance(spark.createDataFrame(data, "id long, a double, y double"), "id", ["a"], "y", lambda d: d.withColumn("prediction", F.col("a") / 10), repeats=3).first()
+    base = sum(abs(a / 10 - y) for _, a, y in data) / len(data)
+    rises = []
+    for r in range(3):
+        blocks = {}
+        for key, a, y in sorted(data, key=lambda d: (hashlib.md5(f"{d[0]}:{42 + r}".encode()).hexdigest(), d[1])):
+            blocks.setdefault(hashlib.md5(f"{key}:{42 + r}".encode()).hexdigest()[:1], []).append((a, y))
+        rises.append(sum(abs(rows[i - 1][0] / 10 - y) for rows in blocks.values() for i, (_, y) in enumerate(rows)) / len(data) - base)
+    mean = sum(rises) / 3
+    assert got["importance_mean"] == pytest.approx(mean, abs=1e-12)
+    assert got["importance_std"] == pytest.approx((sum((x - mean) ** 2 for x in rises) / 3) ** 0.5, abs=1e-12)
