@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parlance.operators import additive, attribution, encoding, ensemble, evaluate, folds, history, isotonic, models, neighbors, selection, tagging
 from parlance.plans import tables as t
 from parlance.plans.evaluation_queries import MODELS, _models
+from parlance.shared import checkpointed
 
 QUERIES, ORACLE_SQL = {}, {}
 #: Columns of the line items and the last values of their bins.
@@ -199,7 +200,7 @@ def row_balanced_folds(spark, sf_dir):
 def svr_metrics(spark, sf_dir):
     """Of a kernel machine of the line items' scores, trained on three folds of the orders, for those of the fourth."""
     rows = t.scored(spark, sf_dir)
-    rows = folds.with_folds(rows, folds.group_folds(rows, "l_orderkey", 4), "l_orderkey").withColumn("actual", F.col("predicted")).select("actual", "fold", *_EDGES)
+    rows = checkpointed(folds.with_folds(rows, folds.group_folds(rows, "l_orderkey", 4), "l_orderkey").withColumn("actual", F.col("predicted")).select("actual", "fold", *_EDGES))
     fitted = models.pipeline(list(_EDGES), models.estimator("svr")[0].setParams(dims=64, C=10.0), "actual").fit(rows.filter("fold <> 0"))
     return evaluate.report(fitted.transform(rows.filter("fold = 0")).select("actual", F.col("prediction").alias("predicted")))
 

@@ -182,3 +182,16 @@ def test_information_of_few_rows(spark):
     assert got == {"a": (2, None)}
     x = spark.range(1, 60).select(neighbors.digamma(F.col("id")).alias("v")).collect()
     assert [r["v"] for r in x] == pytest.approx([-0.5772156649015329 + sum(1 / i for i in range(1, n)) for n in range(1, 60)], abs=1e-11)
+
+
+def test_kernel_machine_reads_equal_rows_once(spark, monkeypatch):
+    """Rounds read one row for all equal ones, and the fit is that of all rows."""
+    kept = []
+    monkeypatch.setattr(kernel, "checkpointed", lambda df: kept.append(df) or df.cache())
+    rows = [(float(i % 7), float(i % 3), float(i % 7 * 2 + i % 3 + (i % 2) / 4)) for i in range(420)]
+    df = spark.createDataFrame(rows, "p double, q double, y double")
+    got = kernel.fit_kernel_machine(df, F.array("p", "q"), "y", c=2.0, epsilon=0.2, dims=32)
+    once = kernel.fit_kernel_machine(df.distinct(), F.array("p", "q"), "y", c=20.0, epsilon=0.2, dims=32)
+    assert [k.count() for k in kept] == [42, 42] and kept[0].agg(F.sum("times")).first()[0] == 420
+    x = np.array([r[:2] for r in rows[:42]])
+    assert np.abs(got.values(x) - once.values(x)).max() < 1e-2
