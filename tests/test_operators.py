@@ -263,3 +263,10 @@ def test_permutation_moves_within_the_blocks_of_each_repeat(spark, monkeypatch):
     mean = sum(rises) / 3
     assert got["importance_mean"] == pytest.approx(mean, abs=1e-12)
     assert got["importance_std"] == pytest.approx((sum((x - mean) ** 2 for x in rises) / 3) ** 0.5, abs=1e-12)
+
+
+def test_out_of_fold_stores_its_rows_once(spark, table, monkeypatch):
+    kept = []
+    monkeypatch.setattr(models, "checkpointed", lambda df: kept.append(df) or df.localCheckpoint())
+    assert models.out_of_fold(table, ["a", "c"], "y", "ridge", 4).count() == table.filter("fold is not null").count()
+    assert len(kept) == 1
