@@ -109,14 +109,35 @@ def speaker_features(scored: DataFrame, speaker: str, prefix: str) -> DataFrame:
 
 
 def block_features(sequences: DataFrame, speaker: str, key: list[str], tags: str, model: CountModel, blocks: dict[str, tuple[str, int]] = BLOCKS) -> DataFrame:
-    """speaker_features() of every block, from one aggregation over the scores of all; ``key`` names a sequence and has the speaker in it."""
-    rows, columns = None, []
-    for prefix, (method, n) in blocks.items():
-        part = cross_entropy(sequences, key, tags, model, n, method).select(speaker, F.col("ce").alias(f"{prefix}_ce"), F.col("ppl").alias(f"{prefix}_ppl"))
-        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    """speaker_features() of every block; ``key`` names a sequence and has the speaker in it.
+
+    A sequence has as many n-grams of each order, and those of lower orders end those of the highest. So one pass gives
+    the different n-grams of the highest order, each of which gets its probabilities in all blocks, and another pass
+    and one join the cross-entropies of all blocks. Sequences of one key share their mean; of a null in it there is none.
+    """
+    n = max(order for _, order in blocks.values())
+    padded = F.concat(F.array_repeat(F.lit(START), n - 1), F.col(tags), F.array(F.lit(END)))
+    rows = sequences.select(*key, F.size(tags).alias("n_tags"), padded.alias("_p"))
+    rows = rows.select(*key, "n_tags", F.posexplode_outer(F.transform(F.sequence(F.lit(1), F.size("_p") - (n - 1)), lambda i: F.slice("_p", i, n))).alias("_pos", "_g"))
+    known = rows.select("_g").filter("_g is not null").distinct().select("_g", *[F.slice("_g", n - k + 1, k - 1).alias(f"_x{k}") for k in range(1, n + 1)], F.get("_g", F.lit(n - 1)).alias("tag"))
+    known = checkpointed(known)
+    for prefix, (method, k) in blocks.items():
+        scored = probabilities(known.select(F.col(f"_x{k}").alias("context"), "tag").distinct(), model, k, method)
+        known = known.join(scored.select(F.col("context").alias(f"_x{k}"), "tag", (-F.log2("prob")).alias(f"_bits_{prefix}")), [f"_x{k}", "tag"])
+    known = checkpointed(known.select("_g", *[f"_bits_{prefix}" for prefix in blocks]))
+    known = F.broadcast(known) if known.count() <= BROADCAST_GRAMS else known
+    first, named = F.coalesce("_pos", F.lit(0)) == 0, F.lit(True)
+    for c in key:
+        named = named & F.col(c).isNotNull()
+    figures, columns = [F.count_if(first).alias("_times")], []
+    for prefix, (_, k) in blocks.items():
+        figures += [F.avg(F.when(F.col("n_tags") >= k, F.col(f"_bits_{prefix}"))).alias(f"_mean_{prefix}"), F.count_if(first & (F.col("n_tags") >= k)).alias(f"_times_{prefix}")]
         ppl = F.col(f"{prefix}_ppl")
         columns += [*sequence_stats(F.col(f"{prefix}_ce"), f"{prefix}_ce_"), F.avg(ppl).alias(f"{prefix}_ppl_mean"), F.percentile(ppl, F.lit(0.5)).alias(f"{prefix}_ppl_median")]
-    return rows.groupBy(speaker).agg(*columns)
+    means = rows.join(known, "_g", "left").groupBy(*key).agg(*figures)
+    each = means.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+    each = each.select(speaker, *[F.when(named & (F.col("_i") <= F.col(f"_times_{prefix}")), F.col(f"_mean_{prefix}")).alias(f"{prefix}_ce") for prefix in blocks])
+    return each.withColumns({f"{prefix}_ppl": F.pow(F.lit(2.0), F.col(f"{prefix}_ce")) for prefix in blocks}).groupBy(speaker).agg(*columns)
 
 
 def fill_with_medians(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -270,3 +270,17 @@ def test_out_of_fold_stores_its_rows_once(spark, table, monkeypatch):
     monkeypatch.setattr(models, "checkpointed", lambda df: kept.append(df) or df.localCheckpoint())
     assert models.out_of_fold(table, ["a", "c"], "y", "ridge", 4).count() == table.filter("fold is not null").count()
     assert len(kept) == 1
+
+
+def test_block_features_read_sequences_once(spark):
+    """All blocks from one pass over the n-grams, equal to each block by itself; keys that repeat or are null, short and missing sequences too."""
+    rows = [("a", 1, ["A", "B", "A", "C"]), ("a", 2, ["B"]), ("a", 3, ["A", "A"]), ("b", 1, ["C", "C", "D"]), ("b", 1, ["A"]), ("b", 1, ["A", "B", "C", "D"]), ("c", 1, ["A"]), ("d", 1, None), (None, 1, ["A", "B", "C"])]
+    seqs = spark.createDataFrame(rows, "who string, utt int, tags array<string>")
+    model = lm.train(seqs.filter("who = 'a'").select("tags"), "tags", 3)
+    found = lm.block_features(seqs, "who", ["who", "utt"], "tags", model)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 2
+    got = {r["who"]: r.asDict() for r in found.collect()}
+    for prefix, (method, n) in lm.BLOCKS.items():
+        for r in lm.speaker_features(lm.cross_entropy(seqs, ["who", "utt"], "tags", model, n, method), "who", prefix).collect():
+            for c in r.asDict():
+                assert got[r["who"]][c] == (pytest.approx(r[c], abs=1e-9) if isinstance(r[c], float) else r[c])
