@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from parlance.functions import stats
 from parlance.operators import ensemble, folds, history, language_model as lm, lexicon, merge, models, prep, ranks, selection, timing
 from parlance.sources import files
 
@@ -284,3 +285,17 @@ def test_block_features_read_sequences_once(spark):
         for r in lm.speaker_features(lm.cross_entropy(seqs, ["who", "utt"], "tags", model, n, method), "who", prefix).collect():
             for c in r.asDict():
                 assert got[r["who"]][c] == (pytest.approx(r[c], abs=1e-9) if isinstance(r[c], float) else r[c])
+
+
+def test_statistics_read_counts_of_values(spark):
+    rows = [("a", float(i % 4)) for i in range(40)] + [("b", 0.1)] * 3 + [("c", None), ("d", 5.0), (None, 1.0), (None, 2.0), ("a", float("nan"))]
+    found = stats.summarise(spark.createDataFrame(rows, "k string, v double"), ["k"], "v")
+    assert "count(1) AS _n" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["k"]: r.asDict() for r in found.collect()}
+    x = np.arange(40) % 4
+    n, d = 40, x - x.mean()
+    g1, g2 = (d**3).mean() / (d**2).mean() ** 1.5, (d**4).mean() / (d**2).mean() ** 2 - 3
+    assert got["a"]["std"] == pytest.approx(x.std(ddof=1)) and got["a"]["mad"] == 1.0 and got["a"]["skew"] == pytest.approx(g1, abs=1e-12)
+    assert got["a"]["kurt"] == pytest.approx((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
+    assert (got["b"]["std"], got["b"]["skew"], got["b"]["mad"]) == (0.0, None, 0.0) and got["c"]["mean"] is None and got["c"]["std"] is None
+    assert got["d"]["std"] == 0.0 and got[None]["mean"] == 1.5 and got[None]["mad"] == 0.5
