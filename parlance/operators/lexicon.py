@@ -92,8 +92,9 @@ def tag_counts(words: DataFrame, keys: list[str], language: str = "en") -> DataF
 def density_features(by_utterance: DataFrame, speech: DataFrame, key: str) -> DataFrame:
     """The density block: rates by minute, two shares, 2 x 13 utterance statistics and 12 tag ratios, 42 in all.
 
-    ``by_utterance``: tag_counts of each utterance; ``speech``: (key, speech_sec).
+    ``by_utterance``: tag_counts of each utterance, which are stored; ``speech``: (key, speech_sec).
     """
+    by_utterance = checkpointed(by_utterance)
     names = [c for c in by_utterance.columns if c not in (key, "utt_idx")]
     sums = by_utterance.groupBy(key).agg(*[F.sum(c).cast("double").alias(c) for c in names]).join(speech.select(key, "speech_sec"), key)
     c, r = F.col, floored_ratio

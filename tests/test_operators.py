@@ -299,3 +299,13 @@ def test_statistics_read_counts_of_values(spark):
     assert got["a"]["kurt"] == pytest.approx((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
     assert (got["b"]["std"], got["b"]["skew"], got["b"]["mad"]) == (0.0, None, 0.0) and got["c"]["mean"] is None and got["c"]["std"] is None
     assert got["d"]["std"] == 0.0 and got[None]["mean"] == 1.5 and got[None]["mad"] == 0.5
+
+
+def test_density_stores_utterances_once(spark, monkeypatch):
+    kept = []
+    real = lexicon.checkpointed
+    monkeypatch.setattr(lexicon, "checkpointed", lambda df: kept.append(df.columns) or real(df))
+    words = spark.createDataFrame([("a", 0, "dogs", "NOUN", "dog"), ("a", 1, "run", "VERB", "run"), ("a", 1, "fast", "ADV", "fast")], "k string, utt_idx int, word string, tag string, lemma string")
+    row = lexicon.density_features(lexicon.tag_counts(words, ["k", "utt_idx"]), spark.createDataFrame([("a", 60.0)], "k string, speech_sec double"), "k").first()
+    assert row["den_words_per_min"] == pytest.approx(3) and row["den_words_utt_mean"] == 1.5
+    assert len(kept) == 1
