@@ -309,3 +309,9 @@ def test_density_stores_utterances_once(spark, monkeypatch):
     row = lexicon.density_features(lexicon.tag_counts(words, ["k", "utt_idx"]), spark.createDataFrame([("a", 60.0)], "k string, speech_sec double"), "k").first()
     assert row["den_words_per_min"] == pytest.approx(3) and row["den_words_utt_mean"] == 1.5
     assert len(kept) == 1
+
+
+def test_quantiles_do_not_count_ties_again(spark, monkeypatch):
+    df = spark.range(4000).select((F.col("id") % 2).cast("double").alias("v"))
+    monkeypatch.setattr(ranks.F, "array_compact", lambda *a: pytest.fail("rows of ties are counted again"))
+    assert ranks.exact_quantiles(df, ["v"], [0.25, 0.75], near=100) == {"v": [0.0, 1.0]}
