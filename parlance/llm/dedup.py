@@ -32,7 +32,7 @@ from parlance.llm.text import COEF, Words, buffers, mix, text_sets
 BLOCK_SHINGLES = 200_000
 #: Documents in a block, at most.
 BLOCK_DOCS = 512
-#: So many ids of documents that go are broadcast (some 16 bytes each); more are joined by a shuffle.
+#: So many ids, of documents that go or of those whose sets are compared, are broadcast (some 16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
 
@@ -280,9 +280,11 @@ def near_duplicates(
     members = checkpointed(banded.join(chosen, "band"))
 
     def sets(of: DataFrame) -> DataFrame:
+        """(sid, shingles) of the sets of ``of``. Texts of other ids go before the shuffle, if the ids can be broadcast."""
         numbers = of.select(F.col("sid").alias("row")).distinct()
-        wanted = profile.join(numbers, "row", "left_semi").select("id", "h", F.col("row").alias("sid"))
-        return texts.join(wanted, ["id", "h"]).select("sid", "t").mapInArrow(_sets(k), "sid long, shingles binary").dropDuplicates(["sid"])
+        wanted = checkpointed(profile.join(numbers, "row", "left_semi").select("id", "h", F.col("row").alias("sid")))
+        near = texts.join(F.broadcast(wanted.select("id")), "id", "left_semi") if wanted.count() <= BROADCAST_IDS else texts
+        return near.join(wanted, ["id", "h"]).select("sid", "t").mapInArrow(_sets(k), "sid long, shingles binary").dropDuplicates(["sid"])
 
     links = _verified(_within_blocks(members, seed), sets(members), hundredths).union(_of_one_id(whole, copies, mark))
     joined = connected_components(links)

@@ -77,6 +77,24 @@ def test_pages_of_one_template_do_not_meet_again(spark, monkeypatch):
     assert sent and sum(sent) <= 5 * 40  # a near copy and its source share some 20 rare shingles, most as one bucket
 
 
+@pytest.mark.parametrize("ids", [4_000_000, 0])
+def test_only_texts_to_compare_are_shuffled(spark, monkeypatch, ids):
+    """Each comparison, also that across blocks, drops the texts of other ids by a broadcast; beyond its bound links are the same."""
+    from parlance.llm import dedup
+
+    seen, verified = [], dedup._verified
+    monkeypatch.setattr(dedup, "_verified", lambda pairs, sets, h: seen.append(sets._jdf.queryExecution().analyzed().toString()) or verified(pairs, sets, h))
+    monkeypatch.setattr(dedup, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(dedup, "BROADCAST_IDS", ids)
+    rnd, words = random.Random(6), brute.BASE.split() * 3
+    docs = {i: " ".join([*words[:i], "odd", *words[i + 1 :]]) for i in range(40)}
+    docs |= {100 + i: " ".join(f"w{rnd.randrange(10**7)}" for _ in range(40)) for i in range(60)}
+    df = spark.createDataFrame([*docs.items(), (3, docs[3])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, 0.8).collect()}
+    assert got == brute.components(docs, 80)
+    assert seen and all(("ResolvedHint (strategy=broadcast)" in plan) == (ids > 0) for plan in seen)
+
+
 def test_repeated_ids_of_different_texts(spark):
     """Each text of an id keeps its links, and what links with one text of an id links with all."""
     rng, rows, edges = random.Random(5), [], []
