@@ -44,11 +44,23 @@ class CountModel:
 
 
 def train(sequences: DataFrame, tags: str, n: int = 3) -> CountModel:
-    """Count tables of ``sequences``: one pass gives the n-grams of all orders, counted together and stored. The vocabulary is the tags seen, start and end."""
+    """Count tables of ``sequences``. The vocabulary is the tags seen, start and end."""
+    return _model(ngrams(sequences, [], tags, n).groupBy("context", "tag").agg(F.count("*").alias("c")), n)
+
+
+def train_within(sequences: DataFrame, tags: str, training: Column, n: int = 3) -> tuple[CountModel, DataFrame]:
+    """train() on the rows where ``training`` holds, and the different n-grams (context, tag) of all rows, from one pass over them."""
+    grams = ngrams(sequences.withColumn("_training", training), ["_training"], tags, n)
+    grams = checkpointed(grams.groupBy("context", "tag").agg(F.count_if("_training").alias("c")))
+    return _model(grams.filter("c > 0"), n), grams.select("context", "tag")
+
+
+def _model(grams: DataFrame, n: int) -> CountModel:
+    """From counted n-grams (context, tag, c): those of lower orders end them, so their counts are sums."""
     counts, totals, by_tag = {}, {}, {}
     orders = F.explode(F.sequence(F.lit(1), F.lit(n)))
-    grams = ngrams(sequences, [], tags, n).select(orders.alias("k"), "context", "tag").select("k", F.slice("context", n - F.col("k") + 1, F.col("k") - 1).alias("context"), "tag")
-    every = checkpointed(grams.groupBy("k", "context", "tag").agg(F.count("*").alias("c")))
+    grams = grams.select(orders.alias("k"), "context", "tag", "c").select("k", F.slice("context", n - F.col("k") + 1, F.col("k") - 1).alias("context"), "tag", "c")
+    every = checkpointed(grams.groupBy("k", "context", "tag").agg(F.sum("c").alias("c")))
     for k in range(1, n + 1):
         counts[k] = every.filter(F.col("k") == k).drop("k")
         totals[k] = counts[k].groupBy("context").agg(F.sum("c").alias("total"), F.count("*").alias("types"))
@@ -90,14 +102,16 @@ def probabilities(grams: DataFrame, model: CountModel, n: int, method: str = "ba
     return rows.withColumn("prob", prob).select(*grams.columns, "prob")
 
 
-def cross_entropy(sequences: DataFrame, key: list[str], tags: str, model: CountModel, n: int, method: str = "backoff", **options) -> DataFrame:
+def cross_entropy(sequences: DataFrame, key: list[str], tags: str, model: CountModel, n: int, method: str = "backoff", seen: DataFrame | None = None, **options) -> DataFrame:
     """(key..., n_tags, ce, ppl): mean of -log2 p over a sequence's n-grams; null for sequences shorter than ``n``.
 
     Each different n-gram is scored once; the table of these is stored, and broadcast up to BROADCAST_GRAMS rows.
+    ``seen``: the different n-grams of ``sequences``, if train_within() has found them; else a pass finds them.
     """
     sized = sequences.select(*key, F.size(tags).alias("n_tags"), tags)
     grams = ngrams(sized.filter(F.col("n_tags") >= n), key, tags, n)
-    known = checkpointed(probabilities(grams.select("context", "tag").distinct(), model, n, method, **options))
+    seen = grams.select("context", "tag").distinct() if seen is None else seen
+    known = checkpointed(probabilities(seen, model, n, method, **options))
     known = F.broadcast(known) if known.count() <= BROADCAST_GRAMS else known
     ce = grams.join(known, ["context", "tag"]).groupBy(*key).agg(F.avg(-F.log2("prob")).alias("ce"))
     return sized.select(*key, "n_tags").join(ce, key, "left").withColumn("ppl", F.pow(F.lit(2.0), F.col("ce")))
@@ -108,18 +122,20 @@ def speaker_features(scored: DataFrame, speaker: str, prefix: str) -> DataFrame:
     return scored.groupBy(speaker).agg(*sequence_stats(F.col("ce"), f"{prefix}_ce_"), F.avg("ppl").alias(f"{prefix}_ppl_mean"), F.percentile("ppl", F.lit(0.5)).alias(f"{prefix}_ppl_median"))
 
 
-def block_features(sequences: DataFrame, speaker: str, key: list[str], tags: str, model: CountModel, blocks: dict[str, tuple[str, int]] = BLOCKS) -> DataFrame:
+def block_features(sequences: DataFrame, speaker: str, key: list[str], tags: str, model: CountModel, blocks: dict[str, tuple[str, int]] = BLOCKS, seen: DataFrame | None = None) -> DataFrame:
     """speaker_features() of every block; ``key`` names a sequence and has the speaker in it.
 
     A sequence has as many n-grams of each order, and those of lower orders end those of the highest. So one pass gives
-    the different n-grams of the highest order, each of which gets its probabilities in all blocks, and another pass
-    and one join the cross-entropies of all blocks. Sequences of one key share their mean; of a null in it there is none.
+    the different n-grams of the highest order (``seen``, if train_within() has found them), each of which gets its
+    probabilities in all blocks, and another pass and one join the cross-entropies of all blocks. Sequences of one key
+    share their mean; of a null in it there is none.
     """
     n = max(order for _, order in blocks.values())
     padded = F.concat(F.array_repeat(F.lit(START), n - 1), F.col(tags), F.array(F.lit(END)))
     rows = sequences.select(*key, F.size(tags).alias("n_tags"), padded.alias("_p"))
     rows = rows.select(*key, "n_tags", F.posexplode_outer(F.transform(F.sequence(F.lit(1), F.size("_p") - (n - 1)), lambda i: F.slice("_p", i, n))).alias("_pos", "_g"))
-    known = rows.select("_g").filter("_g is not null").distinct().select("_g", *[F.slice("_g", n - k + 1, k - 1).alias(f"_x{k}") for k in range(1, n + 1)], F.get("_g", F.lit(n - 1)).alias("tag"))
+    known = rows.select("_g").filter("_g is not null").distinct() if seen is None else seen.select(F.concat("context", F.array("tag")).alias("_g"))
+    known = known.select("_g", *[F.slice("_g", n - k + 1, k - 1).alias(f"_x{k}") for k in range(1, n + 1)], F.get("_g", F.lit(n - 1)).alias("tag"))
     known = checkpointed(known)
     for prefix, (method, k) in blocks.items():
         scored = probabilities(known.select(F.col(f"_x{k}").alias("context"), "tag").distinct(), model, k, method)

@@ -96,13 +96,17 @@ ORACLE_SQL["cross_entropy"] = f"with {_TRAIN}, {_MODEL}, {_scored(2, 'backoff')}
 
 
 def poslm_features(spark, sf_dir):
-    scored = lm.cross_entropy(_sequences(spark, sf_dir), ["doc_id", "utt"], "tags", _train(spark, sf_dir), 3, "kneser-ney")
+    rows = _sequences(spark, sf_dir)
+    model, seen = lm.train_within(rows, "tags", F.col("quality") == 1)
+    scored = lm.cross_entropy(rows, ["doc_id", "utt"], "tags", model, 3, "kneser-ney", seen=seen)
     return lm.speaker_features(scored, "doc_id", "poslm_kn_trigram")
 
 
 def poslm_blocks(spark, sf_dir):
     """Both methods and both orders."""
-    return lm.block_features(_sequences(spark, sf_dir), "doc_id", ["doc_id", "utt"], "tags", _train(spark, sf_dir))
+    rows = _sequences(spark, sf_dir)
+    model, seen = lm.train_within(rows, "tags", F.col("quality") == 1)
+    return lm.block_features(rows, "doc_id", ["doc_id", "utt"], "tags", model, seen=seen)
 
 
 _FLAT = "case when stddev_samp(ce) = 0 then 0.0::double else {0}(ce) end"

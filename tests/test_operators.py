@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import stats
 from parlance.operators import ensemble, folds, history, language_model as lm, lexicon, merge, models, prep, ranks, selection, timing
+from parlance.plans import language_queries
 from parlance.sources import files
 
 
@@ -287,6 +288,27 @@ def test_block_features_read_sequences_once(spark):
                 assert got[r["who"]][c] == (pytest.approx(r[c], abs=1e-9) if isinstance(r[c], float) else r[c])
 
 
+@pytest.mark.parametrize("query", ["poslm_features", "poslm_blocks"])
+def test_one_pass_over_texts_trains_and_finds_ngrams(spark, sf, monkeypatch, query):
+    stored = []
+    monkeypatch.setattr(lm, "checkpointed", lambda df: stored.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.localCheckpoint())
+    language_queries.QUERIES[query](spark, sf)
+    assert sum("posexplode" in plan for plan in stored) == 1
+
+
+def test_training_within_equals_training(spark):
+    """Rows that are not of the training, or where that is null, give n-grams to score and no counts."""
+    rows = [(True, ["A", "B", "A"]), (True, ["A", "A"]), (False, ["C", "A", "B"]), (None, ["D"]), (True, None), (True, [])]
+    seqs = spark.createDataFrame(rows, "training boolean, tags array<string>")
+    within, seen = lm.train_within(seqs, "tags", F.col("training"))
+    plain = lm.train(seqs.filter("training"), "tags")
+    rows_of = lambda df: sorted(map(str, df.collect()))
+    assert within.vocabulary == plain.vocabulary == 4
+    for k in (1, 2, 3):
+        assert rows_of(within.counts[k]) == rows_of(plain.counts[k]) == rows_of(lm.ngrams(seqs.filter("training"), [], "tags", 3).select(F.slice("context", 4 - k, k - 1).alias("context"), "tag").groupBy("context", "tag").agg(F.count("*").alias("c")))
+    assert rows_of(seen) == rows_of(lm.ngrams(seqs, [], "tags", 3).select("context", "tag").distinct())
+
+
 def test_statistics_read_counts_of_values(spark):
     rows = [("a", float(i % 4)) for i in range(40)] + [("b", 0.1)] * 3 + [("c", None), ("d", 5.0), (None, 1.0), (None, 2.0), ("a", float("nan"))]
     found = stats.summarise(spark.createDataFrame(rows, "k string, v double"), ["k"], "v")
