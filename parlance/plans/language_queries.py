@@ -11,6 +11,8 @@ from parlance.operators import lexicon
 from parlance.plans import tables as t
 
 QUERIES, ORACLE_SQL = {}, {}
+#: So many labels (of two numbers each) are broadcast to the lines of the documents; more are joined by a shuffle.
+BROADCAST_LABELS = 4_000_000
 
 
 def _tagged(spark, sf_dir):
@@ -24,7 +26,8 @@ def _sequences(spark, sf_dir):
     words = F.filter(F.split("line", " "), lambda w: w != "")
     lines = t.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("utt", "line"))
     rows = lines.select("doc_id", "utt", F.transform(words, by_length).alias("tags")).filter(F.size("tags") > 0)
-    return rows.join(t.read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    labels = t.read(spark, sf_dir, "labels").select("doc_id", "quality")
+    return rows.join(F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels, "doc_id", "left")
 
 
 _SEQ = """ln as (select doc_id, unnest(string_split(text, chr(10))) as line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int as utt from documents),

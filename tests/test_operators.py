@@ -296,6 +296,13 @@ def test_one_pass_over_texts_trains_and_finds_ngrams(spark, sf, monkeypatch, que
     assert sum("posexplode" in plan for plan in stored) == 1
 
 
+def test_lines_are_not_shuffled_for_labels(spark, sf, monkeypatch):
+    hinted = lambda: "ResolvedHint (strategy=broadcast)" in language_queries._sequences(spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert hinted()
+    monkeypatch.setattr(language_queries, "BROADCAST_LABELS", 0)
+    assert not hinted()
+
+
 def test_training_within_equals_training(spark):
     """Rows that are not of the training, or where that is null, give n-grams to score and no counts."""
     rows = [(True, ["A", "B", "A"]), (True, ["A", "A"]), (False, ["C", "A", "B"]), (None, ["D"]), (True, None), (True, [])]
