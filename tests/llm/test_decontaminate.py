@@ -144,3 +144,34 @@ def test_query_finds_short_items(spark, tmp_path):
     assert {r["doc_id"]: r["items"] for r in op6_decontamination(spark, str(tmp_path)).collect()} == {1: [7], 2: []}
     left = corpus_pipeline.decontamination(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert [r["doc_id"] for r in left.collect()] == [2]
+
+
+def test_stretches_are_as_whole_texts(spark, monkeypatch):
+    """Passages across the edges of stretches, copies of an item, and both joins: as in plain form."""
+    monkeypatch.setattr(dc, "STRETCH", 7)
+    rng = random.Random(5)
+    item = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(["a"] * rng.randrange(30) + [x if rng.random() > 0.1 else "b" for x in item[rng.randrange(12) :]] + ["c"] * rng.randrange(30))) for i in range(60)]
+    items = [(1, " ".join(item)), (2, " ".join(item).upper()), (3, " ".join(item[5:21])), (4, "c c c c c c c c c c"), (None, " ".join(item))]
+    want = overlaps(rows, items)
+    assert len(want) > 200
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for seeds, size in ((dc.BROADCAST_SEEDS, dc.BROADCAST_BYTES), (0, dc.BROADCAST_BYTES), (0, 1)):
+        monkeypatch.setattr(dc, "BROADCAST_SEEDS", seeds)
+        monkeypatch.setattr(dc, "BROADCAST_BYTES", size)
+        assert {(r["doc_id"], r["item_id"]): r["matched"] for r in dc.benchmark_overlaps(df, bench).collect()} == want
+
+
+def test_a_hit_holds_the_words_around_it_only(spark):
+    """A long text of passages throughout; with its words in each of its 72,000 hits it took 50 GB."""
+    rows = [(1, f"{brute.BASE} " * 1500), (2, "nothing here " * 15_000)]
+    bench = spark.createDataFrame([(1, brute.BASE)], "item_id long, text string")
+    assert [tuple(r) for r in dc.benchmark_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).select("doc_id", "item_id", "matched").collect()] == [(1, 1, 13)]
+
+
+def test_copies_of_items_are_no_more_seeds(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, brute.BASE) for i in range(500)], "item_id long, text string")
+    df = spark.createDataFrame([(1, brute.BASE), (2, "nothing here")], "doc_id long, text string")
+    monkeypatch.setattr(dc, "BROADCAST_SEEDS", 100)  # the item has 48 seeds
+    assert "ResolvedHint (strategy=broadcast)" in dc.benchmark_overlaps(df, bench)._jdf.queryExecution().analyzed().toString()
+    assert [(r["doc_id"], r["n_items"]) for r in dc.contamination(df, bench).orderBy("doc_id").collect()] == [(1, 500), (2, 0)]
