@@ -182,7 +182,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Null id and rows that repeat an id: each row goes or stays by its text. See benchmark_overlaps.
     """
-    pairs = benchmark_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    pairs, _ = _matches(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     leaks = checkpointed(pairs.select(F.col("doc_id").alias("_leak"), F.col("text_hash").alias("_leak_hash")).distinct())
     leaks = small_side(leaks, BROADCAST_LEAKS)
     return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leak"]) & (F.xxhash64(docs[text_col]) == leaks["_leak_hash"]), "left_anti")

@@ -175,3 +175,11 @@ def test_copies_of_items_are_no_more_seeds(spark, monkeypatch):
     monkeypatch.setattr(dc, "BROADCAST_SEEDS", 100)  # the item has 48 seeds
     assert "ResolvedHint (strategy=broadcast)" in dc.benchmark_overlaps(df, bench)._jdf.queryExecution().analyzed().toString()
     assert [(r["doc_id"], r["n_items"]) for r in dc.contamination(df, bench).orderBy("doc_id").collect()] == [(1, 500), (2, 0)]
+
+
+def test_stage_drops_a_text_of_passages(spark, tmp_path):
+    """Copies of an item and passages throughout a long text: the pipeline's stage asks for one overlap only."""
+    spark.createDataFrame([(i, brute.BASE) for i in range(200)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"{brute.BASE} " * 1500), (2, "nothing here"), (1, "a clean text of the same id")]
+    left = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(tuple(r) for r in left.collect()) == [rows[2], rows[1]]
